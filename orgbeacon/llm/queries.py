@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgbeacon.llm import language_id, media_columns, near_dedup, substring_dedup, url_filters
+from orgbeacon.llm import language_id, media_columns, near_dedup, packing, sharding, substring_dedup, url_filters
 from orgbeacon.llm.shared import id_remainder
 
 
@@ -22,6 +22,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: The rules that the contract states.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -72,6 +78,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    by_source = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(sharding.SHARDS))
+    out = sharding.reshard(docs, by_source)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.remove_repeats(docs, keep=["doc_id"])
@@ -80,9 +93,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
     "op5_url_filters": op5_url_filters,
     "op6_near_dedup": op6_near_dedup,
     "op7_media_columns": op7_media_columns,
+    "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
