@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgbeacon.llm import language_id, media_columns, near_dedup, packing, sharding, substring_dedup, url_filters
+from orgbeacon.llm import decontamination, language_id, lm_scoring, media_columns, near_dedup, packing, sharding, substring_dedup, url_filters
 from orgbeacon.llm.shared import id_remainder
 
 
@@ -28,6 +28,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 #: The rules that the contract states.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -91,13 +97,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score(docs, id_remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (id_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
     "op6_near_dedup": op6_near_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
