@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgbeacon.llm import decontamination, language_id, lm_scoring, media_columns, near_dedup, packing, sharding, substring_dedup, url_filters
+from orgbeacon.llm import decontamination, language_id, lm_scoring, media_columns, near_dedup, packing, quality, sharding, substring_dedup, url_filters
 from orgbeacon.llm.shared import id_remainder
 
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings from the labels: 0 toxic, 1 of low quality, 2 good."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, tail=2, keep=["doc_id"]).withColumn("selected", quality.selected())
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(id_remainder("doc_id", 5) != 0))
@@ -104,6 +116,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
