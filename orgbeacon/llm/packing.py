@@ -15,6 +15,7 @@ pieces of one length go by a hash of the id. Output: the id column, piece, start
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,34 +34,57 @@ CACHE_WORDS = 300_000
 _CONTROL = {chr(c) for c in range(0x1C, 0x20)}
 
 
-class Encoder:
-    """Ids of whole texts. The vocabulary never joins what white space parts, so words are looked up one by one."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """The ids of words as little-endian 32-bit integers, and of whole texts.
+
+    The vocabulary never joins what white space parts, so texts are looked up word by word. Words of common Latin letters,
+    ASCII digits and marks are cut as the vocabulary's pattern cuts them and go to its merges directly; any other word goes
+    through the whole tokenizer.
+    """
+
+    plain = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        odd = [not _CONTROL.isdisjoint(t) for t in texts]  # white space for str.split but not for the vocabulary
-        split = [[t] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        known, new = self.known, set()
-        for words in split:
-            new.update(words)
-        new = list(new - known.keys())
-        for begin in range(0, len(new), 1000):
-            part = new[begin : begin + 1000]
-            known.update(zip(part, self._slow(part), strict=True))
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > CACHE_WORDS:
-            for word in new:
-                del known[word]
-        return out
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
+        self.letters = _byte_letters()
+        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.pieces: dict[str, bytes] = {}
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = np.array([t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if len(self.pieces) < CACHE_WORDS:
+            self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain.fullmatch(word) and not any(s in word for s in self.special):
+            known = self.pieces
+            ids = b"".join([known.get(p) or self._piece(p) for p in self.parts.findall(word.lower())])
+        else:
+            ids = self._slow(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not _CONTROL.isdisjoint(text):  # white space for str.split but not for the vocabulary
+            return self._slow(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,8 +111,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(model.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    ids = model.encode(text or "") + end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         one = ids[at : at + 4 * capacity]
                         row.append(i)
