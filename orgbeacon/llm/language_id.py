@@ -143,15 +143,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     names = [*kept, "lang_pred", "score"]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     real = has_letter(F.col(text_col))
-    own = docs.select(F.col(text_col).cast("string").alias("text"), real.alias("__real"), F.struct(*kept).alias("__kept"))
+    others = [c for c in kept if c != text_col]  # the text goes to Python once
+    own = docs.select(F.col(text_col).cast("string").alias("text"), real.alias("__real"), F.struct(F.lit(0).alias("__none"), *others).alias("__kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, limit=1 << 20):
                 langs, scores = shared.value.predict(damped(hashed_grams(data, offsets, ORDER, BINS)))
                 known = rows.column(1).to_pylist()
                 langs = [lang if k else "und" for lang, k in zip(langs, known, strict=True)]
                 scores = np.where(np.array(known, bool), scores, 0.0)
-                yield pa.RecordBatch.from_arrays([*rows.column(2).flatten(), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+                own_columns = dict(zip(others, rows.column(2).flatten()[1:], strict=True)) | {text_col: rows.column(0)}
+                yield pa.RecordBatch.from_arrays([*(own_columns[c] for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return own.mapInArrow(run, schema)

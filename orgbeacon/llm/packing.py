@@ -30,7 +30,7 @@ CAPACITY = 4096
 END_ID = 1
 CELL = 512
 #: Words of which a Python worker keeps the ids.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _CONTROL = {chr(c) for c in range(0x1C, 0x20)}
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _PIECE = 1 << 20
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15

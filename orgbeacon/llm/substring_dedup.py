@@ -147,8 +147,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFra
     return starts.mapInArrow(merge, f"id {kind}, text_key int, spans array<int>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 25, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with n_words, n_removed, spans and kept_text, the words left joined by one space.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 25, keep: list[str] | None = None, unchanged_as_is: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with n_words, n_removed, spans and kept_text, the words left joined by one space
+    (with ``unchanged_as_is`` a text that keeps all its words is left as it is).
 
     Columns of docs that have these names are replaced.
     """
@@ -175,7 +176,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         bounds = [0, *own, len(words)]
                         words = [w for a, b in zip(bounds[::2], bounds[1::2], strict=True) for w in words[a:b]]
                     n_removed.append(n_words[-1] - len(words))
-                    texts.append(b" ".join(words).decode())
+                    whole = unchanged_as_is and not n_removed[-1]
+                    texts.append((data[at[i] : at[i + 1]].tobytes() if whole else b" ".join(words)).decode())
                 yield pa.RecordBatch.from_arrays([*rows.column(2).flatten(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), rows.column(1), pa.array(texts, pa.string())], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
