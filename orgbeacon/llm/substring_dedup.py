@@ -130,7 +130,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(first_hash.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), _ids(rows, doc), pa.array(place)], ["h", "c", "id", "place"])
 
     rows = docs.select("id", "text", F.hash("text").alias("text_key")).mapInArrow(windows, f"h long, c int, id {kind}, place long")
-    lows = rows.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
+    # written, so that the join reads both sides from a shuffle and a very common window can be split over tasks
+    lows = checkpoint(rows.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"))
     later = rows.join(lows, ["h", "c"]).where("id > low").select("id", F.shiftright("place", 32).cast("int").alias("text_key"), F.expr("cast(place & 4294967295 AS int)").alias("start"))
     starts = later.groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"))
 
