@@ -28,7 +28,7 @@ from orgbeacon.llm.shared import checkpoint
 
 CAPACITY = 4096
 END_ID = 1
-CELL = 512
+CELL = 128
 #: Words of which a Python worker keeps the ids.
 CACHE_WORDS = 150_000
 _CONTROL = {chr(c) for c in range(0x1C, 0x20)}
