@@ -1,12 +1,15 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a unigram base over words.
 
-The model is a trie of byte contexts of up to ``ORDER`` bytes, learned from all training documents. A first scan counts the
-sequences of one byte more; their sums are the trie's leaves (as many as the data has, up to ``MAX_LEAVES``, beyond which
-the contexts are a byte shorter). Shorter contexts count a byte once for each longer context that it was new in (update
-exclusion). The probability of a byte is found in the longest context that was seen: n / (t + d) for a byte seen n times of
-t with d distinct ones, else the escape d / (t + d), and the search goes on in the next shorter context without the bytes
-of the longer ones (symbol exclusion), down to an even share of all bytes. The log-probability of every byte seen in a context, and the cost of every escape, are
-worked out once; a document's code length is a sum of look-ups at every byte and at its end.
+The model is a trie of byte contexts of up to ``ORDER`` bytes, whatever the size of the corpus, learned from all training
+documents. One scan counts the sequences of one byte more. Shorter contexts count a byte once for each longer context that it
+was new in (update exclusion). The probability of a byte is found in the longest context that was seen: n / (t + d) for a byte
+seen n times of t with d distinct ones, else the escape d / (t + d), and the search goes on in the next shorter context without
+the bytes of the longer ones (symbol exclusion), down to an even share of all bytes.
+
+The levels of the trie are tables, worked out from the shortest context on by a join with the level below and sums over each
+context; no key of these has more than 256 rows. They hold the sequences of all texts, learned or not, so that each has its
+log-probability. The ``HOT`` sequences that are met most are looked up where the text is; a document's other ones go to a join,
+and its code length is the sum of both.
 
 The base needs the training count of every word. The words frequent enough for a table of ``FREQUENT`` entries are looked up
 where the text is; the other words of a document go, by their hash, to a join with all counts.
@@ -21,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgbeacon.llm.shared import FOLDED, checkpoint, packed, slices, word_bounds, word_hashes
 
 FREQUENT = 300_000
-MAX_LEAVES = 4_000_000
+HOT = 2_000_000
 ORDER = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -61,28 +64,64 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def byte_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): how often each ORDER + 1 bytes, the last of them predicted, occur in the texts of (text)."""
+    """(code, n, met): how often each ORDER + 1 bytes, the last of them predicted, occur in the learned and in all texts of (text, learned)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        met: list[np.ndarray] = []
+
+        def merge() -> None:
+            key, where = np.unique(np.concatenate(keys), return_inverse=True)
+            counts[:] = [np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)]
+            met[:] = [np.bincount(where, np.concatenate(met), len(key)).astype(np.int64)]
+            keys[:] = [key]
+
+        def give() -> pa.RecordBatch:
+            merge()
+            out = pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(counts[0]), pa.array(met[0])], ["code", "n", "met"])
+            for one in (keys, counts, met):
+                one.clear()
+            return out
+
         for batch in batches:
-            for _, data, at in slices(batch):
+            for rows, data, at in slices(batch):
                 text, begin = padded(data, at)
-                key, n = np.unique(byte_codes(text)[_places(begin, np.diff(at))], return_counts=True)
+                sizes = np.diff(at)
+                key, where, n = np.unique(byte_codes(text)[_places(begin, sizes)], return_inverse=True, return_counts=True)
+                learned = np.repeat(rows.column("learned").to_numpy(zero_copy_only=False), sizes + 1)
                 keys.append(key)
-                counts.append(n)
+                counts.append(n if learned.all() else np.bincount(where[learned], minlength=len(key)))
+                met.append(n)
                 if sum(map(len, keys)) > 2_000_000:
-                    key, n = _merged(keys, counts)
-                    keys, counts = [key], [n]
-                    if len(key) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["code", "n"])
-                        keys, counts = [], []
+                    merge()
+                    if len(keys[0]) > 1_000_000:
+                        yield give()
         if keys:
-            key, n = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["code", "n"])
+            yield give()
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text", "learned").mapInArrow(count, "code long, n long, met long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+
+
+def log_probabilities(counts: DataFrame) -> DataFrame:
+    """(code, met, value): the log-probability (base 10) of the last byte of each code of ``byte_counts`` after the others."""
+    levels = [counts.select(F.col("code").alias("key"), "n")]
+    for k in range(ORDER, 0, -1):  # a byte counts once for each longer context
+        levels.append(checkpoint(levels[-1].groupBy(F.expr(f"key & {256**k - 1}L").alias("key")).agg(F.count_if(F.col("n") > 0).alias("n"))))
+    context = Window.partitionBy(F.shiftright("key", 8))
+    seen = F.col("n") > 0
+    known = None
+    for k, level in enumerate(reversed(levels)):
+        if known is None:
+            rows = level.withColumn("shorter", F.lit(-float(np.log10(256))))
+        else:
+            rows = level.withColumn("suffix", F.expr(f"key & {256**k - 1}L")).join(known.select(F.col("key").alias("suffix"), F.col("value").alias("shorter")), "suffix").drop("suffix")
+        rows = rows.withColumns({"total": F.sum("n").over(context), "kinds": F.count_if(seen).over(context), "used": F.coalesce(F.sum(F.when(seen, F.pow(F.lit(10.0), "shorter"))).over(context), F.lit(0.0))})
+        escape = F.col("kinds") / (F.col("total") + F.col("kinds"))
+        others = F.greatest(1 - F.col("used"), F.lit(1e-12))  # symbol exclusion
+        value = F.when(seen, F.log10(F.col("n") / F.col("total") * (1 - escape))).when(F.col("kinds") > 0, F.log10(escape / others) + F.col("shorter")).otherwise(F.col("shorter"))
+        known = rows.select("key", value.alias("value"))
+    return counts.select("code", "met").join(known.select(F.col("key").alias("code"), F.col("value").cast("float").alias("value")), "code")
 
 
 _NONE = np.uint64(2**64 - 1)
@@ -134,7 +173,7 @@ def _sorted_get(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Trie:
-    """Log-probabilities (base 10) of bytes after contexts of up to ``order`` bytes."""
+    """The model of ``log_probabilities`` in one process, for small data: log-probabilities (base 10) of bytes after contexts of up to ``order`` bytes."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> None:
         """``codes``: order + 1 bytes as a number, the last byte (the lowest) predicted."""
@@ -183,19 +222,6 @@ class Trie:
         return np.add.reduceat(got, np.cumsum(sizes + 1) - sizes - 1) if len(sizes) else np.zeros(0)
 
 
-def train_trie(docs: DataFrame) -> Trie:
-    """The trie of (text), as deep as its leaves fit the limit."""
-    counts = checkpoint(byte_counts(docs))
-    order = ORDER
-    while True:
-        rows = counts.groupBy(F.expr(f"code & {256 ** (order + 1) - 1}").alias("code")).agg(F.sum("n").alias("n"))
-        if order == 1 or rows.count() <= MAX_LEAVES:
-            break
-        order -= 1
-    got = rows.toArrow()  # at most MAX_LEAVES rows
-    return Trie(got.column("code").to_numpy(), got.column("n").to_numpy(), order)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): the words of (text) by their hashes."""
 
@@ -223,24 +249,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _level(column: str) -> Column:
+    return F.floor(F.log2(column) * 8).cast("int")
+
+
+def _lowest_level(counts: DataFrame, column: str, room: int) -> int:
+    """The level from which on the rows of the largest counts are at most ``room``."""
+    lowest = 1 << 30
+    for level, n in sorted(((r[0], r[1]) for r in counts.groupBy(_level(column).alias("level")).count().collect()), reverse=True):  # a few hundred
+        room -= n
+        if room < 0:
+            break
+        lowest = level
+    return lowest
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_tokens, n_known, train_tokens, base_score and score; ``training`` marks the rows learned from."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    learned = docs.where(training).select(F.col(text_col).cast("string").alias("text"))
-    trie = spark.sparkContext.broadcast(train_trie(learned))  # MAX_LEAVES bounds its size
+    marked = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("learned"))
+    learned = marked.where("learned").select("text")
+    values = checkpoint(log_probabilities(checkpoint(byte_counts(marked))))
+    coldest = _lowest_level(values, "met", HOT)
+    often = values.where(_level("met") >= coldest).select("code", "value").toArrow()  # at most HOT rows
+    hot = spark.sparkContext.broadcast(Table(often.column("code").to_numpy().astype(np.uint64), often.column("value").to_numpy()))
     counts = checkpoint(word_counts(learned))
     ends = learned.count()
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = tokens + ends, distinct + (ends > 0)
-    levels = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("level")).count().collect()), reverse=True)  # a few hundred
-    lowest, room = None, FREQUENT
-    for level, n in levels:
-        room -= n
-        if room < 0:
-            break
-        lowest = level
-    often = counts.where(F.floor(F.log2("n") * 8) >= (lowest if lowest is not None else 1 << 30)).toArrow()  # at most FREQUENT rows
+    lowest = _lowest_level(counts, "n", FREQUENT)
+    often = counts.where(_level("n") >= lowest).toArrow()  # at most FREQUENT rows
     words, n = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(words)
     below = np.log10(total + 0.1 * (kinds + 1))
@@ -259,20 +298,25 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 sums = np.bincount(doc, np.where(hit, logs[where], 0.0), rows.num_rows)
                 hits = np.bincount(doc, hit, rows.num_rows).astype(np.int64)
                 rare = packed(words[~hit].view(np.int64), n_words - hits, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words.astype(np.int64)), pa.array(hits), pa.array(sums), pa.array(trie.value.scores(data, at)), rare], ["id", "n_words", "hits", "sums", "score", "rare"])
-
-    scanned = own.mapInArrow(scan, f"id {kind}, n_words long, hits long, sums double, score double, rare array<long>")
-    scanned = checkpoint(scanned.withColumn("row", F.xxhash64("id", "n_words", "hits", "sums", "score")))
-    rare = scanned.select("row", F.explode("rare").alias("word")).join(counts.where(F.floor(F.log2("n") * 8) < (lowest if lowest is not None else 1 << 30)), "word", "left")
-    found = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"), F.count("*").alias("all"))
-    # rows that are alike in everything share a key; each has its part of their sum
-    rows = scanned.select("*", F.size("rare").alias("n_rare")).drop("rare").join(found, "row", "left")
-    part = F.col("n_rare") / F.col("all")
-    return rows.withColumns({"more": F.round(F.col("more") * part).cast("long"), "logs": F.col("logs") * part}).select(
+                text, begin = padded(data, at)
+                sizes = np.diff(at)
+                codes = byte_codes(text)[_places(begin, sizes)]
+                got, missing = hot.value.get(codes)
+                scores = np.add.reduceat(got.astype(np.float64), np.cumsum(sizes + 1) - sizes - 1)
+                cold = packed(codes[missing].astype(np.int64), np.bincount(np.repeat(np.arange(rows.num_rows), sizes + 1)[missing], minlength=rows.num_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words.astype(np.int64)), pa.array(hits), pa.array(sums), pa.array(scores), rare, cold], ["id", "n_words", "hits", "sums", "score", "rare", "cold"])
+
+    scanned = own.mapInArrow(scan, f"id {kind}, n_words long, hits long, sums double, score double, rare array<long>, cold array<long>")
+    scanned = checkpoint(scanned.withColumn("row", F.monotonically_increasing_id()))
+    rare = scanned.select("row", F.explode("rare").alias("word")).join(counts.where(_level("n") < lowest), "word", "left")
+    found = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"))
+    cold = scanned.select("row", F.explode("cold").alias("code")).join(values.where(_level("met") < coldest).select("code", "value"), "code")
+    rows = scanned.drop("rare", "cold").join(found, "row", "left").join(cold.groupBy("row").agg(F.sum("value").alias("others")), "row", "left")
+    return rows.select(
         F.col("id").alias(id_col),
         (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("hits") + F.coalesce("more", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.1))) - (F.col("n_words") + 1) * F.lit(float(below))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("others", F.lit(0.0))).alias("score"),
     )

@@ -149,3 +149,24 @@ def test_ppm_by_hand():
     one = trie.scores(np.frombuffer(b"b", np.uint8), np.array([0, 1]))[0]
     after_b = np.array([int.from_bytes(b"\0\0\0\0b\0", "big")], np.uint64)
     assert math.isclose(one, math.log10(1 / 4 * 4 / 7) + float(trie.top.get(after_b)[0][0]), rel_tol=1e-6)
+
+
+def test_ppm_is_as_deep_at_any_size(spark, monkeypatch):
+    """The scores are those of contexts of five bytes, however few leaves or hot sequences are allowed."""
+    monkeypatch.setattr(lm_scoring, "MAX_LEAVES", 50, raising=False)
+    rnd = random.Random(11)
+    rows = [(i, prose("en", rnd.randrange(0, 40), rnd)) for i in range(80)] + [(3, "Other TEXT"), (None, "né"), (200, None), (201, "qqq zzz 123")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = [(t or "").encode() for i, t in rows if i is not None and i % 4]
+
+    def arrays(texts):
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    data, at = arrays(learned)
+    text, begin = lm_scoring.padded(data, at)
+    trie = lm_scoring.Trie(*np.unique(lm_scoring.byte_codes(text)[lm_scoring._places(begin, np.diff(at))], return_counts=True))
+    want = sorted(trie.scores(*arrays([(t or "").encode() for _, t in rows])))
+    for hot in (2_000_000, 300, 0):
+        monkeypatch.setattr(lm_scoring, "HOT", hot, raising=False)
+        got = sorted(r.score for r in lm_scoring.score(docs, F.col("doc_id") % 4 != 0).collect())
+        assert np.allclose(got, want, rtol=1e-5)
