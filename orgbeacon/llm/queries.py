@@ -99,7 +99,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     by_source = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(sharding.SHARDS))
-    out = sharding.reshard(docs, by_source)
+    out = sharding.reshard_files(docs, by_source)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

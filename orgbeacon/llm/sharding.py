@@ -11,6 +11,7 @@ Ties within a cell go by the id. No rows: no rows.
 
 from __future__ import annotations
 
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -100,13 +101,44 @@ def reshard(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Write the shards that gain or lose a document under ``folder``/shard=N, the others stay as they are; the shards written.
+def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the shards that gain or lose a document under ``folder``/shard=N, by slots, the others stay as they are; the shards written.
 
-    ``docs`` must not be read from ``folder``. Ids are keys here.
+    ``docs`` must not be read from ``folder``. Rows meet their places by the id, null or not, and the text; rows alike in both
+    have their places in turn, so that each row is written once. The folder of a shard that has lost all its rows goes.
+    Texts are shuffled once, to their places; each task then writes a file of every shard that it has rows of.
     """
+    spark = docs.sparkSession
     left = placed.where("old_shard != shard")
-    affected = left.select("shard").union(left.select(F.col("old_shard").alias("shard"))).distinct()
-    rows = docs.drop("shard", "slot").join(placed.select(id_col, "shard", "slot"), id_col).join(F.broadcast(affected), "shard", "left_semi")
-    rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    affected = checkpoint(left.select("shard").union(left.select(F.col("old_shard").alias("shard"))).distinct())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = lambda size, crc: F.xxhash64(id_col, size, crc)
+    turn = lambda *by: F.row_number().over(Window.partitionBy("row_key").orderBy(*by))
+    places = placed.select(key("size", "text_crc32").alias("row_key"), "shard", "slot").withColumn("turn", turn("shard", "slot"))
+    own = docs.drop("shard", "slot").withColumn("row_key", key((F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(text.cast("binary"))))
+    rows = own.withColumn("turn", turn("row_key")).join(places, ["row_key", "turn"]).drop("row_key", "turn").join(F.broadcast(affected), "shard", "left_semi")
+    one_key = "spark.sql.requireAllClusterKeysForCoPartition"  # turns are joined where the windows made them
+    before = spark.conf.get(one_key)
+    spark.conf.set(one_key, "false")
+    try:
+        rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    finally:
+        spark.conf.set(one_key, before)
+    for row in affected.join(placed.select("shard").distinct(), "shard", "left_anti").collect():  # shards
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={row['shard']}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return affected
+
+
+def reshard_files(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """``reshard`` with the affected shards rewritten in the shared folder; their rows are those of the files read back."""
+    spark = docs.sparkSession
+    placed = reshard(docs, old_shard, id_col, text_col, shards)
+    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), old_shard.cast("int").alias("old_shard"))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    affected = rewrite_affected(own, placed, folder, id_col, text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", slot long, shard int"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    columns = [id_col, "size", "text_crc32", "old_shard", "shard", "slot"]
+    read = spark.read.schema(schema).parquet(folder).withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
+    return read.select(columns).union(placed.join(F.broadcast(affected), "shard", "left_anti").select(columns))

@@ -93,6 +93,36 @@ def test_sharding(spark, tmp_path, monkeypatch):
     assert sharding.reshard(docs.limit(0), old).count() == 0
 
 
+def test_rewritten_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 30), i % 3) for i in range(200)] + [(None, "x", 0), (None, "x", 1), (None, None, 0), (7, "other", 0), (7, "other", 0), (7, "third", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(3)
+    placed = sharding.reshard(docs, F.col("old"), shards=4)
+    sharding.rewrite_affected(docs, placed, str(tmp_path / "all"))
+    got = spark.read.parquet(str(tmp_path / "all")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in rows)
+    assert Counter((r.doc_id, len((r.text or "").encode()) + 16, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.size, r.shard, r.slot) for r in placed.collect())
+    # shard 0 loses its only row, shard 2 stays as it is
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    docs.selectExpr("*", "0L AS slot", "CAST(IF(doc_id = 1, 0, 2) AS INT) AS shard").write.partitionBy("shard").parquet(str(tmp_path / "old"))
+    placed = spark.createDataFrame([(1, 17, zlib.crc32(b"a"), 0, 1, 0), (2, 17, zlib.crc32(b"b"), 2, 2, 0)], "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long")
+    sharding.rewrite_affected(docs, placed, str(tmp_path / "old"))
+    assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "old")).collect()) == [(1, 1), (2, 2)]
+
+
+def test_resharded_rows_are_those_of_the_files(spark, monkeypatch):
+    folders = []
+    write = sharding.rewrite_affected
+    monkeypatch.setattr(sharding, "rewrite_affected", lambda docs, placed, folder, *a: (folders.append(folder), write(docs, placed, folder, *a))[1])
+    rows = [(i, "é" * (i % 40) if i % 9 else None, i % 2) for i in range(100)] + [(None, "x", 0), (1, "é", 1), (1, "é", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(3)
+    out = sharding.reshard_files(docs, F.col("old"), shards=4).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert len(folders) == 1 and spark.read.parquet(folders[0]).count() == len(rows)
+    assert sharding.reshard_files(docs.limit(0), F.col("old"), shards=4).count() == 0
+
+
 def test_streams(spark):
     rows = [(0, None), (1, ""), (2, "x" * 192), (3, "é" * 5000), (4, "abc"), (4, "abc"), (5, "z" * 3072 * 3), (6, "\x00\x47" * 800)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, media string")
