@@ -1,13 +1,11 @@
-"""Registrable domains by the public suffix list that Spark's HTTP client ships (its ICANN section)."""
+"""Registrable domains by the ICANN section of the public suffix list, which lies beside this module as a data file."""
 
 from __future__ import annotations
 
-import zipfile
 from functools import lru_cache
-from pathlib import Path
+from importlib.resources import files
 
 import pandas as pd
-import pyspark
 from pyspark import SparkContext
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +18,15 @@ def _ascii(label: str) -> str:
         return label
 
 
-@lru_cache(maxsize=1)
-def public_suffixes() -> frozenset[str]:
-    """The rules, their labels in ASCII form; about 9000, whatever the data."""
-    jar = next(iter(sorted((Path(pyspark.__file__).parent / "jars").glob("httpclient-4*.jar"))))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("mozilla/public-suffix-list.txt").decode()
-    icann = text.split("===END ICANN DOMAINS===")[0]
-    rules = (line.strip() for line in icann.splitlines())
+@lru_cache(maxsize=4)
+def public_suffixes(path: str | None = None) -> frozenset[str]:
+    """The rules, their labels in ASCII form; about 7000, whatever the data. ``path``: another list in the same format."""
+    if path is None:
+        text = files(__package__).joinpath("public_suffixes.txt").read_text("utf-8")
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    rules = (line.strip() for line in text.split("===END ICANN DOMAINS===")[0].splitlines())
     return frozenset(".".join(map(_ascii, r.split("."))) for r in rules if r and not r.startswith("//"))
 
 
@@ -59,8 +58,8 @@ def host_of(url: Column) -> Column:
 _shared: dict[int, tuple[SparkContext, object]] = {}
 
 
-def _rules():
-    """The rules as a broadcast, one for each Spark context."""
+def rules_broadcast():
+    """The rules as a broadcast for Python functions on the executors, one for each Spark context."""
     sc = SparkSession.active().sparkContext
     known = _shared.get(id(sc))
     if known is None or known[0] is not sc:
@@ -70,7 +69,7 @@ def _rules():
 
 def registrable(url: Column | str) -> Column:
     """The registrable domain of a url or bare domain, lower-cased; null if it has none. Each distinct host is read once a batch."""
-    shared = _rules()
+    shared = rules_broadcast()
 
     @F.pandas_udf("string")
     def of(hosts: pd.Series) -> pd.Series:
@@ -79,14 +78,9 @@ def registrable(url: Column | str) -> Column:
     return of(host_of(F.col(url) if isinstance(url, str) else url))
 
 
-def rules_broadcast():
-    """The rules for Python functions on the executors."""
-    return _rules()
-
-
 def registrable_each(values: Column) -> Column:
     """The same of every element of an array."""
-    shared = _rules()
+    shared = rules_broadcast()
 
     @F.pandas_udf("array<string>")
     def of(rows: pd.Series) -> pd.Series:
