@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from orgbeacon.functions.codes import not_empty, or_empty
+from orgbeacon.functions.codes import let, not_empty, or_empty
 
 # Legal forms and filler words that carry no brand.
 FILLER = (
@@ -19,17 +19,23 @@ FILLER = (
     "JSC", "CO",
 )
 
-# Letters of one Latin letter, letters of several (or of none), and what the second spelling has otherwise.
-ONE_LETTER = ("абвгдеёзийклмнопрстуфхцыэ", "abvgdeeziyklmnoprstufhcye")
-MORE_LETTERS = {"ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ь": "", "ю": "yu", "я": "ya"}
+# The Latin spelling of Cyrillic letters, and what the second spelling has otherwise.
+LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k",
+    "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "c",
+    "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
 OTHERWISE = {"х": "kh", "ц": "ts", "й": "i", "ю": "ju", "я": "ja"}
 
 
 def transliterate(text: Column, alt: bool = False) -> Column:
+    table = LATIN | (OTHERWISE if alt else {})
     out = F.lower(text)
-    for letter, latin in (MORE_LETTERS | (OTHERWISE if alt else {})).items():
-        out = F.replace(out, F.lit(letter), F.lit(latin))
-    return F.translate(out, *ONE_LETTER)
+    for letter, latin in table.items():  # letters of several Latin ones, or of none
+        if len(latin) != 1:
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    single = {letter: latin for letter, latin in table.items() if len(latin) == 1}
+    return F.translate(out, "".join(single), "".join(single.values()))
 
 
 def clean_name(name: Column | str) -> Column:
@@ -42,27 +48,28 @@ def brand_tokens(name: Column | str) -> Column:
 
 
 def spelling_variants(value: Column) -> Column:
-    forms = F.array(
-        value,
-        F.when(F.contains(value, F.lit("ks")), F.replace(value, F.lit("ks"), F.lit("x"))),
-        F.when(F.contains(value, F.lit("iy")), F.replace(value, F.lit("iy"), F.lit("y"))),
-    )
-    return F.filter(forms, lambda v: v.isNotNull())
+    def forms(v: Column) -> Column:
+        x = F.when(F.contains(v, F.lit("ks")), F.replace(v, F.lit("ks"), F.lit("x")))
+        y = F.when(F.contains(v, F.lit("iy")), F.replace(v, F.lit("iy"), F.lit("y")))
+        return F.array_compact(F.array(v, x, y))
 
+    return let(value, forms)
 
-def _spellings(value: Column) -> Column:
-    low = F.lower(value)
-    return F.concat(*(spelling_variants(v) for v in (low, transliterate(low), transliterate(low, alt=True))))
+
+def _spellings(values: Column) -> Column:
+    """All spellings of each of an array's words, in order."""
+    forms = F.flatten(F.transform(values, lambda v: F.array(F.lower(v), transliterate(v), transliterate(v, alt=True))))
+    return F.flatten(F.transform(forms, spelling_variants))
 
 
 def brand_variants(*names: Column) -> Column:
     """The spellings of the names' tokens, and of each name's tokens in one; distinct, in order."""
-    parts = []
-    for name in names:
-        tokens = brand_tokens(name)
-        parts.append(F.filter(F.flatten(F.transform(tokens, _spellings)), lambda v: F.length(v) > 0))
-        parts.append(F.filter(_spellings(F.array_join(tokens, "")), lambda v: F.length(v) > 3))
-    return F.array_distinct(F.concat(*parts))
+
+    def of_name(tokens: Column) -> Column:
+        own = F.filter(_spellings(tokens), lambda v: F.length(v) > 0)
+        return F.concat(own, F.filter(_spellings(F.array(F.array_join(tokens, ""))), lambda v: F.length(v) > 3))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(*names), lambda n: of_name(brand_tokens(n)))))
 
 
 def first_label(domain: Column) -> Column:
@@ -105,5 +112,5 @@ def best_similarity(label: pd.Series, forms: pd.Series) -> pd.Series:
 
 def name_similarity(domain: Column, names: Column) -> Column:
     """The best similarity of a domain's first label with the spellings of any of the names (an array)."""
-    forms = F.flatten(F.transform(F.filter(names, lambda n: not_empty(n).isNotNull()), lambda n: _spellings(F.array_join(brand_tokens(n), ""))))
-    return best_similarity(first_label(domain), F.array_distinct(forms))
+    whole = F.transform(F.filter(names, lambda n: not_empty(n).isNotNull()), lambda n: F.array_join(brand_tokens(n), ""))
+    return best_similarity(first_label(domain), F.array_distinct(_spellings(whole)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ CONTROL_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 CONTROL_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 CONTROL_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
+#: Lengths of registry codes.
+CODE_LENGTHS = (10, 12, 13, 15)
+
 # What parked pages say.
 PARKED = (
     "домен продается", "домен продаётся", "domain is for sale", "срок регистрации домена истек",
@@ -17,6 +22,11 @@ PARKED = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out, and written in the plan, once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -47,9 +57,11 @@ def _control(digits: Column, weights: tuple[int, ...]) -> Column:
 
 
 def is_valid_inn(raw: Column | str) -> Column:
-    digits = normalize_inn(raw)
-    short, long = F.length(digits) == 10, F.length(digits) == 12
-    return F.when(short, _control(digits, CONTROL_10)).when(long, _control(digits, CONTROL_11) & _control(digits, CONTROL_12)).otherwise(False)
+    def check(digits: Column) -> Column:
+        short, long = F.length(digits) == 10, F.length(digits) == 12
+        return F.when(short, _control(digits, CONTROL_10)).when(long, _control(digits, CONTROL_11) & _control(digits, CONTROL_12)).otherwise(False)
+
+    return let(normalize_inn(raw), check)
 
 
 def is_entrepreneur(raw: Column | str) -> Column:
@@ -60,7 +72,7 @@ def kind(raw: Column | str) -> Column:
     return F.when(is_entrepreneur(raw), "entrepreneur").otherwise("legal")
 
 
-def code_runs(text: Column | str, lengths: tuple[int, ...] = (10, 12, 13, 15)) -> Column:
+def code_runs(text: Column | str, lengths: tuple[int, ...] = CODE_LENGTHS) -> Column:
     """The distinct maximal runs of digits that have the length of a code: a text holds a code if it is one of them."""
     runs = F.regexp_extract_all(one_space(text), F.lit("([0-9]+)"), F.lit(1))
     return F.array_distinct(F.filter(runs, lambda r: F.length(r).isin(*lengths)))

@@ -40,7 +40,7 @@ FREE_MAIL = (
 )
 
 # Words in the titles of registry pages.
-REGISTRY_WORDS = ("инн", "огрн", "реквизит", "выписка", "егрюл", "контрагент")
+REGISTRY_WORDS = ("инн", "огрн", "реквизит", "выписка", "егрюл", "контрагент", "проверка контрагента")
 
 # The patterns of a website field, an e-mail address and a domain in running text.
 SITE_FIELD = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from orgbeacon.functions.codes import or_empty
+from orgbeacon.functions.codes import CODE_LENGTHS, looks_parked, or_empty, published_inns
 
 # Paths that often hold registry codes, and words of links to such pages.
 COMMON_PATHS = ("/contacts", "/contact", "/kontakty", "/about", "/o-kompanii", "/o-nas")
@@ -22,7 +23,9 @@ NO_LINK = ("#", "mailto:", "tel:", "javascript:")
 MOST_HTML, MOST_TITLE, MOST_LINKS, MOST_PAGES = 400_000, 200, 6, 5
 
 
-_PAGE = StructType([StructField("text", StringType()), StructField("title", StringType()), StructField("links", ArrayType(StringType()))])
+_CODE = StructType([StructField("code", StringType()), StructField("excerpt", StringType())])
+_PAGE = StructType([StructField("text", StringType()), StructField("title", StringType()), StructField("links", ArrayType(StringType())), StructField("codes", ArrayType(_CODE))])
+_RUN = re.compile("[0-9]+")
 
 
 class _Page(HTMLParser):
@@ -100,18 +103,28 @@ def ranked_links(links: list[tuple[str, str]], base: str | None, limit: int = MO
     return sorted(found, key=lambda url: -found[url])[:limit]
 
 
+def codes_with_excerpts(text: str, width: int = 160) -> list[dict]:
+    """The distinct maximal digit runs that have the length of a registry code, each with the text around its first place."""
+    found: dict[str, str] = {}
+    for run in _RUN.finditer(text):
+        if len(run[0]) in CODE_LENGTHS and run[0] not in found:
+            found[run[0]] = text[max(0, run.start() - width // 2) : run.end() + width // 2].strip()
+    return [{"code": c, "excerpt": e} for c, e in found.items()]
+
+
 def _parsed(html: str | None, base: str | None) -> dict:
     page = _Page()
     if html:
         page.feed(html)
         page.done()
-    return {"text": " ".join(" ".join(page.pieces).split()), "title": (page.title or "").strip()[:MOST_TITLE], "links": ranked_links(page.links, base)}
+    text = " ".join(" ".join(page.pieces).split())
+    return {"text": text, "title": (page.title or "").strip()[:MOST_TITLE], "links": ranked_links(page.links, base), "codes": codes_with_excerpts(text)}
 
 
 @F.pandas_udf(_PAGE)
 def parse_page(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """Text, title and interesting links of each page."""
-    return pd.DataFrame([_parsed(h, b) for h, b in zip(html, base, strict=True)], columns=["text", "title", "links"])
+    """Text, title, interesting links and codes of each page."""
+    return pd.DataFrame([_parsed(h, b) for h, b in zip(html, base, strict=True)], columns=["text", "title", "links", "codes"])
 
 
 def crawl_targets(domain: Column, home_url: Column, final_url: Column, links: Column) -> Column:
@@ -122,10 +135,17 @@ def crawl_targets(domain: Column, home_url: Column, final_url: Column, links: Co
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """``pages`` with text, title and links in place of html; pages are independent, so this is a map."""
+    """``pages`` with text, title, links and codes in place of html; pages are independent, so this is a map."""
     return pages.withColumn("__p", parse_page("html", F.coalesce("final_url", "url"))).select(*(c for c in pages.columns if c != "html"), (F.length(or_empty("html")) > 0).alias("has_html"), "__p.*")
 
 
+def page_facts(parsed: DataFrame) -> DataFrame:
+    """What verification needs of parsed pages, short beside their text: url, final_url, status, has_html, title, links, codes, the two
+    least numbers published (one of them is foreign to any organisation, if there is one), parked and how the text begins."""
+    published = F.slice(F.array_sort(published_inns("text")), 1, 2)
+    return parsed.select("url", F.coalesce("final_url", "url").alias("final_url"), "status", "has_html", "title", "links", "codes", published.alias("published"), looks_parked("text").alias("parked"), F.substring("text", 1, 200).alias("head"))
+
+
 def page_view(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """From wanted (url) and parsed pages: what each page shows in short, or why it can't be read."""
     asked = wanted.select("url", F.when(F.contains("url", F.lit("://")), F.col("url")).otherwise(F.concat(F.lit("https://"), "url")).alias("page_url"))

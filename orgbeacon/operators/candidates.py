@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orgbeacon.functions.brands import brand_in_domain, brand_variants, name_similarity
 from orgbeacon.functions.codes import not_empty, or_empty
-from orgbeacon.functions.domains import is_aggregator, is_blocked, is_registry, mine_domains, mined
+from orgbeacon.functions.domains import is_aggregator, is_blocked, is_registry, mine_domains
 from orgbeacon.functions.suffixes import registrable
 
 MOST_QUERIES, SHORTLIST, JUDGED = 6, 6, 5
@@ -31,7 +31,8 @@ def build_queries(cards: DataFrame) -> DataFrame:
 
 
 def with_variants(cards: DataFrame) -> DataFrame:
-    return cards.withColumn("variants", brand_variants(or_empty("name_short"), or_empty("name_full")))
+    """Cards with the spellings of their names, unless they have them."""
+    return cards if "variants" in cards.columns else cards.withColumn("variants", brand_variants(or_empty("name_short"), or_empty("name_full")))
 
 
 def hit_domains(hits: DataFrame, cards: DataFrame) -> DataFrame:
@@ -43,22 +44,21 @@ def hit_domains(hits: DataFrame, cards: DataFrame) -> DataFrame:
 def collect_candidates(hits: DataFrame, cards: DataFrame) -> DataFrame:
     """One row for each (inn, domain) that the hits' urls or texts name.
 
-    Rows of urls and rows of mined domains are summed in one aggregation; partial sums are made before the shuffle.
+    Each hit is read once: its own domain and those mined from its text are rows of one aggregation, with partial sums before
+    the shuffle. An organisation has a few queries of a few hits each, so the lists of texts are short.
     """
-    rows = hit_domains(hits, cards)
     text = F.concat(or_empty("title"), F.lit(" "), or_empty("snippet"))
-    title, snippet = not_empty("title"), not_empty("snippet")
-    own = rows.where("hit_domain IS NOT NULL").select(
-        "inn", F.col("hit_domain").alias("domain"), F.struct("hit_no", F.lit(0).alias("sub_no")).alias("seen"), title.alias("title"), snippet.alias("snippet"),
-        F.lit("url").alias("kind"), "rank", (F.col("is_registry") | is_blocked(F.col("hit_domain"))).alias("requires_proof"), F.lit(False).alias("by_registry"),
-    )
-    named = mined(rows, text).where("NOT (domain <=> hit_domain)").select(
-        "inn", "domain", F.struct("hit_no", F.col("pos").alias("sub_no")).alias("seen"), F.lit(None).cast("string").alias("title"), snippet.alias("snippet"),
-        "kind", F.lit(None).cast("int").alias("rank"), F.lit(False).alias("requires_proof"), F.coalesce("is_registry", F.lit(False)).alias("by_registry"),
+    rows = hit_domains(hits, cards).withColumn("__found", mine_domains(text))
+    itself = F.array(F.struct(F.col("hit_domain").alias("domain"), F.lit("url").alias("kind"), F.lit(0).alias("sub_no")))
+    named = F.transform("__found", lambda f, i: F.struct(f["domain"].alias("domain"), f["kind"].alias("kind"), (i + 1).alias("sub_no")))
+    own = F.col("f.kind") == "url"
+    every = rows.select("*", F.explode(F.concat(itself, named)).alias("f")).where(F.col("f.domain").isNotNull() & (own | ~F.col("f.domain").eqNullSafe(F.col("hit_domain")))).select(
+        "inn", "f.domain", F.struct("hit_no", "f.sub_no").alias("seen"), "f.kind", F.when(own, not_empty("title")).alias("title"), not_empty("snippet").alias("snippet"), F.when(own, F.col("rank")).alias("rank"),
+        (own & (F.col("is_registry") | is_blocked(F.col("hit_domain")))).alias("requires_proof"), (~own & F.coalesce("is_registry", F.lit(False))).alias("by_registry"),
     )
     times = lambda k: F.count_if(F.col("kind") == k).cast("int")
     texts = lambda c: F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seen", F.col(c).alias("text"))))), lambda x: x["text"]), 1, MOST_TEXTS)
-    return own.unionByName(named).groupBy("inn", "domain").agg(
+    return every.groupBy("inn", "domain").agg(
         texts("title").alias("titles"), texts("snippet").alias("snippets"), times("url").alias("mention_count"), F.coalesce(F.min("rank"), F.lit(NO_RANK)).cast("int").alias("best_rank"),
         times("site_field").alias("site_field_hits"), times("email").alias("email_hits"), times("mention").alias("snippet_hits"),
         F.bool_or("by_registry").alias("mentioned_by_registry"), F.bool_or("requires_proof").alias("requires_proof"), F.min("seen").alias("first_seen"),

@@ -82,15 +82,29 @@ def answer_value(raw: Column, none: tuple[str, ...] = NO_ANSWER) -> Column:
     return F.when(~value.isin(*none), value)
 
 
-def resolve_choice(decisions: DataFrame, judged: DataFrame) -> DataFrame:
-    """Decisions with the chosen candidate's row (c): the list's domain, a url of it, or its number in the list."""
-    value = answer_value(F.col("raw_domain"))
-    asked = decisions.withColumn("__v", value).withColumn("__r", registrable("__v"))
+def _named(domain: str = "domain") -> Column:
+    """How a candidate is what a decision (__v, __r) names: 1 its domain, 2 a url of it, 3 its number in the list; null if it is not."""
     number = F.when(F.col("__v").rlike("^[0-9]+$"), F.expr("try_cast(__v AS int)"))
-    rows = asked.join(judged.select("inn", F.struct(*judged.columns).alias("c")), "inn", "left")
-    how = F.when(F.col("c.domain") == F.col("__v"), 1).when(F.col("c.domain") == F.col("__r"), 2).when(F.col("c.item_no") == number, 3)
-    best = rows.groupBy("inn").agg(F.min_by("c", how).alias("c"), F.min(how).alias("how"))
-    return decisions.join(best.select("inn", F.when(F.col("how").isNotNull(), F.col("c")).alias("c")), "inn", "left")
+    return F.when(F.col(domain) == F.col("__v"), 1).when(F.col(domain) == F.col("__r"), 2).when(F.col("item_no") == number, 3)
+
+
+def _with_value(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumn("__v", answer_value(F.col("raw_domain"))).withColumn("__r", registrable("__v"))
+
+
+def resolve_choice(decisions: DataFrame, judged: DataFrame) -> DataFrame:
+    """Decisions (one a number) with the chosen candidate's row (c): the list's domain, a url of it, or its number in the list."""
+    rows = _with_value(decisions).join(judged.select("inn", "domain", "item_no", F.struct(*judged.columns).alias("c")), "inn", "left").withColumn("__how", _named())
+    best = rows.groupBy("inn").agg(F.first(F.struct(*(c for c in decisions.columns if c != "inn"))).alias("d"), F.min_by("c", "__how").alias("c"), F.min("__how").alias("how"))
+    return best.select("inn", *(F.col(f"d.{c}").alias(c) for c in decisions.columns if c != "inn"), F.when(F.col("how").isNotNull(), F.col("c")).alias("c"))
+
+
+def choose(judged: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(inn, c) for each number of judged: what its decision names, or the best candidate with proof where there is none; one aggregation."""
+    rows = judged.join(_with_value(decisions), "inn", "left").withColumn("__how", F.when(F.coalesce("decided", F.lit(False)), _named()).when(has_proof(), 4))
+    pick = F.struct("__how", "item_no")
+    best = rows.groupBy("inn").agg(F.min_by(F.struct(*judged.columns), F.when(F.col("__how").isNotNull(), pick)).alias("c"), F.min("__how").alias("how"))
+    return best.select("inn", F.when(F.col("how").isNotNull(), F.col("c")).alias("c"))
 
 
 def proven_best(judged: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgbeacon.functions.brands import brand_in_domain, name_similarity
-from orgbeacon.functions.codes import contains_code, excerpt_around, looks_parked, not_empty, or_empty, published_inns
+from orgbeacon.functions.codes import is_entrepreneur, not_empty, or_empty
 from orgbeacon.functions.domains import is_blocked
 from orgbeacon.functions.html import crawl_targets
 from orgbeacon.functions.suffixes import registrable
+from orgbeacon.operators.cards import display_name
+from orgbeacon.stored import stored
 
 # What evidence weighs.
 WEIGHTS = {
@@ -20,61 +22,82 @@ WEIGHTS = {
 OWN_BRAND = 0.8
 
 
-def home_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Candidates with their home page (home_*): https, or http where https has neither html nor a status."""
-
-    def side(name: str) -> DataFrame:
-        return pages.select(F.col("url").alias(f"{name}_url"), F.struct("url", "final_url", "status", "text", "title", "links", "has_html").alias(name))
-
-    asked = candidates.withColumns({f"{s}_url": F.concat(F.lit(f"{s}://"), "domain", F.lit("/")) for s in ("https", "http")})
-    joined = asked.join(side("https"), "https_url", "left").join(side("http"), "http_url", "left")
+def site_homes(domains: DataFrame, facts: DataFrame) -> DataFrame:
+    """(domain, home_url, final_url, reachable, home) of distinct domains: the facts of https, or of http where https has neither html nor a status."""
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.concat(F.lit(f"{r}://"), "domain", F.lit("/")).alias("url")) for r in ("https", "http")))
+    asked = domains.select("domain", F.explode(roles).alias("r")).select("domain", "r.role", "r.url")
+    page = F.when(F.col("has_html").isNotNull(), F.struct(*(c for c in facts.columns if c != "url")))
+    of = lambda role: F.first(F.when(F.col("role") == role, page), ignorenulls=True).alias(role)
+    both = asked.join(facts, "url", "left").groupBy("domain").agg(of("https"), of("http"))
     secure = F.coalesce(F.col("https.has_html"), F.lit(False)) | F.col("https.status").isNotNull()
-    home = F.when(secure, F.col("https")).otherwise(F.col("http"))
-    out = joined.withColumn("home", home).withColumn("home_url", F.when(secure | F.col("http").isNull(), F.col("https_url")).otherwise(F.col("http_url")))
+    url = F.concat(F.when(secure | F.col("http").isNull(), "https://").otherwise("http://"), "domain", F.lit("/"))
+    chosen = both.select("domain", F.when(secure, F.col("https")).otherwise(F.col("http")).alias("home"), url.alias("home_url"))
     reachable = F.coalesce(F.col("home.status").between(200, 399) & F.col("home.has_html"), F.lit(False))
-    return out.withColumn("reachable", reachable).withColumn("final_url", F.coalesce("home.final_url", "home_url")).drop("https", "http", "http_url")
+    return chosen.select("domain", "home_url", F.coalesce("home.final_url", "home_url").alias("final_url"), reachable.alias("reachable"), "home")
+
+
+def home_pages(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidates with the home page of their domain (home_url, final_url, reachable, home); each domain is looked up once."""
+    return candidates.join(site_homes(candidates.select("domain").distinct(), facts), "domain", "left")
 
 
-def verify_pages(candidates: DataFrame, cards: DataFrame, pages: DataFrame) -> DataFrame:
+def verify_pages(candidates: DataFrame, cards: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates with what their pages prove.
 
-    Home pages are joined by url first; further pages, in the order of the targets, count up to the first one that publishes
-    the organisation's number. Pages are parsed once, before (functions.html.page_text).
+    ``facts`` (functions.html.page_facts) are short; no text is moved. Each domain's home page and, if that is reachable, its
+    further pages are found once, by url, for all organisations; which of them publish a code of the organisation is a join on
+    (domain, code). Further pages, in the order of the targets, count up to the first one with the organisation's number.
     """
+    homes = stored(site_homes(candidates.select("domain").distinct(), facts))
+    targets = F.when(F.col("reachable"), crawl_targets(F.col("domain"), F.concat(F.lit("https://"), "domain", F.lit("/")), F.col("final_url"), F.col("home.links")))
+    asked = homes.select("domain", F.posexplode(targets).alias("pos", "url"))
+    more = stored(asked.join(facts.where("has_html"), "url").select("domain", "pos", F.col("final_url").alias("url"), "status", "title", "published", "codes"))
+    printed = homes.where("home IS NOT NULL").select("domain", F.lit(-1).alias("pos"), F.explode("home.codes").alias("c")).union(more.select("domain", "pos", F.explode("codes").alias("c")))
     own = cards.select("inn", "ogrn", "name_short", "name_full")
-    at_home = home_pages(candidates, pages).join(own, "inn").withColumns({
-        "home_text": or_empty("home.text"),
-        "home_has_inn": contains_code(F.col("home.text"), F.col("inn")),
-    })
-    targets = F.when(F.col("reachable") & ~F.col("home_has_inn"), crawl_targets(F.col("domain"), F.col("https_url"), F.col("final_url"), F.coalesce("home.links", F.array().cast("array<string>"))))
-    asked = at_home.withColumn("targets", targets).select("inn", "domain", "ogrn", F.posexplode("targets").alias("pos", "url"))
-    found = asked.join(pages.where("has_html").select("url", F.coalesce("final_url", "url").alias("page_url"), "status", "text", "title"), "url")
-    found = found.withColumns({"inn_found": contains_code("text", "inn"), "ogrn_found": contains_code("text", "ogrn")})
-    stop = F.min(F.when(F.col("inn_found"), F.col("pos"))).over(Window.partitionBy("inn", "domain"))
-    scanned = found.withColumn("stop", stop).where("stop IS NULL OR pos <= stop")
-    excerpt = excerpt_around("text", F.when(F.col("inn_found"), F.col("inn")).otherwise(F.col("ogrn")))
-    page = F.struct("pos", F.col("page_url").alias("url"), "status", "inn_found", "ogrn_found", "title", excerpt.alias("excerpt"))
-    more = scanned.groupBy("inn", "domain").agg(
-        F.sort_array(F.collect_list(F.when(F.col("inn_found") | F.col("ogrn_found"), page))).alias("more_pages"),
-        F.array_distinct(F.flatten(F.collect_list(published_inns("text")))).alias("more_inns"),
-    )
-    joined = at_home.join(more, ["inn", "domain"], "left")
-    home_excerpt = F.coalesce(not_empty(excerpt_around("home_text", "inn")), F.substring("home_text", 1, 200))
-    home_page = F.struct(F.lit(-1).alias("pos"), F.col("final_url").alias("url"), F.col("home.status").alias("status"), F.col("home_has_inn").alias("inn_found"), contains_code("home_text", "ogrn").alias("ogrn_found"), F.col("home.title").alias("title"), home_excerpt.alias("excerpt"))
+    codes = F.array(F.struct(F.lit("inn").alias("kind"), F.col("inn").alias("code")), F.struct(F.lit("ogrn").alias("kind"), F.col("ogrn").alias("code")))
+    wanted = candidates.select("inn", "domain").join(own, "inn").select("inn", "domain", F.explode(codes).alias("w")).select("inn", "domain", "w.kind", "w.code")
+    at = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "excerpt")))).alias(f"{kind}_at")
+    found = wanted.join(printed.select("domain", "pos", "c.code", "c.excerpt"), ["domain", "code"]).groupBy("inn", "domain").agg(at("inn"), at("ogrn"))
+    site = more.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("pos", "url", "status", "title", "published"))).alias("site"))  # five pages at most
+
+    rows = candidates.join(homes, "domain", "left").join(site, "domain", "left").join(found, ["inn", "domain"], "left").join(own, "inn")
+    no_map, no_texts = F.create_map().cast("map<int, string>"), F.array().cast("array<string>")
+    rows = rows.withColumns({"inn_at": F.coalesce("inn_at", no_map), "ogrn_at": F.coalesce("ogrn_at", no_map)})
+    has = lambda kind, pos: F.map_contains_key(F.col(f"{kind}_at"), pos)
+    rows = rows.withColumn("stop", F.array_min(F.filter(F.map_keys("inn_at"), lambda p: p >= 0)))
+    scanned = F.when(F.col("reachable") & ~has("inn", F.lit(-1)), F.filter("site", lambda s: F.col("stop").isNull() | (s["pos"] <= F.col("stop"))))
+    rows = rows.withColumn("scanned", F.coalesce(scanned, F.array().cast("array<struct<pos:int,url:string,status:int,title:string,published:array<string>>>")))
+
+    def entry(pos: Column, url: Column, status: Column, title: Column, excerpt: Column) -> Column:
+        return F.struct(pos.alias("pos"), url.alias("url"), status.alias("status"), has("inn", pos).alias("inn_found"), has("ogrn", pos).alias("ogrn_found"), title.alias("title"), excerpt.alias("excerpt"))
+
+    excerpt = lambda pos: F.coalesce(F.try_element_at("inn_at", pos), F.try_element_at("ogrn_at", pos))
+    home_excerpt = F.coalesce(not_empty(F.try_element_at("inn_at", F.lit(-1))), F.col("home.head"))
     none = F.array().cast("array<struct<pos:int,url:string,status:int,inn_found:boolean,ogrn_found:boolean,title:string,excerpt:string>>")
-    joined = joined.withColumn("pages", F.concat(F.when(F.col("reachable"), F.array(home_page)).otherwise(none), F.coalesce("more_pages", none)))
-    foreign = F.array_min(F.array_except(F.concat(published_inns("home_text"), F.coalesce("more_inns", F.array().cast("array<string>"))), F.array("inn")))
-    redirected = registrable("final_url")
-    title = not_empty("home.title")
-    return joined.select(
-        *(F.when(title.isNotNull(), F.concat(F.array(title), "titles")).otherwise(F.col("titles")).alias("titles") if c == "titles" else F.col(c) for c in candidates.columns),
-        (F.col("reachable") & ~looks_parked("home_text")).alias("reachable"), F.when(F.col("home").isNotNull(), F.col("final_url")).alias("final_url"),
-        F.when(redirected != F.col("domain"), redirected).alias("redirects_to"), F.exists("pages", lambda p: p["inn_found"]).alias("inn_on_site"),
-        F.exists("pages", lambda p: p["ogrn_found"]).alias("ogrn_on_site"), foreign.alias("foreign_inn"), "pages",
+    home_page = F.when(F.col("reachable"), F.array(entry(F.lit(-1), F.col("final_url"), F.col("home.status"), F.col("home.title"), home_excerpt))).otherwise(none)
+    proving = F.filter("scanned", lambda s: has("inn", s["pos"]) | has("ogrn", s["pos"]))
+    rows = rows.withColumn("pages", F.concat(home_page, F.transform(proving, lambda s: entry(s["pos"], s["url"], s["status"], s["title"], excerpt(s["pos"])))))
+    published = F.concat(F.coalesce("home.published", no_texts), F.flatten(F.transform("scanned", lambda s: s["published"])))
+    rows = rows.withColumns({"redirected": registrable("final_url"), "home_title": not_empty("home.title")})
+    return rows.select(
+        *(F.when(F.col("home_title").isNotNull(), F.concat(F.array("home_title"), "titles")).otherwise(F.col("titles")).alias("titles") if c == "titles" else F.col(c) for c in candidates.columns),
+        (F.col("reachable") & ~F.coalesce("home.parked", F.lit(False))).alias("reachable"), F.when(F.col("home").isNotNull(), F.col("final_url")).alias("final_url"),
+        F.when(F.col("redirected") != F.col("domain"), F.col("redirected")).alias("redirects_to"), F.exists("pages", lambda p: p["inn_found"]).alias("inn_on_site"),
+        F.exists("pages", lambda p: p["ogrn_found"]).alias("ogrn_on_site"), F.array_min(F.array_except(published, F.array("inn"))).alias("foreign_inn"), "pages",
         name_similarity(F.col("domain"), F.array(or_empty("name_short"), or_empty("name_full"))).alias("name_similarity"),
     )
 
 
+def published_codes(parsed: DataFrame, known: DataFrame) -> DataFrame:
+    """(inn, domain, proof, confidence): which site publishes which organisation's codes, from parsed pages and known (inn, code, proof).
+
+    Pages are scanned once; a code that a site prints on many pages is joined once. The least proof of a pair stays.
+    """
+    found = parsed.select(registrable(F.coalesce("final_url", "url")).alias("domain"), F.explode("codes.code").alias("code")).where("domain IS NOT NULL").distinct()
+    proofs = found.join(known, "code").groupBy("inn", "domain").agg(F.min("proof").alias("proof"))
+    return proofs.withColumn("confidence", F.when(F.col("proof") == "inn_on_site", 0.97).otherwise(0.93))
+
+
 def redirect_candidates(verified: DataFrame) -> DataFrame:
     """New candidates that verified ones redirect to: not known to the number, not blocked, the first source's counts."""
     new = verified.where(F.col("redirects_to").isNotNull() & ~is_blocked(F.col("redirects_to"))).select("inn", F.col("redirects_to").alias("domain"), "mention_count", "best_rank", "item_no")
@@ -126,26 +149,45 @@ def prefer_ru_siblings(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.when((crowd >= 2) & _zone("ru", "xn--p1ai", "рф"), F.bround(F.col("score") + WEIGHTS["ru_sibling"], 2)).otherwise(F.col("score")))
 
 
+# What a candidate's evidence is called in the text that a model reads.
+SENTENCES = {
+    "domain": "domain: ",
+    "title": "page title: ",
+    "reachable": "reachable: ",
+    "inn_on_site": "INN found on site: ",
+    "foreign": ("the site publishes INN ", ", which belongs to a DIFFERENT company"),
+    "ogrn_on_site": "OGRN found on site: ",
+    "brand": "brand-like domain name: ",
+    "similarity": "name similarity: %.2f",
+    "found": "appeared in %d search result(s), best rank %d",
+    "site_field": 'a directory lists this domain in the company\'s "website" field',
+    "email": "the company's contact e-mail is on this domain",
+    "registry": "mentioned in a business-registry page about this company",
+    "snippet": "[search snippet] ",
+}
+
+
 def evidence_lines() -> Column:
     """A candidate's evidence in lines of text."""
-    yes = lambda c: F.when(F.col(c), "True").when(~F.col(c), "False").otherwise("None")
+    say = SENTENCES
+    yes = lambda name, c: F.concat(F.lit(say[name]), F.when(F.col(c), "True").when(~F.col(c), "False").otherwise("None"))
     cut = lambda a, n: F.slice(F.coalesce(a, F.array().cast("array<string>")), 1, n)
     pages = F.transform(F.filter(F.slice("pages", 1, 3), lambda p: not_empty(p["excerpt"]).isNotNull()), lambda p: F.concat(F.lit("["), p["url"], F.lit("] "), F.substring(p["excerpt"], 1, 300)))
     lines = F.array(
-        F.concat(F.lit("domain: "), "domain"),
-        F.when(F.size("titles") > 0, F.concat(F.lit("page title: "), F.substring(F.get("titles", F.lit(0)), 1, 160))),
-        F.concat(F.lit("reachable: "), yes("reachable")),
-        F.concat(F.lit("INN found on site: "), yes("inn_on_site")),
-        F.when(not_empty("foreign_inn").isNotNull() & ~has_proof(), F.concat(F.lit("the site publishes INN "), "foreign_inn", F.lit(", which belongs to a DIFFERENT company"))),
-        F.concat(F.lit("OGRN found on site: "), yes("ogrn_on_site")),
-        F.concat(F.lit("brand-like domain name: "), yes("brand_in_domain")),
-        F.format_string("name similarity: %.2f", "name_similarity"),
-        F.format_string("appeared in %d search result(s), best rank %d", "mention_count", "best_rank"),
-        F.when(F.col("site_field_hits") > 0, 'a directory lists this domain in the company\'s "website" field'),
-        F.when(F.col("email_hits") > 0, "the company's contact e-mail is on this domain"),
-        F.when(F.col("mentioned_by_registry"), "mentioned in a business-registry page about this company"),
+        F.concat(F.lit(say["domain"]), "domain"),
+        F.when(F.size("titles") > 0, F.concat(F.lit(say["title"]), F.substring(F.get("titles", F.lit(0)), 1, 160))),
+        yes("reachable", "reachable"),
+        yes("inn_on_site", "inn_on_site"),
+        F.when(not_empty("foreign_inn").isNotNull() & ~has_proof(), F.concat(F.lit(say["foreign"][0]), "foreign_inn", F.lit(say["foreign"][1]))),
+        yes("ogrn_on_site", "ogrn_on_site"),
+        yes("brand", "brand_in_domain"),
+        F.format_string(say["similarity"], "name_similarity"),
+        F.format_string(say["found"], "mention_count", "best_rank"),
+        F.when(F.col("site_field_hits") > 0, say["site_field"]),
+        F.when(F.col("email_hits") > 0, say["email"]),
+        F.when(F.col("mentioned_by_registry"), say["registry"]),
     )
-    snippets = F.transform(cut(F.col("snippets"), 2), lambda s: F.concat(F.lit("[search snippet] "), F.substring(s, 1, 220)))
+    snippets = F.transform(cut(F.col("snippets"), 2), lambda s: F.concat(F.lit(say["snippet"]), F.substring(s, 1, 220)))
     return F.concat(F.filter(lines, lambda x: x.isNotNull()), pages, snippets)
 
 
@@ -158,16 +200,13 @@ def rendered(judged: DataFrame) -> DataFrame:
 
 def decision_prompts(judged: DataFrame, cards: DataFrame) -> DataFrame:
     """(inn, prompt): the card and the numbered candidates."""
-    from orgbeacon.functions.codes import is_entrepreneur
-    from orgbeacon.operators.cards import display_name
-
     part = lambda label, c: F.coalesce(F.concat(F.lit(label), not_empty(c)), F.lit(""))
     kind = F.when(is_entrepreneur("inn"), "individual entrepreneur (often has no website at all)").otherwise("legal entity")
     head = F.concat(F.lit("Company: "), display_name(), F.lit(", INN "), "inn", part(", OGRN ", "ogrn"), part(", ", "city"), F.lit("\nFull legal name: "), F.coalesce(not_empty("name_full"), F.lit("unknown")), F.lit("\nType: "), kind)
     return rendered(judged).join(cards, "inn").select("inn", F.concat(head, F.lit("\n\nCandidates:\n"), "candidates", F.lit("\n\nAnswer:")).alias("prompt"))
 
 
-def check_pairs(pairs: DataFrame, cards: DataFrame, pages: DataFrame) -> DataFrame:
+def check_pairs(pairs: DataFrame, cards: DataFrame, facts: DataFrame) -> DataFrame:
     """Evidence for (inn, domain) pairs that no search found, with a report in text; each pair once."""
     domain = F.coalesce(registrable("domain"), F.col("domain"))
     none = F.array().cast("array<string>")
@@ -175,7 +214,7 @@ def check_pairs(pairs: DataFrame, cards: DataFrame, pages: DataFrame) -> DataFra
         "inn", "domain", none.alias("titles"), none.alias("snippets"), F.lit(0).alias("mention_count"), F.lit(99).alias("best_rank"), F.lit(0).alias("site_field_hits"), F.lit(0).alias("email_hits"),
         F.lit(0).alias("snippet_hits"), F.lit(False).alias("mentioned_by_registry"), is_blocked(F.col("domain")).alias("requires_proof"), F.struct(F.lit(0).alias("hit_no"), F.lit(0).alias("sub_no")).alias("first_seen"), F.lit(1).alias("item_no"),
     )
-    seen = verify_pages(rows, cards, pages).join(cards.select("inn", "ogrn"), "inn")
+    seen = verify_pages(rows, cards, facts).join(cards.select("inn", "ogrn"), "inn")
     yes = lambda c: F.when(F.col(c), "True").otherwise("False")
     with_codes = F.array_join(F.transform(F.filter("pages", lambda p: p["inn_found"] | p["ogrn_found"]), lambda p: p["url"]), ", ")
     title = F.coalesce(not_empty(F.substring(F.get("titles", F.lit(0)), 1, 120)), F.lit("-"))
@@ -185,5 +224,3 @@ def check_pairs(pairs: DataFrame, cards: DataFrame, pages: DataFrame) -> DataFra
         F.when(is_blocked(F.col("domain")), "\nNOTE: a directory, market or network; it needs the codes of this very organisation").otherwise(""),
     )
     return seen.withColumn("report", report).drop("ogrn")
-
-

@@ -56,14 +56,38 @@ def raw_answers(steps: DataFrame) -> DataFrame:
     return rows.withColumn("__v", named).select("session", F.coalesce(registrable("__v"), "__v").alias("answer"))
 
 
-def transcripts(steps: DataFrame, cards: DataFrame) -> DataFrame:
-    """(session, transcript): the card, a line or two for each step, and how many steps are left."""
-    entries = F.to_json("args")
-    line = F.when(F.col("invalid"), F.concat(F.lit("[step "), F.col("index").cast("string"), F.lit("] INVALID OUTPUT -- "), F.coalesce("observation", F.lit("")))).otherwise(
-        F.concat(F.lit("[step "), F.col("index").cast("string"), F.lit("] action="), "action", F.lit(" args="), entries, F.lit("\nobservation: "), F.substring(F.coalesce("observation", F.lit("")), 1, MOST_OBSERVATION))
-    )
-    rows = steps.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("index", line.alias("line")))).alias("rows"))
-    known = lambda c: F.coalesce(not_empty(c), F.lit("unknown"))
-    head = F.concat(F.lit("Company to find the website for:\n- INN: "), "inn", F.lit("\n- OGRN: "), known("ogrn"), F.lit("\n- Legal name: "), F.coalesce(not_empty("name_full"), not_empty("name_short"), F.lit("unknown (find it yourself)")), F.lit("\n- City: "), known("city"))
-    left = F.lit(MOST_STEPS) - F.size("rows")
-    return rows.join(cards, "session").select("session", F.concat(head, F.lit("\n\nWhat you did so far:\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.format_string("\n\nYou have %d step(s) left.", left)).alias("transcript"))
+# The sentences of a transcript.
+TRANSCRIPT = {
+    "head": "Company to find the website for:\n- INN: ",
+    "ogrn": "\n- OGRN: ",
+    "name": "\n- Legal name: ",
+    "city": "\n- City: ",
+    "unknown": "unknown",
+    "no_name": "unknown (find it yourself)",
+    "first": "\nYou have %d steps. Output your first action as one JSON object.",
+    "so_far": "\n\nWhat you did so far:\n",
+    "invalid": "[step %d] INVALID OUTPUT -- %s",
+    "step": "[step %d] action=%s args=%s\nobservation: %s",
+    "left": "\n\nYou have %d step(s) left. Output the next action as one JSON object.",
+    "last": " This is your LAST step: you must use finish.",
+}
+
+
+def _json_args() -> Column:
+    """The arguments as a JSON object, a space after each comma and colon."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))), ", "), F.lit("}"))
+
+
+def transcripts(steps: DataFrame, cards: DataFrame, most: int = MOST_STEPS) -> DataFrame:
+    """(session, transcript) for each of cards: the card, a line or two for each step, and how many steps are left."""
+    say = TRANSCRIPT
+    seen = F.coalesce("observation", F.lit(""))
+    line = F.when(F.col("invalid"), F.format_string(say["invalid"], "index", seen)).otherwise(F.format_string(say["step"], "index", "action", _json_args(), F.substring(seen, 1, MOST_OBSERVATION)))
+    rows = steps.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("index", line.alias("line")))).alias("rows"))  # ten steps at most
+    known = lambda c: F.coalesce(not_empty(c), F.lit(say["unknown"]))
+    name = F.coalesce(not_empty("name_full"), not_empty("name_short"), F.lit(say["no_name"]))
+    head = F.concat(F.lit(say["head"]), "inn", F.lit(say["ogrn"]), known("ogrn"), F.lit(say["name"]), name, F.lit(say["city"]), known("city"), F.lit("\n"))
+    left = F.lit(most) - F.size("rows")
+    done = F.concat(F.lit(say["so_far"]), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.format_string(say["left"], left), F.when(left <= 1, say["last"]).otherwise(""))
+    return cards.join(rows, "session", "left").select("session", F.concat(head, F.when(F.col("rows").isNull(), say["first"] % most).otherwise(done)).alias("transcript"))

@@ -15,6 +15,7 @@ from orgbeacon.operators import candidates, cards, decisions, evaluate, evidence
 from orgbeacon.plans import resolve as whole
 from orgbeacon.plans.views import CTE, view
 from orgbeacon.sources import readers, writers
+from orgbeacon.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,14 @@ def _query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+def _in(column: str, values: tuple[str, ...]) -> str:
+    return f"coalesce({column} IN (" + ", ".join(f"'{v}'" for v in values) + "), false)"
+
+
+def _any_of(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
 def _joined(*names: str) -> list:
     return [F.array_join(n, "|").alias(n) for n in names]
 
@@ -105,6 +114,15 @@ def _build(v):
     return writers.full_lines(v(_RESULTS))
 
 
+_RUNS = "SELECT config, inn, domain, proof FROM res"
+
+
+@_query("s9_write_eval", f"""SELECT config, 'summary' AS part, '{{"n":' || CAST(count(*) AS STRING) || ',"best":' || coalesce('"' || max(raw_answer) || '"', 'null') || '}}' AS value FROM res GROUP BY config
+  UNION ALL SELECT config, 'runs', '{{"inn":"' || inn || '"' || coalesce(',"domain":"' || domain || '"', '') || coalesce(',"proof":"' || proof || '"', '') || '}}' FROM ({_RUNS}) r""")
+def _build(v):
+    return writers.evaluation_lines(v("SELECT config, count(*) AS n, max(raw_answer) AS best FROM res GROUP BY config"), v(_RUNS))
+
+
 # ---- codes
 
 
@@ -147,10 +165,10 @@ def _build(v):
     return v(_TEXTS).select("k", F.array_join(codes.published_inns("text"), "|").alias("found"))
 
 
-_PARKED = "SELECT page_id AS k, CASE page_id % 4 WHEN 0 THEN 'Этот ДОМЕН ПРОДАЕТСЯ' WHEN 1 THEN 'Domain is for sale!' ELSE 'Добро пожаловать' END || substr(html, 1, 40) AS text FROM pages"
+_PARKED = "SELECT page_id AS k, html || CASE page_id % 4 WHEN 0 THEN 'Этот ДОМЕН ПРОДАЕТСЯ' WHEN 1 THEN 'Domain is for sale!' WHEN 2 THEN 'домен хороший' ELSE '' END AS text FROM pages"
 
 
-@_query("c8_looks_parked", f"SELECT k, k % 4 IN (0, 1) AS parked FROM ({_PARKED}) t")
+@_query("c8_looks_parked", f"SELECT k, {_any_of('lower(text)', codes.PARKED)} AS parked FROM ({_PARKED}) t")
 def _build(v):
     return v(_PARKED).select("k", codes.looks_parked("text").alias("parked"))
 
@@ -172,7 +190,7 @@ def _build(v):
 _SOME = "SELECT k, CASE k % 5 WHEN 0 THEN 'rusprofile.ru' WHEN 1 THEN 'hh.ru' WHEN 2 THEN 'mail.ru' WHEN 3 THEN 'focus.kontur.ru' ELSE domain END AS domain FROM org"
 
 
-@_query("d2_domain_lists", f"SELECT k, k % 5 IN (0, 3) AS is_aggregator, k % 5 <> 4 AS is_blocked, k % 5 = 2 AS is_free_mail FROM ({_SOME}) d")
+@_query("d2_domain_lists", f"SELECT k, {_in('domain', domains.AGGREGATORS)} AS is_aggregator, {_in('domain', domains.AGGREGATORS + domains.PLATFORMS)} AS is_blocked, {_in('domain', domains.FREE_MAIL)} AS is_free_mail FROM ({_SOME}) d")
 def _build(v):
     d = F.col("domain")
     return v(_SOME).select("k", domains.is_aggregator(d).alias("is_aggregator"), domains.is_blocked(d).alias("is_blocked"), domains.is_free_mail(d).alias("is_free_mail"))
@@ -187,14 +205,18 @@ def _build(v):
     return v(_NAMES).select("k", brands.transliterate(F.col("name")).alias("latin"), brands.transliterate(F.col("name"), alt=True).alias("alt"))
 
 
-@_query("d4_clean_name", """SELECT k, CASE k % 3 WHEN 0 THEN 'Хлеб Цех ' || label WHEN 1 THEN label || '   юбками' ELSE label || '-' || upper(label) END AS brand FROM org""")
+_CLEAN = "SELECT k, CASE k % 3 WHEN 0 THEN 'Хлеб Цех ' || label WHEN 1 THEN label || '   юбками' ELSE label || '-' || upper(label) END AS brand FROM org"
+_TOKENS = r"list_slice(list_filter(regexp_split_to_array({}, '[ _,.-]+'), lambda t: length(t) > 2), 1, 6)"
+
+
+@_query("d4_clean_name", _CLEAN)
 def _build(v):
     return v(_NAMES).select("k", brands.clean_name("name").alias("brand"))
 
 
-@_query("d5_brand_tokens", """SELECT k, CASE k % 3 WHEN 0 THEN 'Хлеб|Цех|' || label WHEN 1 THEN label || '|юбками' ELSE label || '|' || upper(label) END AS tokens FROM org WHERE label NOT LIKE '%-%'""")
+@_query("d5_brand_tokens", f"SELECT k, array_to_string({_TOKENS.format('brand')}, '|') AS tokens FROM ({_CLEAN}) c")
 def _build(v):
-    return v(_NAMES + " WHERE label NOT LIKE '%-%'").select("k", F.array_join(brands.brand_tokens("name"), "|").alias("tokens"))
+    return v(_NAMES).select("k", F.array_join(brands.brand_tokens("name"), "|").alias("tokens"))
 
 
 @_query("d6_spelling_variants", "SELECT k, value || CASE WHEN value LIKE '%ks%' THEN '|' || replace(value, 'ks', 'x') ELSE '' END || CASE WHEN value LIKE '%iy%' THEN '|' || replace(value, 'iy', 'y') ELSE '' END AS forms FROM (SELECT k, label || CASE WHEN k % 2 = 0 THEN 'ks' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'iy' ELSE '' END AS value FROM org) x")
@@ -203,9 +225,16 @@ def _build(v):
     return rows.select("k", F.array_join(brands.spelling_variants(F.col("value")), "|").alias("forms"))
 
 
-@_query("d7_brand_variants", "SELECT k, label AS variants FROM org WHERE length(label) > 3 AND label NOT LIKE '%-%' AND label NOT LIKE '%ks%' AND label NOT LIKE '%iy%'")
+_SPELT = "SELECT k, label || CASE k % 4 WHEN 0 THEN 'ks' WHEN 1 THEN 'iy' WHEN 2 THEN '-ksiy' ELSE '' END AS brand FROM org"
+
+
+@_query("d7_brand_variants", f"""
+, tokens AS (SELECT k, {_TOKENS.format("brand")} AS ts FROM ({_SPELT}) s),
+words AS (SELECT k, list_concat(ts, [array_to_string(ts, '')]) AS ws, len(ts) AS n FROM tokens),
+spelt AS (SELECT k, flatten(list_transform(ws, lambda w, i: list_filter([w, CASE WHEN contains(w, 'ks') THEN replace(w, 'ks', 'x') END, CASE WHEN contains(w, 'iy') THEN replace(w, 'iy', 'y') END], lambda f: f IS NOT NULL AND length(f) > CASE WHEN i > n THEN 3 ELSE 0 END))) AS fs FROM words)
+SELECT k, array_to_string(list_filter(fs, lambda f, i: list_position(fs, f) = i), '|') AS variants FROM spelt""")
 def _build(v):
-    rows = v("SELECT k, 'ООО «' || label || '»' AS name FROM org WHERE length(label) > 3 AND label NOT LIKE '%-%' AND label NOT LIKE '%ks%' AND label NOT LIKE '%iy%'")
+    rows = v(f"SELECT k, 'ООО «' || brand || '»' AS name FROM ({_SPELT}) s")
     return rows.select("k", F.array_join(brands.brand_variants(F.col("name"), F.lit("")), "|").alias("variants"))
 
 
@@ -230,7 +259,9 @@ def _build(v):
 _MENTIONS = "SELECT k, domain, 'см. ' || upper(domain) || ', также www.' || domain || ' и test' || CAST(k AS STRING) || '.io; но не a.zz' AS text FROM org"
 
 
-@_query("d11_domains_in_text", "SELECT k, domain || '|test' || CAST(k AS STRING) || '.io' AS found FROM org")
+@_query("d11_domains_in_text", f"""
+, found AS (SELECT k, list_transform(regexp_extract_all(lower(text), '(?:[a-z0-9-]+[.])+(?:com|net|org|io|ru)'), lambda d: regexp_extract(d, '([^.]+[.][^.]+)$', 1)) AS ds FROM ({_MENTIONS}) m)
+SELECT k, array_to_string(list_filter(ds, lambda d, i: list_position(ds, d) = i), '|') AS found FROM found""")
 def _build(v):
     return v(_MENTIONS).select("k", F.array_join(domains.domains_in_text(F.col("text")), "|").alias("found"))
 
@@ -248,13 +279,18 @@ _REGISTRY = """SELECT k, inn, ogrn, label, CASE k % 5 WHEN 0 THEN 'https://fbc.r
   CASE k % 5 WHEN 4 THEN 'О нас' ELSE 'Реквизиты ИНН ' || inn END AS title FROM org"""
 
 
-@_query("d13_registry_hit", f"SELECT k, k % 5 IN (0, 1, 2) OR (k % 5 = 3 AND (length(replace(label, '-', '')) < 4)) AS is_hit FROM ({_REGISTRY}) r")
+_HIT_SQL = f"""contains(lower(url), inn) OR contains(lower(url), ogrn) OR ({_any_of("lower(title)", domains.REGISTRY_WORDS)} AND contains(title, inn)
+  AND NOT (length(l) >= 4 AND length(w) >= 4 AND (contains(l, w) OR contains(w, l))))"""
+_HIT_ROWS = f"""(SELECT *, replace(regexp_extract(d, '^([^.]+)', 1), '-', '') AS l, replace(label, '-', '') AS w FROM (SELECT *, regexp_extract(regexp_extract(url, '://([^/]+)', 1), '([^.]+[.][^.]+)$', 1) AS d FROM ({_REGISTRY}) r) x)"""
+
+
+@_query("d13_registry_hit", f"SELECT k, {_HIT_SQL} AS is_hit FROM {_HIT_ROWS} y")
 def _build(v):
     rows = v(_REGISTRY).withColumn("domain", suffixes.registrable("url"))
     return rows.select("k", domains.looks_like_registry_hit(F.col("url"), F.col("title"), F.col("inn"), F.col("ogrn"), F.array("label"), F.col("domain")).alias("is_hit"))
 
 
-@_query("d14_is_registry", f"SELECT k, k % 5 IN (0, 1, 2) OR (k % 5 = 3 AND (length(replace(label, '-', '')) < 4)) AS is_registry FROM ({_REGISTRY}) r")
+@_query("d14_is_registry", f"SELECT k, {_in('d', domains.AGGREGATORS)} OR {_HIT_SQL} AS is_registry FROM {_HIT_ROWS} y")
 def _build(v):
     rows = v(_REGISTRY).withColumn("domain", suffixes.registrable("url"))
     return rows.select("k", domains.is_registry(F.col("domain"), F.col("url"), F.col("title"), F.col("inn"), F.col("ogrn"), F.array("label")).alias("is_registry"))
@@ -281,13 +317,13 @@ def _build(v):
     return v(_LINKS).select("k", html.parse_page("html", "base").alias("p")).select("k", F.array_join("p.links", "|").alias("links"))
 
 
-_HOMES = """SELECT 'https://' || domain || '/' AS url, 'https://' || domain || '/' AS final_url, CASE k % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS status, CASE WHEN k % 3 = 0 THEN '<body>s</body>' ELSE '' END AS html, CAST(NULL AS STRING) AS error FROM pairs
-  UNION ALL SELECT 'http://' || domain || '/', 'http://' || domain || '/z', 200, '<body>p</body>', CAST(NULL AS STRING) FROM pairs WHERE k % 2 = 0"""
+_HOMES = """SELECT 'https://' || domain || '/' AS url, 'https://' || domain || '/' AS final_url, CASE k % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS status, CASE WHEN k % 3 = 0 THEN '<body>s</body>' ELSE '' END AS html, CAST(NULL AS STRING) AS error FROM org
+  UNION ALL SELECT 'http://' || domain || '/', 'http://' || domain || '/z', 200, '<body>p</body>', CAST(NULL AS STRING) FROM org WHERE k % 2 = 0"""
 
 
-@_query("h4_home_page", """SELECT inn, domain, k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 0) AS reachable, CASE WHEN k % 3 = 2 AND k % 2 = 0 THEN 'http://' || domain || '/z' ELSE 'https://' || domain || '/' END AS final_url FROM pairs""")
+@_query("h4_home_page", """SELECT inn, domain, k % 3 = 0 OR (k % 3 = 2 AND k % 2 = 0) AS reachable, CASE WHEN k % 3 = 2 AND k % 2 = 0 THEN 'http://' || domain || '/z' ELSE 'https://' || domain || '/' END AS final_url FROM org""")
 def _build(v):
-    return evidence.home_pages(v("SELECT inn, domain FROM pairs"), html.page_text(v(_HOMES))).select("inn", "domain", "reachable", "final_url")
+    return evidence.home_pages(v("SELECT inn, domain FROM org"), html.page_facts(html.page_text(v(_HOMES)))).select("inn", "domain", "reachable", "final_url")
 
 
 @_query("h5_crawl_targets", "SELECT k, 'https://' || label || '.com/about|https://' || domain || '/a/kontakt.html|https://' || domain || '/privacy|https://' || domain || '/contacts|https://' || domain || '/contact' AS targets FROM org")
@@ -302,9 +338,9 @@ def _build(v):
     return rows.select("k", F.when(F.col("r") != F.col("domain"), F.col("r")).alias("redirects_to"))
 
 
-@_query("h7_page_view", """SELECT 'https://' || p.domain || '/contacts' AS url, CASE WHEN p.k % 10 = 9 THEN 'page not readable (status=None, error=None)' ELSE 'title: ' || chr(10) || 'text: ' || CASE WHEN p.k % 4 = 1 THEN 'ИНН ' || p.inn ELSE 'ОГРН ' || p.ogrn END END AS view FROM pairs p""")
+@_query("h7_page_view", """SELECT 'https://' || p.domain || '/contacts' AS url, CASE WHEN p.k % 10 = 9 THEN 'page not readable (status=None, error=None)' ELSE 'title: ' || chr(10) || 'text: ' || CASE WHEN p.k % 4 = 1 THEN 'ИНН ' || p.inn ELSE 'ОГРН ' || p.ogrn END END AS view FROM org p""")
 def _build(v):
-    return html.page_view(html.page_text(v("SELECT url, final_url, status, error, html FROM only_pages")), v("SELECT 'https://' || domain || '/contacts' AS url FROM pairs"))
+    return html.page_view(html.page_text(v("SELECT url, final_url, status, error, html FROM snapshot")), v("SELECT 'https://' || domain || '/contacts' AS url FROM org"))
 
 
 # ---- cards
@@ -320,17 +356,17 @@ def _build(v):
     return cards.relevant_hits(v("hits")).select("inn", "hit_no")
 
 
-@_query("g3_card_blob")
+@_query("g3_card_blob", "SELECT inn, sha256(blob) AS blob_sha256, CAST(length(blob) AS INT) AS size FROM (SELECT inn, string_agg(title || ' ' || title || ' ' || snippet, ' ' ORDER BY hit_no) AS blob FROM hits WHERE contains(title || ' ' || snippet, inn) GROUP BY inn) b")
 def _build(v):
     return cards.card_blobs(v("hits")).select("inn", F.sha2("blob", 256).alias("blob_sha256"), F.length("blob").alias("size"))
 
 
-_CARD = """SELECT inn, ogrn, CASE WHEN k % 7 = 0 THEN 'ИП Иванов Иван Иванович' END AS name_full, name AS name_short, 'Москва' AS city, 'search_fallback' AS source FROM org WHERE length(label) >= 2"""
+_CARD = """SELECT inn, ogrn, CASE WHEN k % 7 = 0 THEN 'ИП Иванов Иван Иванович' END AS name_full, name AS name_short, 'Москва' AS city, 'search_fallback' AS source FROM org"""
 
 
 @_query("g4_extract_card", _CARD)
 def _build(v):
-    return cards.extract_cards(cards.card_blobs(cards.card_hits(v("SELECT h.* FROM hits h JOIN org o ON h.inn = o.inn WHERE length(o.label) >= 2"))))
+    return cards.extract_cards(cards.card_blobs(cards.card_hits(v("hits"))))
 
 
 _PART = "SELECT inn, CASE WHEN k % 3 = 0 THEN '' ELSE ogrn END AS ogrn, CAST(NULL AS STRING) AS name_full, CASE WHEN k % 4 = 0 THEN NULL ELSE name END AS name_short, '' AS city, 's' AS source FROM org"
@@ -373,34 +409,34 @@ _NAMED_ROWS = """
 , own AS (SELECT inn, hit_no, rank, CASE WHEN url LIKE 'https://fbc.ru%' THEN 'fbc.ru' WHEN url LIKE 'https://hh.ru%' THEN 'hh.ru' WHEN url = 'не url' THEN NULL ELSE regexp_extract(url, '://(?:www[.])?([^/]+)/', 1) END AS domain, url, title, snippet FROM hits),
 o2 AS (SELECT w.*, o.domain AS real, o.label, o.k, coalesce(w.domain = 'fbc.ru', false) AS registry FROM own w JOIN org o ON w.inn = o.inn),
 mined AS (
-  SELECT inn, hit_no, 1 AS sub_no, real AS domain, CASE WHEN k % 4 = 1 THEN 'email' ELSE 'site_field' END AS kind, registry, domain AS hit_domain FROM o2 WHERE domain = 'fbc.ru'
-  UNION ALL SELECT inn, hit_no, 1, real, 'mention', registry, domain FROM o2 WHERE domain = 'hh.ru'
-  UNION ALL SELECT inn, hit_no, 1, real, 'site_field', registry, domain FROM o2 WHERE domain IS NULL
-  UNION ALL SELECT inn, hit_no, 2, 'partner.org', 'mention', registry, domain FROM o2 WHERE domain IS NULL),
+  SELECT inn, hit_no, 1 AS sub_no, real AS domain, CASE WHEN k % 4 = 1 THEN 'email' ELSE 'site_field' END AS kind, registry, domain AS hit_domain, snippet FROM o2 WHERE domain = 'fbc.ru'
+  UNION ALL SELECT inn, hit_no, 1, real, 'mention', registry, domain, snippet FROM o2 WHERE domain = 'hh.ru'
+  UNION ALL SELECT inn, hit_no, 1, real, 'site_field', registry, domain, snippet FROM o2 WHERE domain IS NULL
+  UNION ALL SELECT inn, hit_no, 2, 'partner.org', 'mention', registry, domain, snippet FROM o2 WHERE domain IS NULL),
 rows_all AS (
-  SELECT inn, domain, hit_no, 0 AS sub_no, 'url' AS kind, rank, registry OR domain = 'hh.ru' AS requires_proof, false AS by_registry FROM o2 WHERE domain IS NOT NULL
-  UNION ALL SELECT inn, domain, hit_no, sub_no, kind, NULL, false, registry FROM mined),
+  SELECT inn, domain, hit_no, 0 AS sub_no, 'url' AS kind, rank, registry OR domain = 'hh.ru' AS requires_proof, false AS by_registry, title, snippet FROM o2 WHERE domain IS NOT NULL
+  UNION ALL SELECT inn, domain, hit_no, sub_no, kind, NULL, false, registry, '', snippet FROM mined),
 collected AS (
   SELECT inn, domain, CAST(sum(CASE WHEN kind = 'url' THEN 1 ELSE 0 END) AS INT) AS mention_count, CAST(coalesce(min(rank), 99) AS INT) AS best_rank, CAST(sum(CASE WHEN kind = 'site_field' THEN 1 ELSE 0 END) AS INT) AS site_field_hits,
     CAST(sum(CASE WHEN kind = 'email' THEN 1 ELSE 0 END) AS INT) AS email_hits, CAST(sum(CASE WHEN kind = 'mention' THEN 1 ELSE 0 END) AS INT) AS snippet_hits, bool_or(by_registry) AS mentioned_by_registry, bool_or(requires_proof) AS requires_proof,
-    min(hit_no * 100 + sub_no) AS seen FROM rows_all GROUP BY inn, domain)
+    min(hit_no * 100 + sub_no) AS seen,
+    coalesce(array_to_string(list_slice(list(title ORDER BY hit_no, sub_no) FILTER (title <> ''), 1, 3), '|'), '') AS titles, coalesce(array_to_string(list_slice(list(snippet ORDER BY hit_no, sub_no) FILTER (snippet <> ''), 1, 3), '|'), '') AS snippets FROM rows_all GROUP BY inn, domain)
 """
 
 
 @_query("k2_collect_candidates", _NAMED_ROWS + "SELECT * FROM collected")
 def _build(v):
     rows = candidates.collect_candidates(v("hits"), v("cards"))
-    return rows.withColumn("seen", F.col("first_seen.hit_no") * 100 + F.col("first_seen.sub_no")).drop("titles", "snippets", "first_seen")
+    return rows.withColumn("seen", F.col("first_seen.hit_no") * 100 + F.col("first_seen.sub_no")).withColumns({c: F.array_join(c, "|") for c in ("titles", "snippets")}).drop("first_seen")
 
 
-_PRIORS = "SELECT k, inn, domain, mention_count, best_rank, requires_proof, site_field_hits, email_hits, snippet_hits, mentioned_by_registry FROM verified"
+_PRIORS = "SELECT k, inn, domain, mention_count, best_rank, requires_proof, site_field_hits, email_hits, snippet_hits, mentioned_by_registry, CASE WHEN k % 2 = 0 THEN regexp_extract(domain, '^([^.]+)', 1) ELSE '$$$$$' END AS variant FROM verified"
 
 
 @_query("k3_prior_rank", f"""SELECT k, mention_count * 3.0 + greatest(0, 10 - best_rank) * 0.5 - CASE WHEN requires_proof THEN 6.0 ELSE 0 END + CASE WHEN site_field_hits > 0 THEN 20.0 ELSE 0 END + CASE WHEN email_hits > 0 THEN 14.0 ELSE 0 END + 4.0 * least(snippet_hits, 3)
-  + CASE WHEN mentioned_by_registry THEN 5.0 ELSE 0 END AS prior FROM ({_PRIORS}) p""")
+  + CASE WHEN mentioned_by_registry THEN 5.0 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 6.0 + CASE WHEN length(replace(variant, '-', '')) >= 4 THEN 8.0 ELSE 0 END ELSE 0 END AS prior FROM ({_PRIORS}) p""")
 def _build(v):
-    rows = v(_PRIORS)
-    return rows.select("k", F.round(candidates.prior_rank(F.array().cast("array<string>")), 6).alias("prior"))
+    return v(_PRIORS).select("k", F.round(candidates.prior_rank(F.array("variant")), 6).alias("prior"))
 
 
 @_query("k4_shortlist", """SELECT inn, domain, CAST(item_no AS INT) AS item_no FROM (SELECT inn, domain, row_number() OVER (PARTITION BY inn ORDER BY rank DESC, hit_no) AS item_no FROM (SELECT inn, url AS domain, rank, hit_no FROM hits) h) x WHERE item_no <= 3""")
@@ -411,12 +447,16 @@ def _build(v):
 _EMPTY = "array() AS titles, array() AS snippets, 1 AS mention_count, 1 AS best_rank, 0 AS site_field_hits, 0 AS email_hits, 0 AS snippet_hits, false AS mentioned_by_registry, false AS requires_proof, named_struct('hit_no', 1, 'sub_no', 0) AS first_seen, 1 AS item_no"
 _PROVEN = """SELECT inn, domain, k % 10 <> 9 AND k % 11 <> 0 AS reachable, k % 10 <> 9 AND k % 11 <> 0 AND k % 4 IN (0, 1) AS inn_on_site, k % 10 <> 9 AND k % 11 <> 0 AND k % 4 IN (2, 3) AS ogrn_on_site,
   CASE WHEN k % 10 = 9 THEN NULL WHEN k % 4 = 0 AND k % 7 = 0 THEN substr(inn, 1, 10) WHEN k % 4 = 2 THEN '7725861463' WHEN k % 4 = 1 AND k % 7 = 0 AND k % 11 <> 0 THEN substr(inn, 1, 10) END AS foreign_inn,
-  CASE WHEN k % 10 = 9 OR k % 13 <> 5 OR label || '.net' = domain THEN NULL ELSE label || '.net' END AS redirects_to FROM pairs"""
+  CASE WHEN k % 10 = 9 OR k % 13 <> 5 OR label || '.net' = domain THEN NULL ELSE label || '.net' END AS redirects_to FROM org"""
+
+
+def _facts(pages):
+    return stored(html.page_facts(html.page_text(pages)))
 
 
 def _verified(v):
-    pages = html.page_text(v("SELECT url, final_url, status, error, html FROM only_pages"))
-    return evidence.verify_pages(v(f"SELECT inn, domain, {_EMPTY} FROM pairs"), v("SELECT c.* FROM cards c JOIN pairs p ON c.inn = p.inn"), pages)
+    facts = _facts(v("SELECT url, final_url, status, error, html FROM snapshot"))
+    return evidence.verify_pages(v(f"SELECT inn, domain, {_EMPTY} FROM org"), v("cards"), facts)
 
 
 @_query("k5_verify_pages", _PROVEN)
@@ -429,15 +469,15 @@ def _build(v):
     return _verified(v).where("foreign_inn IS NOT NULL").select("inn", "foreign_inn")
 
 
-@_query("k7_parked", "SELECT inn, k % 2 = 1 AS reachable FROM pairs")
+@_query("k7_parked", "SELECT inn, k % 2 = 1 AS reachable FROM org")
 def _build(v):
-    pages = html.page_text(v("SELECT 'https://' || domain || '/' AS url, 'https://' || domain || '/' AS final_url, 200 AS status, CAST(NULL AS STRING) AS error, '<body>' || CASE WHEN k % 2 = 0 THEN 'Купить домен' ELSE 'x' END || '</body>' AS html FROM pairs"))
-    return evidence.verify_pages(v(f"SELECT inn, domain, {_EMPTY} FROM pairs"), v("SELECT c.* FROM cards c JOIN pairs p ON c.inn = p.inn"), pages).select("inn", "reachable")
+    facts = _facts(v("SELECT 'https://' || domain || '/' AS url, 'https://' || domain || '/' AS final_url, 200 AS status, CAST(NULL AS STRING) AS error, '<body>' || CASE WHEN k % 2 = 0 THEN 'Купить домен' ELSE 'x' END || '</body>' AS html FROM org"))
+    return evidence.verify_pages(v(f"SELECT inn, domain, {_EMPTY} FROM org"), v("cards"), facts).select("inn", "reachable")
 
 
 @_query("k8_redirects", f"SELECT inn, redirects_to AS domain, 1 AS mention_count, 1 AS best_rank FROM ({_PROVEN}) p WHERE redirects_to IS NOT NULL")
 def _build(v):
-    return evidence.redirect_candidates(_verified(v)).select("inn", "domain", "mention_count", "best_rank")
+    return evidence.redirect_candidates(stored(_verified(v))).select("inn", "domain", "mention_count", "best_rank")
 
 
 @_query("k8b_evidence_flags", "SELECT k, inn_on_site OR ogrn_on_site AS has_proof, inn_on_site OR ogrn_on_site OR site_field_hits > 0 OR email_hits > 0 AS has_entity_evidence FROM verified")
@@ -448,7 +488,7 @@ def _build(v):
 _SCORE = """
 , flagged AS (SELECT *, length(replace(label, '-', '')) >= 4 AND k % 9 <> 4 AND k % 2 = 0 AS brand FROM verified),
 judged AS (SELECT *, requires_proof AND NOT (inn_on_site OR ogrn_on_site OR brand OR likeness >= 0.8) AS blocked FROM flagged),
-scored AS (SELECT k, inn, domain, blocked, CASE WHEN blocked THEN CAST(-100.0 AS DOUBLE) ELSE CAST(round(CASE WHEN inn_on_site THEN 100 ELSE 0 END + CASE WHEN ogrn_on_site THEN 55 ELSE 0 END + CASE WHEN site_field_hits > 0 THEN 38 ELSE 0 END + CASE WHEN email_hits > 0 THEN 28 ELSE 0 END
+scored AS (SELECT *, CASE WHEN blocked THEN CAST(-100.0 AS DOUBLE) ELSE CAST(round(CASE WHEN inn_on_site THEN 100 ELSE 0 END + CASE WHEN ogrn_on_site THEN 55 ELSE 0 END + CASE WHEN site_field_hits > 0 THEN 38 ELSE 0 END + CASE WHEN email_hits > 0 THEN 28 ELSE 0 END
   + CASE WHEN mentioned_by_registry THEN 12 ELSE 0 END + 4 * least(snippet_hits, 3) + CASE WHEN brand THEN 22 ELSE 0 END + 25 * likeness + 6 * least(mention_count, 4) + CASE WHEN best_rank <= 10 THEN CAST(2.0 * (10 - best_rank) AS DOUBLE) / 10 ELSE 0 END
   + CASE WHEN domain LIKE '%.ru' THEN 6 ELSE 0 END - CASE WHEN foreign_inn IS NOT NULL AND NOT (inn_on_site OR ogrn_on_site) THEN 60 ELSE 0 END - CASE WHEN reachable = false THEN 40 ELSE 0 END, 2) AS DOUBLE) END AS score FROM judged)
 """
@@ -459,9 +499,9 @@ def _scored(v):
     return evidence.score_candidates(rows, F.when(F.col("k") % 2 == 0, F.array("label")).otherwise(F.array().cast("array<string>")))
 
 
-@_query("k9_score", _SCORE + "SELECT k, blocked, CAST(floor(score * 10 + 0.001) AS BIGINT) AS tenths FROM scored")
+@_query("k9_score", _SCORE + "SELECT k, blocked, CAST(round(score * 100) AS BIGINT) AS hundredths FROM scored")
 def _build(v):
-    return _scored(v).select("k", F.col("blacklisted_without_proof").alias("blocked"), F.floor(F.col("score") * 10 + 0.001).alias("tenths"))
+    return _scored(v).select("k", F.col("blacklisted_without_proof").alias("blocked"), F.round(F.col("score") * 100).cast("long").alias("hundredths"))
 
 
 _SIBLINGS = "SELECT page_id AS k, CAST((page_id - page_id % 3) / 3 AS INT) % 50 AS inn, 'b' || CAST(page_id % 4 AS STRING) || CASE page_id % 3 WHEN 0 THEN '.ru' WHEN 1 THEN '.com' ELSE '.su' END AS domain, CAST(page_id % 20 AS DOUBLE) AS score FROM pages"
@@ -477,30 +517,50 @@ def _build(v):
     return candidates.shortlist(v(_SIBLINGS).withColumn("first_seen", F.col("k")), "score", candidates.JUDGED).select("inn", "k", "item_no")
 
 
+_PAGE = "'https://' || domain || '/p'"
+
+
 def _shown(v):
-    return _scored(v).withColumns({"titles": F.array("label"), "snippets": F.array().cast("array<string>"), "pages": F.array().cast("array<struct<url:string,excerpt:string>>"), "item_no": F.lit(1)})
+    page = F.struct(F.concat(F.lit("https://"), "domain", F.lit("/p")).alias("url"), F.when(F.col("k") % 2 == 0, F.repeat(F.col("label"), 60)).otherwise("").alias("excerpt"))
+    snippets = F.array(F.repeat(F.concat("label", F.lit(" s ")), 40), F.lit("b"), F.lit("c"))
+    return _scored(v).withColumns({"titles": F.when(F.col("k") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("label")), "snippets": snippets, "pages": F.array(page), "item_no": F.lit(1)})
+
+
+_YES = "CASE WHEN {0} THEN 'True' WHEN NOT {0} THEN 'False' ELSE 'None' END"
+_LINES_SQL = f"""concat_ws(chr(10) || sep, 'domain: ' || domain, CASE WHEN k % 4 <> 0 THEN 'page title: ' || substr(label, 1, 160) END, 'reachable: ' || {_YES.format("reachable")}, 'INN found on site: ' || {_YES.format("inn_on_site")},
+  CASE WHEN foreign_inn IS NOT NULL AND NOT (inn_on_site OR ogrn_on_site) THEN 'the site publishes INN ' || foreign_inn || ', which belongs to a DIFFERENT company' END, 'OGRN found on site: ' || {_YES.format("ogrn_on_site")},
+  'brand-like domain name: ' || {_YES.format("brand")}, printf('name similarity: %.2f', likeness), printf('appeared in %d search result(s), best rank %d', mention_count, best_rank),
+  CASE WHEN site_field_hits > 0 THEN 'a directory lists this domain in the company''s "website" field' END, CASE WHEN email_hits > 0 THEN 'the company''s contact e-mail is on this domain' END,
+  CASE WHEN mentioned_by_registry THEN 'mentioned in a business-registry page about this company' END, CASE WHEN k % 2 = 0 THEN '[' || {_PAGE} || '] ' || substr(repeat(label, 60), 1, 300) END,
+  '[search snippet] ' || substr(repeat(label || ' s ', 40), 1, 220), '[search snippet] b')"""
 
 
-@_query("k12_evidence_lines")
+@_query("k12_evidence_lines", _SCORE + f"SELECT k, {_LINES_SQL} AS lines FROM (SELECT *, '' AS sep FROM scored) s")
 def _build(v):
     return _shown(v).select("k", F.array_join(evidence.evidence_lines(), "\n").alias("lines"))
 
 
-@_query("k13_decision_prompt")
+@_query("k13_decision_prompt", _SCORE + f"""SELECT s.inn, 'Company: ' || c.name_short || ', INN ' || s.inn || ', OGRN ' || c.ogrn || coalesce(', ' || c.city, '') || chr(10) || 'Full legal name: unknown' || chr(10) || 'Type: '
+  || CASE WHEN length(s.inn) = 12 THEN 'individual entrepreneur (often has no website at all)' ELSE 'legal entity' END || chr(10) || chr(10) || 'Candidates:' || chr(10) || '1. ' || domain || chr(10) || '   - ' || {_LINES_SQL} || chr(10) || chr(10) || 'Answer:' AS prompt
+  FROM (SELECT *, '   - ' AS sep FROM scored) s JOIN cards c ON s.inn = c.inn""")
 def _build(v):
     return evidence.decision_prompts(_shown(v), v("cards"))
 
 
-@_query("k14_domain_leads", "SELECT o.inn, 1 AS query_no, '' AS leads FROM org o UNION ALL SELECT o.inn, 2, o.domain || ' (site_field), partner.org (mention)' FROM org o")
+@_query("k14_domain_leads", """SELECT inn, 0 AS query_no, 'fbc.ru [aggregator] | ' || substr(name || ' ИНН ' || inn, 1, 90) || ' | ' || 'ОГРН ' || ogrn || ' г. Москва ' || CASE WHEN k % 4 = 1 THEN 'почта info@' || domain ELSE 'Сайт: https://' || domain || ' тел. 123' END
+    || CASE WHEN k % 5 <> 2 THEN chr(10) || domain || ' | ' || label || ' | Каталог товаров' ELSE '' END || CASE WHEN k % 6 <> 1 THEN chr(10) || 'hh.ru [never-answer] | Вакансии ' || label || ' | ИНН ' || inn || ' на рынке ' || upper(domain) ELSE '' END AS results,
+    domain || CASE WHEN k % 4 = 1 THEN ' (email)' ELSE ' (site_field)' END AS leads FROM org
+  UNION ALL SELECT inn, 1, label || '-shop.com | ' || label || ' shop | пишите на ' || label || '@mail.ru' || chr(10) || label || '.com | Главная | ', '' FROM org
+  UNION ALL SELECT inn, 2, '? | нет | website: ' || domain || ' и partner.org', domain || ' (site_field), partner.org (mention)' FROM org""")
 def _build(v):
-    return candidates.leads_by_query(v("SELECT * FROM hits WHERE query_no > 0")).select("inn", "query_no", "leads")
+    return candidates.leads_by_query(v("hits"))
 
 
 @_query("k15_check_pairs", f"SELECT inn, domain, reachable, inn_on_site, ogrn_on_site FROM ({_PROVEN}) p")
 def _build(v):
-    pages = html.page_text(v("SELECT url, final_url, status, error, html FROM only_pages"))
-    asked = v("SELECT inn, 'https://www.' || domain || '/q' AS domain FROM pairs UNION ALL SELECT inn, domain FROM pairs")
-    return evidence.check_pairs(asked, v("SELECT c.* FROM cards c JOIN pairs p ON c.inn = p.inn"), pages).select("inn", "domain", "reachable", "inn_on_site", "ogrn_on_site")
+    facts = _facts(v("SELECT url, final_url, status, error, html FROM snapshot"))
+    asked = v("SELECT inn, 'https://www.' || domain || '/q' AS domain FROM org UNION ALL SELECT inn, domain FROM org")
+    return evidence.check_pairs(asked, v("cards"), facts).select("inn", "domain", "reachable", "inn_on_site", "ogrn_on_site")
 
 
 # ---- decisions
@@ -567,30 +627,49 @@ def _build(v):
     return v("verified").select("k", confidence.alias("confidence"), proof.alias("proof"))
 
 
-_ASKED = "SELECT k AS request_id, raw AS source, regexp_replace(raw, '[^0-9]', '') AS inn FROM raw WHERE k % 5 = 0 UNION ALL SELECT k + 1000000, inn, inn FROM org UNION ALL SELECT k + 2000000, ' ' || inn, inn FROM org"
+_ASKED = "SELECT 'r' || CAST(k AS STRING) AS request_id, raw AS source FROM raw UNION ALL SELECT 'o' || CAST(k AS STRING), inn FROM org UNION ALL SELECT 'd' || CAST(k AS STRING), ' ' || inn FROM org"
 
 
 def _resolved(v):
     requests = readers.requests_from_lines(v(_ASKED).select("request_id", F.col("source").alias("value")))
     chosen = v("SELECT inn, 1 AS attempt, '{\"domain\": \"1\", \"confidence\": \"high\", \"reason\": \"r\"}' AS raw_reply FROM org WHERE k % 3 <> 0")
-    return whole.resolve(requests, v("hits"), v("SELECT * FROM cards WHERE name_short <> ''"), v("SELECT url, max(final_url) AS final_url, max(status) AS status, max(error) AS error, max(html) AS html FROM snapshot GROUP BY url"), chosen)
+    named = v("SELECT inn, ogrn, CAST(NULL AS STRING) AS name_full, CASE WHEN k % 17 = 3 THEN '' ELSE 'ООО «' || label || '»' END AS name_short, 'Москва' AS city FROM org")
+    return whole.resolve(requests, v("SELECT * FROM hits WHERE k % 19 <> 4"), named, v("SELECT url, final_url, status, error, html FROM snapshot"), chosen)
 
 
-@_query("r9_early_exits", f"""SELECT request_id, 'invalid' AS verdict FROM (SELECT k AS request_id, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM raw WHERE k % 5 = 0) x WHERE NOT ({_valid_sql()})""")
+# reachable sites publish a code; the others are refused, or not chosen where there is no reply
+_RESOLVED = f"""
+, asked AS (SELECT request_id, trim(source) AS source, regexp_replace(source, '[^0-9]', '', 'g') AS d FROM ({_ASKED}) a),
+checked AS (SELECT *, {_valid_sql()} AS is_valid FROM asked),
+joined AS (SELECT c.*, o.k, o.domain, o.k % 10 <> 9 AND o.k % 11 <> 0 AS reachable FROM checked c LEFT JOIN org o ON c.is_valid AND c.d = o.inn),
+verdicts AS (SELECT *, CASE WHEN NOT is_valid THEN 'invalid' WHEN k IS NULL OR k % 17 = 3 THEN 'no_name' WHEN k % 19 = 4 THEN 'no_candidates' WHEN reachable THEN 'accepted' WHEN k % 3 <> 0 THEN 'unreachable' ELSE 'none' END AS verdict FROM joined)
+"""
+
+
+@_query("r9_early_exits", _RESOLVED + "SELECT request_id, verdict FROM verdicts WHERE verdict IN ('invalid', 'no_name', 'no_candidates')")
 def _build(v):
-    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates') AND request_id < 1000000").where("verdict = 'invalid'").select("request_id", "verdict")
+    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates')").select("request_id", "verdict")
 
 
-@_query("r10_resolve")
+@_query("r10_resolve", _RESOLVED + """SELECT request_id, source, d AS inn, CASE WHEN verdict = 'accepted' THEN domain END AS domain, CAST(CASE WHEN verdict <> 'accepted' THEN 0.0 WHEN k % 4 IN (0, 1) THEN 0.97 ELSE 0.93 END AS DOUBLE) AS confidence,
+  CASE WHEN verdict <> 'accepted' THEN NULL WHEN k % 4 IN (0, 1) THEN 'inn_on_site' ELSE 'ogrn_on_site' END AS proof, verdict FROM verdicts""")
 def _build(v):
     return _resolved(v)
 
 
-@_query("r11_trace", """SELECT CAST(u AS STRING) AS inn, CAST(count(*) AS BIGINT) AS calls, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN repaired THEN 1 ELSE 0 END) AS BIGINT) AS repaired, CAST(sum(completion_tokens) AS BIGINT) AS out_tokens, bool_or(failed) AS degraded FROM (SELECT *, inn AS u FROM calls) c GROUP BY u""")
+_CALLS = "SELECT o.inn, c.failed, c.repaired, c.completion_tokens FROM calls c JOIN org o ON o.k = CAST(floor(c.event_id / 4) AS BIGINT)"
+
+
+@_query("r11_trace", _SCORE + f"""
+, listed AS (SELECT s.inn, s.score + n AS shown, n, s.domain || CAST(n AS STRING) AS name, s.* EXCLUDE (inn, score) FROM scored s JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) m ON true),
+lines AS (SELECT inn, array_to_string(list_slice(list(concat_ws(' ', name, printf('%.2f', shown), concat_ws(' ', CASE WHEN inn_on_site THEN 'inn' END, CASE WHEN ogrn_on_site THEN 'ogrn' END, CASE WHEN site_field_hits > 0 THEN 'site_field' END, CASE WHEN email_hits > 0 THEN 'email' END, CASE WHEN blocked THEN 'blocked' END)) ORDER BY shown DESC, n), 1, 6), '|') AS candidates FROM listed GROUP BY inn),
+sums AS (SELECT inn, count(*) AS calls, count(*) FILTER (failed) AS failed, count(*) FILTER (repaired) AS repaired, CAST(sum(completion_tokens) AS BIGINT) AS out_tokens FROM ({_CALLS}) c GROUP BY inn)
+SELECT o.inn, o.domain, coalesce(s.calls, 0) AS calls, coalesce(s.failed, 0) AS failed, coalesce(s.repaired, 0) AS repaired, coalesce(s.out_tokens, 0) AS out_tokens, coalesce(s.failed, 0) > 0 AS degraded, l.candidates FROM org o LEFT JOIN sums s ON o.inn = s.inn JOIN lines l ON o.inn = l.inn""")
 def _build(v):
-    results = v("SELECT DISTINCT inn, CAST(NULL AS STRING) AS domain, CAST(NULL AS STRING) AS proof FROM calls")
-    scored = _scored(v).withColumn("first_seen", F.col("k"))
-    return whole.traces(results, scored, v("calls")).select("inn", "calls", "failed", "repaired", "out_tokens", "degraded")
+    results = v("SELECT inn, domain, CAST(NULL AS STRING) AS proof FROM org")
+    many = _scored(v).withColumn("first_seen", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    many = many.withColumns({"score": F.col("score") + F.col("first_seen"), "domain": F.concat("domain", F.col("first_seen").cast("string"))})
+    return whole.traces(results, many, v(_CALLS)).select("inn", "domain", "calls", "failed", "repaired", "out_tokens", "degraded", F.array_join("candidates", "|").alias("candidates"))
 
 
 # ---- step logs
@@ -598,9 +677,9 @@ def _build(v):
 _STEPS = "SELECT session, index, raw, observation FROM step_rows"
 
 
-@_query("a1_parse_steps", """SELECT session, index, form = 1 AS invalid, CASE form WHEN 0 THEN 'check' WHEN 2 THEN 'check' WHEN 3 THEN 'search' WHEN 4 THEN 'finish' END AS action, CASE form WHEN 0 THEN '2' WHEN 2 THEN '2' WHEN 1 THEN CAST(-1 AS STRING) ELSE '1' END AS n_args FROM step_rows""")
+@_query("a1_parse_steps", """SELECT session, index, form = 1 AS invalid, CASE form WHEN 0 THEN 'check' WHEN 2 THEN 'check' WHEN 3 THEN 'search' WHEN 4 THEN 'finish' END AS action, CASE form WHEN 0 THEN 'a=1|b=2' WHEN 2 THEN 'a=1|b=2' WHEN 3 THEN 'q=' || CAST(index - 1 AS STRING) WHEN 4 THEN 'domain=https://WWW.site' || CAST(session AS STRING) || '.com/x' END AS arguments FROM step_rows""")
 def _build(v):
-    return steps.parse_steps(v(_STEPS)).select("session", "index", "invalid", "action", F.when(F.col("args").isNull(), "-1").otherwise(F.size("args").cast("string")).alias("n_args"))
+    return steps.parse_steps(v(_STEPS)).select("session", "index", "invalid", "action", F.array_join(F.array_sort(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("arguments"))
 
 
 _SIGNED = "SELECT *, CASE form WHEN 0 THEN 'c' WHEN 2 THEN 'c' WHEN 3 THEN 's' || CAST(index AS STRING) END AS sig FROM step_rows"
@@ -625,9 +704,17 @@ def _build(v):
     return steps.raw_answers(steps.parse_steps(v(_STEPS)))
 
 
-@_query("a5_transcript")
+_HEAD = "'Company to find the website for:' || chr(10) || '- INN: ' || CAST(session AS STRING) || chr(10) || '- OGRN: unknown' || chr(10) || '- Legal name: Имя' || chr(10) || '- City: unknown' || chr(10)"
+
+
+@_query("a5_transcript", f"""
+, lines AS (SELECT session, index, CASE WHEN form = 1 THEN printf('[step %d] INVALID OUTPUT -- ', index) || observation ELSE printf('[step %d] action=', index) || CASE form WHEN 3 THEN 'search' WHEN 4 THEN 'finish' ELSE 'check' END || ' args='
+  || CASE form WHEN 0 THEN '{{"a": "1", "b": "2"}}' WHEN 2 THEN '{{"b": "2", "a": "1"}}' WHEN 3 THEN '{{"q": "' || CAST(index - 1 AS STRING) || '"}}' ELSE '{{"domain": "https://WWW.site' || CAST(session AS STRING) || '.com/x"}}' END || chr(10) || 'observation: ' || observation END AS line FROM step_rows),
+told AS (SELECT session, string_agg(line, chr(10) ORDER BY index) AS lines, 10 - count(*) AS remaining FROM lines GROUP BY session)
+SELECT session, {_HEAD} || chr(10) || chr(10) || 'What you did so far:' || chr(10) || lines || chr(10) || chr(10) || printf('You have %d step(s) left. Output the next action as one JSON object.', remaining) || CASE WHEN remaining <= 1 THEN ' This is your LAST step: you must use finish.' ELSE '' END AS transcript FROM told
+UNION ALL SELECT session, {_HEAD} || chr(10) || 'You have 10 steps. Output your first action as one JSON object.' FROM (SELECT DISTINCT -1 - session AS session FROM step_rows) n""")
 def _build(v):
-    who = v("SELECT DISTINCT session, CAST(session AS STRING) AS inn, CAST(NULL AS STRING) AS ogrn, 'Имя' AS name_full, CAST(NULL AS STRING) AS name_short, '' AS city FROM step_rows")
+    who = v("SELECT DISTINCT session, CAST(session AS STRING) AS inn, CAST(NULL AS STRING) AS ogrn, 'Имя' AS name_full, CAST(NULL AS STRING) AS name_short, '' AS city FROM (SELECT session FROM step_rows UNION ALL SELECT -1 - session FROM step_rows) s")
     return steps.transcripts(steps.parse_steps(v(_STEPS)), who)
 
 
@@ -646,17 +733,26 @@ def _build(v):
     return _labels(v).join(v("res"), "inn").select("inn", "config", evaluate.is_correct().alias("ok"))
 
 
-@_query("e2_summarize", _LABELS_AND_RESULTS + """
+_WALKED = "SELECT 'agent' AS config, CAST(session AS STRING) AS inn, form = 1 AS invalid, form = 2 AS repeated FROM step_rows"
+_SUMMARY = _LABELS_AND_RESULTS + f"""
 , b AS (SELECT config, count(*) AS n, count(*) FILTER (is_labelled) AS labelled, count(*) FILTER (is_labelled AND ok) AS correct, count(*) FILTER (is_labelled AND expected IS NOT NULL AND domain IS NOT NULL AND NOT ok) AS wrong,
   count(*) FILTER (is_labelled AND expected IS NOT NULL AND domain IS NULL) AS missed, count(*) FILTER (is_labelled AND expected IS NOT NULL) AS positives, count(*) FILTER (is_labelled AND expected IS NULL) AS negatives,
   count(*) FILTER (is_labelled AND expected IS NULL AND domain IS NOT NULL) AS false_positives, count(*) FILTER (domain IS NOT NULL) AS answered, count(*) FILTER (proof = 'inn_on_site') AS proven,
   count(*) FILTER (is_labelled AND raw_answer = expected) AS raw_llm_correct, round(avg(elapsed_s), 6) AS time_avg FROM marked GROUP BY config),
-c AS (SELECT config, count(*) AS llm_calls, count(*) FILTER (failed) AS llm_failed, count(*) FILTER (repaired) AS json_repairs, round(avg(CASE WHEN json_ok_first_try THEN 1.0 ELSE 0.0 END), 6) AS json_first_try, CAST(sum(completion_tokens) AS BIGINT) AS out_tokens FROM calls GROUP BY config)
-SELECT b.*, c.llm_calls, c.llm_failed, c.json_repairs, c.json_first_try, c.out_tokens, round(CAST(b.correct AS DOUBLE) / b.labelled, 6) AS accuracy, round(CAST(b.correct AS DOUBLE) / (b.correct + b.wrong + b.false_positives), 6) AS precision, round(CAST(b.n - b.answered AS DOUBLE) / b.n, 6) AS null_rate
-FROM b JOIN c ON b.config = c.config""")
+c AS (SELECT config, count(*) AS llm_calls, count(*) FILTER (failed) AS llm_failed, count(*) FILTER (repaired) AS json_repairs, round(avg(CASE WHEN json_ok_first_try THEN 1.0 ELSE 0.0 END), 6) AS json_first_try, CAST(sum(completion_tokens) AS BIGINT) AS out_tokens FROM calls GROUP BY config),
+w AS (SELECT config, round(count(*) / count(DISTINCT inn), 6) AS agent_steps_avg, count(*) FILTER (invalid) AS agent_invalid, count(*) FILTER (repeated) AS agent_repeated FROM ({_WALKED}) x GROUP BY config),
+summary AS (SELECT b.*, c.llm_calls, c.llm_failed, c.json_repairs, c.json_first_try, c.out_tokens, w.agent_steps_avg, coalesce(w.agent_invalid, 0) AS agent_invalid, coalesce(w.agent_repeated, 0) AS agent_repeated, round(CAST(b.correct AS DOUBLE) / b.labelled, 6) AS accuracy,
+  round(CAST(b.correct AS DOUBLE) / (b.correct + b.wrong + b.false_positives), 6) AS precision, round(CAST(b.n - b.answered AS DOUBLE) / b.n, 6) AS null_rate FROM b JOIN c ON b.config = c.config LEFT JOIN w ON b.config = w.config)
+"""
+
+
+def _summary(v):
+    return evaluate.summarize(_labels(v), v("res"), v("calls"), v(_WALKED))
+
+
+@_query("e2_summarize", _SUMMARY + "SELECT * FROM summary")
 def _build(v):
-    walked = v("SELECT 'agent' AS config, CAST(session AS STRING) AS inn, form = 1 AS invalid, false AS repeated FROM step_rows")
-    return evaluate.summarize(_labels(v), v("res"), v("calls"), walked).drop("agent_steps_avg", "agent_invalid", "agent_repeated")
+    return _summary(v)
 
 
 @_query("e3_by_tag", _LABELS_AND_RESULTS + "SELECT tag, config, count(*) FILTER (ok) AS ok, count(*) AS total FROM (SELECT tag, config, ok FROM marked WHERE is_labelled UNION ALL SELECT 'all', config, ok FROM marked WHERE is_labelled) t GROUP BY tag, config")
@@ -669,11 +765,9 @@ def _build(v):
     return evaluate.promotable(_labels(v), v("res"))
 
 
-@_query("e5_metric_table", _LABELS_AND_RESULTS + """, s AS (SELECT config, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (is_labelled AND ok) AS DOUBLE) AS correct FROM marked GROUP BY config)
-SELECT 'n' AS metric, max(CASE WHEN config = 'base' THEN n END) AS base, max(CASE WHEN config = 'chain' THEN n END) AS chain FROM s UNION ALL SELECT 'correct', max(CASE WHEN config = 'base' THEN correct END), max(CASE WHEN config = 'chain' THEN correct END) FROM s""")
+@_query("e5_metric_table", _SUMMARY + " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"CAST(max(CASE WHEN config = '{c}' THEN {m} END) AS DOUBLE) AS {c}" for c in ("base", "chain", "agent")) + " FROM summary" for m in evaluate.METRICS))
 def _build(v):
-    none = v("SELECT 'agent' AS config, CAST(session AS STRING) AS inn, form = 1 AS invalid, false AS repeated FROM step_rows")
-    return evaluate.metric_table(evaluate.summarize(_labels(v), v("res"), v("calls"), none), ["base", "chain"], ("n", "correct"))
+    return evaluate.metric_table(_summary(v), ["base", "chain", "agent"])
 
 
 @_query("e6_call_telemetry", """SELECT call_id, count(*) AS attempts, NOT bool_or(attempt = 1 AND transport_ok AND NOT accepted) AS json_ok_first_try, bool_or(attempt = 1 AND transport_ok AND NOT accepted) AS repaired, NOT bool_or(accepted) AS failed,
@@ -687,12 +781,10 @@ def _build(v):
     return evaluate.marks(_labels(v), v("res"))
 
 
-def site_codes(v: Callable[[str], DataFrame]) -> DataFrame:
-    """Which site publishes which organisation's codes: pages are scanned once, codes joined by equality."""
-    parsed = html.page_text(v("SELECT url, final_url, status, error, html FROM snapshot"))
-    found = parsed.select(suffixes.registrable(F.coalesce("final_url", "url")).alias("domain"), F.explode(codes.code_runs("text")).alias("code"))
+@_query("page_codes", """
+, printed AS (SELECT CASE WHEN k % 13 = 5 THEN label || '.net' ELSE domain END AS domain, CASE k % 4 WHEN 0 THEN inn WHEN 2 THEN '7725861463' END AS code FROM org WHERE k % 10 <> 9 UNION SELECT domain, CASE WHEN k % 4 = 1 THEN inn ELSE ogrn END FROM org WHERE k % 10 <> 9),
+known AS (SELECT inn, inn AS code, 'inn_on_site' AS proof FROM org UNION ALL SELECT inn, ogrn, 'ogrn_on_site' FROM org)
+SELECT inn, domain, min(proof) AS proof, CAST(CASE WHEN min(proof) = 'inn_on_site' THEN 0.97 ELSE 0.93 END AS DOUBLE) AS confidence FROM printed p JOIN known n ON p.code = n.code GROUP BY inn, domain""")
+def _build(v):
     known = v("SELECT inn, inn AS code, 'inn_on_site' AS proof FROM org UNION ALL SELECT inn, ogrn, 'ogrn_on_site' FROM org")
-    return found.join(known, "code").groupBy("inn", "domain").agg(F.min("proof").alias("proof")).withColumn("confidence", F.when(F.col("proof") == "inn_on_site", 0.97).otherwise(0.93))
-
-
-QUERIES["page_codes"] = lambda spark, sf_dir: site_codes(lambda v: view(spark, sf_dir, v if v.upper().startswith("SELECT") else f"SELECT * FROM {v}"))
+    return evidence.published_codes(html.page_text(v("SELECT url, final_url, status, error, html FROM snapshot")), known)

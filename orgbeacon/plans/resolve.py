@@ -1,4 +1,7 @@
-"""The whole job: one answer for each request, worked out once for each distinct valid number."""
+"""The whole job: one answer for each request, worked out once for each distinct valid number.
+
+What several steps read is written once (``stored``): page facts, cards with their spellings, short lists, verified candidates.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgbeacon.functions.codes import not_empty
-from orgbeacon.functions.html import page_text
+from orgbeacon.functions.html import page_facts, page_text
 from orgbeacon.operators import candidates as C
 from orgbeacon.operators import decisions as R
 from orgbeacon.operators import evidence as E
-
-
-def judged_candidates(hits: DataFrame, cards: DataFrame, parsed_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All scored candidates, and the first five of each number with their item_no."""
-    named = C.with_variants(cards).select("inn", "variants")
-    ranked = C.collect_candidates(hits, cards).join(named, "inn")
-    short = C.shortlist(ranked.withColumn("prior", C.prior_rank(F.col("variants"))).drop("variants")).drop("prior")
-    verified = E.verify_pages(short, cards, parsed_pages)
-    more = E.verify_pages(E.redirect_candidates(verified), cards, parsed_pages)
-    every = verified.unionByName(more).join(named, "inn")
-    scored = E.prefer_ru_siblings(E.score_candidates(every))
+from orgbeacon.stored import stored
+
+
+def judged_candidates(hits: DataFrame, cards: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All scored candidates, and the first five of each number with their item_no; ``facts`` of pages should be stored."""
+    cards = stored(C.with_variants(cards))
+    named = cards.select("inn", "variants")
+    ranked = C.collect_candidates(hits, cards).join(named, "inn").withColumn("prior", C.prior_rank(F.col("variants")))
+    short = stored(C.shortlist(ranked.drop("variants")).drop("prior"))
+    verified = stored(E.verify_pages(short, cards, facts))
+    more = E.verify_pages(stored(E.redirect_candidates(verified)), cards, facts)
+    scored = stored(E.prefer_ru_siblings(E.score_candidates(verified.unionByName(more).join(named, "inn"))))
     return scored, C.shortlist(scored.drop("item_no"), "score", C.JUDGED)
 
 
@@ -29,19 +33,18 @@ def resolve(requests: DataFrame, hits: DataFrame, cards: DataFrame, pages: DataF
 
     verdict: accepted, or why there is no answer (invalid, no_name, no_candidates, none, blocked, unreachable, foreign).
     """
+    requests = stored(requests)
     asked = requests.where("is_valid").select("inn").distinct()
-    own_cards = cards.join(asked, "inn", "left_semi")
-    named = own_cards.where(F.coalesce(not_empty("name_short"), not_empty("name_full")).isNotNull())
-    _, judged = judged_candidates(hits.join(named.select("inn"), "inn", "left_semi"), named, page_text(pages))
-    decided = R.first_valid(R.parse_decisions(replies))
-    some = judged.select("inn").distinct().join(decided, "inn", "left").withColumn("decided", F.coalesce("decided", F.lit(False)))
-    chosen = R.resolve_choice(some, judged).join(R.proven_best(judged).withColumnRenamed("c", "fallback"), "inn", "left")
-    pick = F.when(F.col("decided"), F.col("c")).otherwise(F.col("fallback"))
-    answers = R.guards(chosen.withColumn("pick", pick).select("inn", "pick.domain", *(f"pick.{c}" for c in ("inn_on_site", "ogrn_on_site", "site_field_hits", "email_hits", "reachable", "foreign_inn", "blacklisted_without_proof"))))
-    rows = requests.join(named.select("inn", F.lit(True).alias("has_name")), "inn", "left").join(answers.select("inn", "answer", "confidence", "proof", "verdict"), "inn", "left")
-    verdict = F.when(~F.col("is_valid"), "invalid").when(F.col("has_name").isNull(), "no_name").when(F.col("verdict").isNull(), "no_candidates").otherwise(F.col("verdict"))
-    good = F.col("is_valid")
-    return rows.select("request_id", "source", "inn", F.when(good, F.col("answer")).alias("domain"), F.when(good, F.coalesce("confidence", F.lit(0.0))).otherwise(0.0).alias("confidence"), F.when(good, F.col("proof")).alias("proof"), verdict.alias("verdict"))
+    named = stored(cards.join(asked, "inn", "left_semi").where(F.coalesce(not_empty("name_short"), not_empty("name_full")).isNotNull()))
+    _, judged = judged_candidates(hits.join(named.select("inn"), "inn", "left_semi"), named, stored(page_facts(page_text(pages))))
+    chosen = R.choose(judged, R.first_valid(R.parse_decisions(replies)))
+    answers = R.guards(chosen.select("inn", "c.domain", *(f"c.{c}" for c in ("inn_on_site", "ogrn_on_site", "site_field_hits", "email_hits", "reachable", "foreign_inn", "blacklisted_without_proof"))))
+    answers = answers.select("inn", "answer", "confidence", "proof", "verdict")
+    known = named.select("inn").join(answers, "inn", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no_candidates")))
+    key = F.when(F.col("is_valid"), F.col("inn")).otherwise(F.concat(F.lit("-"), F.xxhash64("request_id", "source").cast("string")))  # rows that are not valid share no key
+    rows = requests.withColumn("__key", key).join(known.withColumnRenamed("inn", "__key"), "__key", "left")
+    verdict = F.when(~F.col("is_valid"), "invalid").otherwise(F.coalesce("verdict", F.lit("no_name")))
+    return rows.select("request_id", "source", "inn", F.col("answer").alias("domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "proof", verdict.alias("verdict"))
 
 
 def traces(results: DataFrame, scored: DataFrame, calls: DataFrame) -> DataFrame:

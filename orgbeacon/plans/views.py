@@ -1,6 +1,7 @@
 """Inputs of the queries, derived from the given tables by SQL that Spark and DuckDB both run.
 
-Every view has a row or a few for each row of a table, so the queries' work grows with the tables. The SQL keeps to what the
+Every view has a row or a few for each row of a table, so the queries' work grows with the tables; each page gives an
+organisation with a domain of its own. The SQL keeps to what the
 two dialects share; ``[.]`` stands for an escaped dot.
 """
 
@@ -30,11 +31,20 @@ _NUMBERS = f"""
         SELECT k, lpad(CAST((k * 7919 + 123456789) % 1000000000 AS STRING), 9, '0') AS s9 FROM {{source}}) a) b) c
 """
 
-CTE = f"""
+# the same for Spark, each string written once, so that plans stay short
+_NUMBERS_ONCE = f"""
+  SELECT k, CASE WHEN k % 7 = 0 THEN transform(transform(array(s9 || '1'), s -> s || CAST({control("s", W11)} AS STRING)), s -> s || CAST({control("s", W12)} AS STRING))[0]
+    ELSE transform(array(s9), s -> s || CAST({control("s", W10)} AS STRING))[0] END AS inn
+  FROM (SELECT k, lpad(CAST((k * 7919 + 123456789) % 1000000000 AS STRING), 9, '0') AS s9 FROM {{source}}) a
+"""
+
+
+def _cte(numbers: str) -> str:
+    return f"""
 WITH page_keys AS (SELECT page_id AS k FROM pages),
 customer_keys AS (SELECT c_custkey AS k FROM customer),
-page_numbers AS ({_NUMBERS.format(source="page_keys")}),
-customer_numbers AS ({_NUMBERS.format(source="customer_keys")}),
+page_numbers AS ({numbers.format(source="page_keys")}),
+customer_numbers AS ({numbers.format(source="customer_keys")}),
 raw AS (
   SELECT k, inn, CASE WHEN k % 5 = 0 THEN substr(inn, 1, length(inn) - 1) || CAST(({_digit("inn", 10)} + 1) % 10 AS STRING)
                       WHEN k % 11 = 0 THEN 'abc' WHEN k % 3 = 0 THEN substr(inn, 1, 2) || '-' || substr(inn, 3) ELSE inn END AS raw
@@ -42,7 +52,7 @@ raw AS (
 hosts AS (
   SELECT page_id AS k, url, html, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages),
 named AS (
-  SELECT k, url, html, host, regexp_extract(host, '([^.]+)[.]example[.][a-z]+$', 1) AS label, regexp_extract(host, '([a-z]+)$', 1) AS tld FROM hosts),
+  SELECT k, url, html, host, regexp_extract(host, '([^.]+)[.]example[.][a-z]+$', 1) || 'n' || CAST(k AS STRING) AS label, regexp_extract(host, '([a-z]+)$', 1) AS tld FROM hosts),
 org AS (
   SELECT n.k, m.inn, n.url, n.html, n.host, n.label, CASE WHEN n.k % 3 = 0 THEN n.label || '.ru' ELSE n.label || '.' || n.tld END AS domain,
     CASE WHEN n.k % 7 = 0 THEN '3' || lpad(CAST(n.k AS STRING), 14, '0') ELSE '1' || lpad(CAST(n.k AS STRING), 12, '0') END AS ogrn,
@@ -66,8 +76,6 @@ snapshot AS (
   UNION ALL
   SELECT k, 'https://' || domain || '/contacts', 'https://' || domain || '/contacts', 200, CAST(NULL AS STRING),
     '<body><p>' || CASE WHEN k % 4 = 1 THEN 'ИНН ' || inn ELSE 'ОГРН ' || ogrn END || '</p></body>' FROM org WHERE k % 10 <> 9),
-pairs AS (SELECT k, inn, domain, label, ogrn FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY k) AS n FROM org) x WHERE n = 1),
-only_pages AS (SELECT s.* FROM snapshot s JOIN pairs p ON s.k = p.k),
 verified AS (
   SELECT k, inn, CASE WHEN k % 9 = 4 THEN 'ozon.ru' ELSE domain END AS domain, label, k % 6 AS mention_count, CASE WHEN k % 5 = 0 THEN 99 ELSE k % 14 END AS best_rank, k % 3 AS site_field_hits,
     k % 2 AS email_hits, k % 5 AS snippet_hits, k % 4 = 1 AS mentioned_by_registry, k % 9 = 4 AS requires_proof, k % 8 = 1 AS inn_on_site, k % 8 = 2 AS ogrn_on_site,
@@ -99,8 +107,11 @@ attempts AS (
 """
 
 
+CTE, SPARK_CTE = _cte(_NUMBERS), _cte(_NUMBERS_ONCE)
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query over the views; the given tables are read from ``sf_dir``."""
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(CTE + sql)
+    return spark.sql(SPARK_CTE + sql)

@@ -21,6 +21,12 @@ def write_in_order(lines: DataFrame, path: str) -> None:
     lines.orderBy("request_id").select("value").write.mode("overwrite").text(path)
 
 
-def write_evaluation(summary: DataFrame, path: str) -> None:
-    """A folder for each configuration."""
-    summary.write.mode("overwrite").partitionBy("config").json(path)
+def evaluation_lines(summary: DataFrame, runs: DataFrame) -> DataFrame:
+    """(config, part, value): the summary of each configuration, nulls written, and its runs one a line, nulls dropped."""
+    line = lambda df, part, keep: df.select("config", F.lit(part).alias("part"), F.to_json(F.struct(*(c for c in df.columns if c != "config")), {"ignoreNullFields": keep}).alias("value"))
+    return line(summary, "summary", "false").unionByName(line(runs, "runs", "true"))
+
+
+def write_evaluation(summary: DataFrame, runs: DataFrame, path: str) -> None:
+    """A folder for each configuration, with one for its summary and one for its runs."""
+    evaluation_lines(summary, runs).write.mode("overwrite").partitionBy("config", "part").text(path)

@@ -96,7 +96,7 @@ def test_similarity_is_difflibs(pairs):
 def test_pages():
     page = html._parsed('<html><head><title> T &amp; x </title><style>p{}</style></head><body><script>z</script><p>a&nbsp;b c</p><svg><text>no</text></svg><a href="/contacts#1">Контакты</a><a href="mailto:x@y.ru">info</a><a href="/contacts">x</a></body></html>', "https://d.ru/q/")
     assert page["title"] == "T & x" and page["text"] == "a b c Контакты info x" and page["links"] == ["https://d.ru/contacts"]
-    assert html._parsed(None, None) == {"text": "", "title": "", "links": []}
+    assert html._parsed(None, None) == {"text": "", "title": "", "links": [], "codes": []}
     assert html._parsed("<p>unclosed <b>x", "u")["text"] == "unclosed x"
 
 
@@ -120,3 +120,22 @@ def test_runs_agree_with_containment(spark, text):
     for code in ("7721581040", "123456789012"):
         runs = values(spark, codes.code_runs("a"), (text,))[0]
         assert values(spark, codes.contains_code("a", "b"), (text, code))[0] == (code in runs)
+
+
+def test_suffixes_need_no_jar(monkeypatch, tmp_path):
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "pyspark" / "__init__.py"))  # a Spark without its folder of jars
+    suffixes.public_suffixes.cache_clear()
+    rules = suffixes.public_suffixes()
+    assert {"ru", "co.uk", "com"} <= rules and "blogspot.com" not in rules
+    own = tmp_path / "list.txt"
+    own.write_text("// mine\nzz\n*.yy\n!www.yy\n// ===END ICANN DOMAINS===\nprivate.zz\n")
+    rules = suffixes.public_suffixes(str(own))
+    assert [suffixes.registrable_of(h, rules) for h in ("a.b.zz", "a.b.yy", "www.yy", "private.zz", "zz")] == ["b.zz", "a.b.yy", "www.yy", "private.zz", None]
+
+
+def test_codes_with_excerpts():
+    text = "x" * 200 + " 7721581040 y 7721581040 123 5077746329876" + "z" * 200
+    got = html.codes_with_excerpts(text)
+    assert [c["code"] for c in got] == ["7721581040", "5077746329876"] and got[0]["excerpt"] == text[121:291].strip()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orgbeacon.functions.html import page_text
+from orgbeacon.functions.html import page_facts, page_text
 from orgbeacon.operators import candidates, cards, decisions, evaluate, evidence, steps
 from orgbeacon.plans import resolve
 from orgbeacon.sources import readers, writers
@@ -76,12 +76,13 @@ def test_page_scan_stops_at_the_own_number(spark):
     ], PAGES)
     empty = F.array().cast("array<string>")
     asked = spark.createDataFrame([(INN, d, i, 1, 99, 0, 0, 0) for i, d in enumerate(("d.ru", "e.ru", "f.ru", "h.ru", "none.ru"))], "inn string, domain string, item_no int, mention_count int, best_rank int, site_field_hits int, email_hits int, snippet_hits int").select("*", empty.alias("titles"), empty.alias("snippets"), F.lit(False).alias("requires_proof"), F.lit(False).alias("mentioned_by_registry"), F.struct(F.lit(1).alias("hit_no"), F.lit(0).alias("sub_no")).alias("first_seen"))
-    got = {r.domain: r for r in evidence.verify_pages(asked, cards_of(spark), page_text(pages)).collect()}
+    got = {r.domain: r for r in evidence.verify_pages(asked, cards_of(spark), page_facts(page_text(pages))).collect()}
     d = got["d.ru"]
     assert d.inn_on_site and d.ogrn_on_site and d.foreign_inn == "7725861463" and [p.url for p in d.pages] == ["https://d.ru/", "https://d.ru/contacts", "https://d.ru/contact"]
     assert not got["e.ru"].reachable and got["f.ru"].reachable and got["f.ru"].redirects_to == "g.ru"
     assert not got["h.ru"].reachable and len(got["h.ru"].pages) == 1 and not got["none.ru"].reachable and got["none.ru"].final_url is None
-    more = evidence.redirect_candidates(evidence.verify_pages(asked, cards_of(spark), page_text(pages))).collect()
+    assert [p.excerpt for p in d.pages] == ["ИНН 7725861463", "ОГРН 5077746329876", f"ИНН {INN}"]
+    more = evidence.redirect_candidates(evidence.verify_pages(asked, cards_of(spark), page_facts(page_text(pages)))).collect()
     assert [(r.domain, r.mention_count) for r in more] == [("g.ru", 1)]
 
 
@@ -133,3 +134,33 @@ def test_empty_tables(spark):
     none = hits(spark, *STORY).limit(0)
     assert candidates.collect_candidates(none, cards_of(spark)).count() == 0
     assert resolve.resolve(readers.requests_from_lines(spark.createDataFrame([], "request_id long, value string")), none, cards_of(spark), spark.createDataFrame([], PAGES), spark.createDataFrame([], "inn string, attempt int, raw_reply string")).count() == 0
+
+
+def test_pages_are_read_and_parsed_once(spark, tmp_path):
+    from orgbeacon.stored import stored
+
+    spark.createDataFrame([("https://d.ru/", None, 200, f"ИНН {INN}", None)], PAGES).write.parquet(str(tmp_path / "pages"))
+    facts = page_facts(page_text(spark.read.parquet(str(tmp_path / "pages"))))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+    asked = spark.createDataFrame([(INN, "d.ru", [], [])], "inn string, domain string, titles array<string>, snippets array<string>")
+    plan = evidence.verify_pages(asked, cards_of(spark), stored(facts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "parse_page" not in plan and len(plan) < 40_000
+
+
+def test_transcripts(spark):
+    cards = spark.createDataFrame([("s", INN, None, None, "Имя", ""), ("none", INN, "1", "Полное", None, "Москва")], "session string, inn string, ogrn string, name_full string, name_short string, city string")
+    raw = ['{"action": "check", "args": {"a": "1", "b": "\\"2"}}', "z"] + ['{"action": "x"}'] * 7
+    parsed = steps.parse_steps(spark.createDataFrame([("s", i, r, f"saw {i}") for i, r in enumerate(raw, 1)], "session string, index int, raw string, observation string"))
+    got = {r.session: r.transcript for r in steps.transcripts(parsed, cards).collect()}
+    assert got["none"].endswith("- City: Москва\n\nYou have 10 steps. Output your first action as one JSON object.")
+    assert '[step 1] action=check args={"a": "1", "b": "\\"2"}\nobservation: saw 1\n[step 2] INVALID OUTPUT -- saw 2\n[step 3] action=x args={}' in got["s"]
+    assert got["s"].endswith("You have 1 step(s) left. Output the next action as one JSON object. This is your LAST step: you must use finish.")
+
+
+def test_evaluation_is_written(spark, tmp_path):
+    summary = spark.createDataFrame([("a", 2, None), ("b", 3, 0.5)], "config string, n int, precision double")
+    runs = spark.createDataFrame([("a", "1", None), ("b", "1", "x.ru")], "config string, inn string, domain string")
+    writers.write_evaluation(summary, runs, str(tmp_path / "out"))
+    got = {(r.config, r.part, r.value) for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert got == {("a", "summary", '{"n":2,"precision":null}'), ("b", "summary", '{"n":3,"precision":0.5}'), ("a", "runs", '{"inn":"1"}'), ("b", "runs", '{"inn":"1","domain":"x.ru"}')}
