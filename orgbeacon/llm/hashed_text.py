@@ -1,10 +1,10 @@
-"""Hashed character sequences of whole texts, as bounded vectors; the features of the two classifiers."""
+"""Hashed character sequences of whole texts, as bounded vectors; the features of language identification."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from orgbeacon.llm.shared import byte_table, mixed
+from orgbeacon.llm.shared import byte_table
 
 #: All bytes count; A-Z are read as a-z.
 CHARS = byte_table(b"", fold=True)
@@ -33,9 +33,3 @@ def damped(counts: np.ndarray) -> np.ndarray:
     out = np.sqrt(counts)
     size = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(size, 1e-9)
-
-
-def hashed_words(word_hashes: np.ndarray, first: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each word, and the text it is in."""
-    cells = (mixed(word_hashes) >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
-    return cells, np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -3,7 +3,7 @@
 ``mux`` stores bytes in a single-program stream: a program association table, a program map table, and elementary
 packets (PES) with presentation timestamps, each in 188-byte packets whose first one carries a clock reference and the
 random-access mark. ``demux`` parses the tables, checks continuity counters, reassembles the elementary packets and
-returns the payload with timestamps and random-access points.
+returns the payload with timestamps and random-access points. A damaged stream is reported in its row.
 
 Null text is stored as an empty one, an empty one as one block of padding. Other columns are kept; a column of theirs
 that has the name of a result is replaced.
@@ -137,8 +137,28 @@ def _tables_of(stream: np.ndarray, pid: np.ndarray, which: int) -> bytes:
     return whole[8:-4]
 
 
-def demux(media: bytes) -> dict:
-    """Payload, timestamps (90 kHz), their byte positions, random-access points (packet numbers) and continuity errors."""
+def _continuity(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of one elementary stream carry new payload, and how many breaks their counters show.
+
+    Packets without payload don't count; one repeat of a packet is legal and is left out; a marked discontinuity is no break.
+    """
+    field = (own[:, 3] & 0x20) != 0
+    loaded = np.flatnonzero((own[:, 3] & 0x10) != 0)
+    if len(loaded) < 2:
+        return loaded, 0
+    step = np.diff(own[loaded, 3] & 15) & 15
+    same = (step == 0) & (own[loaded[1:], 4:] == own[loaded[:-1], 4:]).all(axis=1)
+    twice = same & ~np.append(False, same[:-1])
+    marked = (field & (own[:, 4] > 0) & ((own[:, 5] & 0x80) != 0))[loaded[1:]]
+    fresh = np.append(True, ~twice)
+    kept = loaded[fresh]
+    step = np.diff(own[kept, 3] & 15) & 15
+    return kept, int(((step != 1) & ~marked[fresh[1:]]).sum())
+
+
+def demux(media: bytes, stream: int = 0) -> dict:
+    """Of one elementary stream (by its place in the map table): payload, timestamps (90 kHz), their byte positions, random-access points
+    (packet numbers) and continuity errors; and all (pid, stream type) of the map table. Damage raises a ValueError."""
     if len(media) % PACKET:
         raise ValueError("not whole packets")
     s = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -146,34 +166,45 @@ def demux(media: bytes) -> dict:
         raise ValueError("lost synchronisation")
     pid = (s[:, 1].astype(np.int32) & 0x1F) << 8 | s[:, 2]
     programs = _tables_of(s, pid, 0)
-    maps = [struct.unpack_from(">HH", programs, i) for i in range(0, len(programs), 4)]
-    pmt = _tables_of(s, pid, next(p & 0x1FFF for n, p in maps if n))
-    skip = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0x0FFF)
-    kind, es = struct.unpack_from(">BH", pmt, skip)
-    es &= 0x1FFF
+    maps = [p & 0x1FFF for n, p in struct.iter_unpack(">HH", programs) if n]
+    if not maps:
+        raise ValueError("no program")
+    pmt = _tables_of(s, pid, maps[0])
+    at, streams = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0x0FFF), []
+    while at + 5 <= len(pmt):
+        kind, es, size = struct.unpack_from(">BHH", pmt, at)
+        streams.append((es & 0x1FFF, kind))
+        at += 5 + (size & 0x0FFF)
+    if stream >= len(streams):
+        raise ValueError(f"no elementary stream {stream}")
+    es, kind = streams[stream]
     rows = np.flatnonzero(pid == es)
+    kept, errors = _continuity(s[rows])
+    rows = rows[kept]
     own = s[rows]
-    counters = own[:, 3] & 15
-    errors = int((((counters[1:] - counters[:-1]) & 15) != 1).sum())
     field = (own[:, 3] & 0x20) != 0
     extra = np.where(field, own[:, 4].astype(np.int32) + 1, 0)
+    if (extra > PACKET - 4).any():
+        raise ValueError("an adaptation field is longer than its packet")
     marked = field & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
     column = np.arange(PACKET)
     body = own[column[None, :] >= (4 + extra)[:, None]]
     begins = np.flatnonzero((own[:, 1] & 0x40) != 0)
     at = np.concatenate([[0], np.cumsum(PACKET - 4 - extra)])[begins].astype(np.int64)
+    if len(at) and at[-1] + _PES_HEAD > len(body):
+        raise ValueError("an elementary packet is not whole")
     heads = body[at[:, None] + np.arange(_PES_HEAD)].astype(np.int64)
     if len(at) and ((heads[:, :3] != (0, 0, 1)).any() or ((heads[:, 7] & 0x80) == 0).any()):
         raise ValueError("not an elementary packet with a timestamp")
     pts = (heads[:, 9] >> 1 & 7) << 30 | heads[:, 10] << 22 | (heads[:, 11] >> 1) << 15 | heads[:, 12] << 7 | heads[:, 13] >> 1
     sizes = (heads[:, 4] << 8 | heads[:, 5]) + 6
-    ends = np.append(at[1:], len(body))
-    if (sizes != ends - at).any():
+    ends = np.append(at[1:], len(body)) if len(at) else at
+    if (len(body) and not len(at)) or (sizes != ends - at).any():
         raise ValueError("an elementary packet is not whole")
     keep = np.ones(len(body), bool)
     keep[(at[:, None] + np.arange(_PES_HEAD)).ravel()] = False
     place = np.concatenate([[0], np.cumsum(sizes - _PES_HEAD)])[:-1] if len(at) else at
-    return {"payload": body[keep], "stream_type": kind, "pts": pts, "positions": place, "random_access": rows[marked], "errors": errors}
+    return {"payload": body[keep], "stream_type": kind, "streams": streams, "pts": pts, "positions": place, "random_access": rows[marked], "errors": errors}
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,27 +227,31 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(write, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def read_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", n_bytes_col: str = "n_bytes") -> DataFrame:
-    """What stored streams hold: payload with its digests, timestamps with their random-access packets, continuity errors.
+def read_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", n_bytes_col: str = "n_bytes", stream: int = 0) -> DataFrame:
+    """What stored streams hold: payload with its digests, timestamps with their random-access packets, continuity errors, pids of all
+    elementary streams, and ``damage``: what is wrong with a stream that can't be read, whose other columns are null then.
 
-    A null stream gives nulls; a damaged one fails with what is wrong with it.
+    A null stream gives nulls.
     """
-    schema = "id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pts array<long>, random_access array<long>, continuity_errors int"
+    schema = "id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pts array<long>, random_access array<long>, continuity_errors int, pids array<int>, damage string"
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pts", "random_access", "continuity_errors", "pids", "damage"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()), pa.string()]
+
+    def one(n: int | None, media: bytes | None) -> tuple:
+        if media is None:
+            return (n, *[None] * 10)
+        try:
+            got = demux(media, stream)
+        except (ValueError, IndexError, struct.error) as wrong:
+            return (n, None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, None, None, None, str(wrong))
+        payload = got["payload"].tobytes()
+        digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        return (n, *digests, got["pts"].tolist(), got["random_access"].tolist(), got["errors"], [p for p, _ in got["streams"]], None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                media = media.as_buffer()
-                if media is None:
-                    rows.append((n, *[None] * 8))
-                    continue
-                got = demux(media)
-                payload = got["payload"].tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), got["pts"].tolist(), got["random_access"].tolist(), got["errors"]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pts", "random_access", "continuity_errors"])
+            rows = [one(n, media.as_buffer()) for n, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), n_bytes_col, media_col).mapInArrow(read, schema.format(kind)).withColumnRenamed("id", id_col)

@@ -54,32 +54,32 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Hosts (with their subdomains) of which the pages' canonical urls are the block list.
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The block list: canonical urls of one page in 16, by the digest of its id."""
+    return pages.where(F.startswith(F.md5(F.col("page_id").cast("string").cast("binary")), F.lit("0"))).select(url_filters.canonical(F.col("url")).alias("url_key"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = url_filters.with_host_and_path(pages).where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS)))).select("host", "path")
-    return url_filters.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+    return url_filters.judge(pages, rules, listed_pages(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP5_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-j AS (SELECT *, '.' || host AS dotted FROM p),
-r AS (SELECT page_id, host, path,
+c AS (SELECT *, CASE WHEN host = '' THEN NULL ELSE regexp_replace(regexp_replace(host, '^.*@', ''), '(:80|:443)?$', '') || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key FROM p),
+listed AS (SELECT DISTINCT url_key FROM c WHERE url_key IS NOT NULL AND starts_with(md5(CAST(page_id AS VARCHAR)), '0')),
+j AS (SELECT c.*, '.' || host AS dotted, l.url_key IS NOT NULL AS is_listed FROM c LEFT JOIN listed l ON c.url_key = l.url_key),
+r AS (SELECT page_id, host, path, is_listed,
   CASE WHEN dotted LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
        WHEN dotted LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
        WHEN dotted LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
        WHEN dotted LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
-       WHEN dotted LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule,
-  dotted || '.' AS labels FROM j)
+       WHEN dotted LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM j)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
-       WHEN rule IS NOT NULL OR labels LIKE '%.spam-farm.%' OR labels LIKE '%.cheap-pills.%' THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR is_listed THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 
@@ -93,7 +93,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

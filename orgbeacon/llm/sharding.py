@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgbeacon.llm.shared import checkpoint
+from orgbeacon.llm.shared import checkpoint, prefix_sums
 
 SHARDS = 40
 OVERHEAD = 16
@@ -89,13 +89,13 @@ def reshard(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col
     cell = ["old_shard", "class", "salt"]
     dealt = sized.join(F.broadcast(sums.select("old_shard", "class", F.ceil(F.col("n") / CELL).alias("salts"))), ["old_shard", "class"]).withColumn("salt", F.pmod(F.xxhash64("id", "text_crc32"), "salts"))
     cells = dealt.groupBy(*cell).agg(F.sum("size").alias("bytes"))
-    before = cells.select(*cell, (F.sum("bytes").over(Window.partitionBy("old_shard").orderBy("class", "salt")) - F.col("bytes")).alias("before"))
+    before = prefix_sums(cells, "old_shard", ["class"], "salt", "bytes", "before").drop("bytes")
     inside = F.sum("size").over(Window.partitionBy(*cell).orderBy(F.desc("size"), "id", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = dealt.withColumn("inside", inside).join(before, cell).withColumn("at", F.col("inside") + F.col("before"))
     moved = placed.join(F.broadcast(plan), (F.col("old_shard") == F.col("o")) & (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
     moved = checkpoint(moved.select("id", "size", "text_crc32", *cell, F.col("shard").cast("int").alias("shard")))
     counts = moved.groupBy("shard", *cell).agg(F.count("*").alias("n"))
-    first = counts.select("shard", *cell, (F.sum("n").over(Window.partitionBy("shard").orderBy(*cell)) - F.col("n")).alias("first"))
+    first = prefix_sums(counts, "shard", ["old_shard", "class"], "salt", "n", "first").drop("n")
     rank = F.row_number().over(Window.partitionBy("shard", *cell).orderBy("id", "text_crc32")) - 1
     out = moved.withColumn("rank", rank).join(first, ["shard", *cell])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))

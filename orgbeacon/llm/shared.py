@@ -6,15 +6,16 @@ so no Python string is made for a word and memory stays bounded by the slice and
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgbeacon.stored import stored
+
 SLICE_BYTES = 2 << 20
 _PIECE = 1 << 20
 _MASK = (1 << 64) - 1
@@ -23,12 +24,36 @@ _WORD_BASE = 0xC2B2AE3D27D4EB4F
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+checkpoint = stored
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, size: str, rows: int, each: int = 2000) -> DataFrame:
+    """``many`` joined with ``one`` on ``key``; a key of very many rows is dealt over several tasks.
+
+    ``one`` has a row for each key; its column ``size`` says about how many rows of ``many`` have it, ``rows`` how many these
+    are in all. Keys of more than ``each`` rows, and of more than a 50,000th of all (so these are 50,000 keys at most and are
+    broadcast), have their row of ``one`` repeated once for each share.
+    """
+    each = max(each, rows // 50_000)
+    crowds = F.broadcast(one.where(F.col(size) > each).select(key, F.ceil(F.col(size) / each).alias("__shares")))
+    share = F.coalesce(F.pmod(F.xxhash64(*(c for c in many.columns)), F.col("__shares")), F.lit(0))
+    dealt = many.join(crowds, key, "left").withColumn("__share", share).drop("__shares")
+    shares = F.when(F.col(size) > each, F.ceil(F.col(size) / each)).otherwise(1)
+    repeated = one.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), shares.cast("long") - 1)))
+    return dealt.join(repeated.drop(size), [key, "__share"]).drop("__share")
+
+
+def prefix_sums(cells: DataFrame, group: str, order: list[str], number: str, value: str, out: str, chunk: int = 1000) -> DataFrame:
+    """``cells`` with ``out``: the sum of ``value`` over the cells before it in its group, by ``order`` and then ``number`` (from 0).
+
+    Cells are summed by chunks of ``chunk`` numbers first, so no task sorts more than a chunk, or a thousandth of a group's cells.
+    """
+    keys = [group, *order, "__chunk"]
+    dealt = cells.withColumn("__chunk", F.floor(F.col(number) / chunk))
+    chunks = dealt.groupBy(*keys).agg(F.sum(value).alias("__sum"))
+    before = chunks.select(*keys, (F.sum("__sum").over(Window.partitionBy(group).orderBy(*order, "__chunk")) - F.col("__sum")).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy(*keys).orderBy(number)) - F.col(value)
+    return dealt.withColumn("__within", within).join(before, keys).withColumn(out, F.col("__within") + F.col("__before")).drop("__chunk", "__within", "__before")
 
 
 def id_remainder(column: str, modulus: int):

@@ -1,16 +1,17 @@
 """URL filters: a blocked Bloom filter of the listed keys, then an exact hash join that removes its false positives.
 
 ``rules(host, path, verdict)`` fit a host and its subdomains where the url's path starts with the rule's; the longest
-wins. ``listed(host, path)`` are single canonical urls that are blocked where no rule fits. Both are keys of one list:
+wins. ``listed(url_key)`` are single canonical urls (``canonical``) that are blocked where no rule fits. Both are keys of one list:
 
-* a rule is found under its host and its path up to the last ``/``; a url asks for every suffix of its host with every
-  such directory of its path, and a join on the key is followed by a comparison with the rule's whole path;
-* a listed url is found under its whole host and path.
+* a rule is found under its host and its path up to the last ``/``; a url asks for the suffixes of its host and the
+  directories of its path that are as deep as those of some rule, and a join on the key is followed by a comparison with the
+  rule's whole path;
+* a listed url is found under its canonical form.
 
-The filter has one row of eight 64-bit words for each block, each key sets one bit in every word of its block, and a probe
-is a join on the block number. All of it is DataFrame functions. Null urls and urls without ``://`` have an empty host and
-path and are judged like any other; an empty list lets everything through; a rule that is repeated counts once, and of
-rules that differ only in their verdict ``block`` wins.
+Each key that is asked for is probed once, however many urls ask for it. The filter has one row of eight 64-bit words for each
+block, each key sets one bit in every word of its block, and a probe is a join on the block number. All of it is DataFrame
+functions. Null urls and urls without ``://`` have an empty host and path and are judged like any other; an empty list lets
+everything through; a rule that is repeated counts once, and of rules that differ only in their verdict ``block`` wins.
 """
 
 from __future__ import annotations
@@ -35,6 +36,31 @@ def with_host_and_path(df: DataFrame, url_col: str = "url") -> DataFrame:
     })
 
 
+def canonical(url: Column) -> Column:
+    """A url without what doesn't change the page: scheme, user, default port, trailing dot of the host, dot segments, query, fragment.
+
+    Letters of the scheme, the host and of percent codes are of one case; an empty path is ``/``. Null or without ``://``: null.
+    """
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    scheme = lower(F.regexp_extract(url, r"^([^/?#]*?)://", 1))
+    rest = F.substr(url, F.instr(url, "://") + 3)
+    authority = lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", ""))
+    port = F.when(scheme == "https", r":443$").otherwise(r":80$")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r":$", ""), port, ""), r"\.+(?=:|$)", "")
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    codes = F.array_join(F.transform(F.split(path, "%"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 1 << 30)))), "%")
+    no_texts = F.array().cast("array<string>")
+
+    def step(done: Column, segment: Column) -> Column:
+        return F.when(segment == ".", done).when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(segment)))
+
+    pieces = F.split(F.regexp_replace(codes, r"^/", ""), "/")
+    whole = F.array_join(F.aggregate(pieces, no_texts, step), "/")
+    ends = F.when(F.element_at(pieces, -1).isin(".", "..") & (whole != ""), "/").otherwise("")  # a dot segment at the end names a directory
+    cleaned = F.when(codes.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), whole, ends)).otherwise(codes)
+    return F.when(F.instr(url, "://") > 0, F.concat(host, F.when(cleaned == "", "/").otherwise(cleaned)))
+
+
 def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^((?s:.*/)?)", 1)
 
@@ -64,8 +90,8 @@ def listed_entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
     """One row a key and rule: key, r_host, r_path, r_verdict, is_rule."""
     own = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna().groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
     own = own.select(F.concat(F.lit("d "), "r_host", _directory(F.col("r_path"))).alias("key"), "r_host", "r_path", "r_verdict", F.lit(True).alias("is_rule"))
-    urls = listed.select(F.col("host").alias("r_host"), F.col("path").alias("r_path")).dropna().distinct()
-    return own.unionByName(urls.select(F.concat(F.lit("u "), "r_host", "r_path").alias("key"), "r_host", "r_path", F.lit("block").alias("r_verdict"), F.lit(False).alias("is_rule")))
+    urls = listed.select("url_key").dropna().distinct()
+    return own.unionByName(urls.select(F.concat(F.lit("u "), "url_key").alias("key"), F.lit("").alias("r_host"), F.lit("").alias("r_path"), F.lit("block").alias("r_verdict"), F.lit(False).alias("is_rule")))
 
 
 def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -73,20 +99,26 @@ def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "
     entries = listed_entries(rules, listed)
     n_keys = entries.count()
     bloom, blocks = blocked_bloom(entries.select("key"), n_keys)
-    pages = with_host_and_path(urls.drop("host", "path", "rule", "verdict"), url_col)
-
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    pieces = F.split(_directory(F.col("path")), "/")  # the last is empty
-    directories = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.when(i == F.size(pieces), F.array_join(pieces, "/")).otherwise(F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "/"), F.lit("/"))))))
-    asked = F.concat(F.array(F.concat(F.lit("u "), "host", "path")), F.flatten(F.transform(suffixes, lambda h: F.transform(directories, lambda d: F.concat(F.lit("d "), h, d)))))
-    distinct = pages.select("host", "path").distinct()
-    probes = distinct.select("host", "path", F.explode(asked).alias("key")).withColumn("h", _hash(F.col("key"))).withColumn("block", F.pmod("h", F.lit(blocks)))
+    pages = with_host_and_path(urls.drop("host", "path", "rule", "verdict"), url_col).withColumn("__url", canonical(F.col(url_col)))
+
+    # how many labels and directories rules have; a few numbers, as hosts have few labels
+    shapes = entries.where("is_rule").select(F.size(F.split("r_host", r"\.")).alias("labels"), (F.size(F.split("r_path", "/")) - 1).alias("depth")).distinct().collect()
+    labels, most = F.split("host", r"\."), max((r["depth"] for r in shapes), default=0)
+    slashes = F.split("path", "/", most + 2)  # of a path of very many directories the rest is left whole
+    asked = [F.concat(F.lit("u "), "__url")]
+    for labels_of_rule, depth in sorted((r["labels"], r["depth"]) for r in shapes):
+        suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - labels_of_rule + 1, F.lit(1)), F.lit(labels_of_rule)), ".")
+        directory = F.concat(F.array_join(F.slice(slashes, 1, depth), "/"), F.lit("/" if depth else ""))
+        asked.append(F.when((F.size(labels) >= labels_of_rule) & (F.size(slashes) > depth), F.concat(F.lit("d "), suffix, directory)))
+    distinct = pages.select("host", "path", "__url").distinct()
+    asking = distinct.select("host", "path", "__url", F.explode(F.array_compact(F.array(*asked))).alias("key"))
+    probes = asking.select("key").distinct().withColumn("h", _hash(F.col("key"))).withColumn("block", F.pmod("h", F.lit(blocks)))
     possible = probes.join(_small(bloom, blocks), "block")
     for i in range(_WORDS):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(_bit("h", i)) != 0)
-    hits = possible.select("host", "path", "key").join(_small(entries, n_keys), "key")
-    hits = hits.where(~F.col("is_rule") | F.startswith("path", "r_path"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct("is_rule", (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), "r_verdict", F.concat("r_host", "r_path").alias("rule"))).alias("best"))
-    best = best.select("host", "path", F.when(F.col("best.is_rule"), F.col("best.rule")).alias("rule"), F.col("best.r_verdict").alias("verdict"))
-    return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    found = possible.select("key").join(_small(entries, n_keys), "key")
+    hits = asking.join(_small(found, n_keys), "key").where(~F.col("is_rule") | F.startswith("path", "r_path"))
+    best = hits.groupBy("host", "path", "__url").agg(F.max(F.struct("is_rule", (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), "r_verdict", F.concat("r_host", "r_path").alias("rule"))).alias("best"))
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("__url").alias("b_url"), F.when(F.col("best.is_rule"), F.col("best.rule")).alias("rule"), F.col("best.r_verdict").alias("verdict"))
+    out = pages.join(best, F.expr("host = b_host AND path = b_path AND __url <=> b_url"), "left").drop("b_host", "b_path", "b_url", "__url")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))

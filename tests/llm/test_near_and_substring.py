@@ -65,11 +65,10 @@ def components(rows, percent):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_components(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3000])
+def test_components(spark, block):
     rows = corpus()
-    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block).collect()
     assert len(out) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == components(rows, 85)
 
@@ -79,7 +78,10 @@ def test_no_rows_and_null_ids(spark):
     assert near_dedup.near_duplicates(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = near_dedup.near_duplicates(rows).collect()
-    assert len(got) == 4 and all(r.kept for r in got) and [r.component_id for r in got if r.doc_id == 1] == [1]
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles, r.kept, r.stays) for r in got) == [("1", "1", 2, True, True), ("None", "1", 2, False, False), ("None", "1", 2, False, False), ("None", "None", 0, True, True)]
+    two = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (5, "p q r s t u"), (6, "P q r s t u"), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.stays) for r in near_dedup.near_duplicates(two).collect())
+    assert got == [("5", "5", True)] * 3 + [("6", "5", False)] + [("None", "None", True)] * 2
     assert substring_dedup.remove_repeats(rows).count() == 4
 
 
