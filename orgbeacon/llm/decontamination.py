@@ -4,12 +4,12 @@
 * The shingles of a window (``shingle`` words, fewer in a shorter window) are ordered by rarity: how often all documents hold
   them, counted in a first scan. A window that occurs whole must hold each of its shingles, so the necessary prefix of that
   order is its rarest shingle alone.
-* A second scan looks the documents' shingles up in the prefixes. A hit fixes where the window would begin and end
-  (positional bound); one that would leave the document is out (length bound). What remains is joined with the windows on
-  their words, which is the exact verification.
+* A second scan finds the prefixes' shingles in the documents, and a join on the shingle gives the candidate windows. A hit
+  fixes where the window would begin and end (positional bound); one that would leave the document is out (length bound).
+  What remains is compared with the window's words, which is the exact verification.
 
-The index of prefixes that the scans carry is broadcast in blocks of at most ``INDEX_WINDOWS`` windows, one scan of the
-documents a block, so a benchmark of any size is searched whole.
+Shingles are 64-bit hashes. Up to ``INDEX_SHINGLES`` of them are sent to the scans as a sorted array, so that other shingles
+are dropped where they are made; of a larger benchmark all shingles of the documents go to a join by a shuffle, with the same rows.
 
 Words are lower-cased in A-Z and are runs of ASCII letters, digits and non-ASCII characters. Null and empty texts have none;
 items without words have no window. Items that repeat are counted each by their ids; rows that repeat a document are judged
@@ -18,20 +18,22 @@ each; null items' ids are left out.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgbeacon.llm.shared import checkpoint, slices
+from orgbeacon.llm.shared import byte_table, checkpoint, mixed, sequence_hashes, slices, word_bounds, word_hashes
 
 WINDOW, SHINGLE = 10, 3
-INDEX_WINDOWS = 300_000
+#: 32 MB of hashes.
+INDEX_SHINGLES = 4_000_000
+#: Prefixes of at most so many windows are broadcast to the join.
+BROADCAST_ROWS = 500_000
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+_TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), fold=True)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,95 +58,127 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(cut, f"item_id {kind}, words string")
 
 
-class Shingles:
-    """Numbers for the words of some windows, and for their shingles of each length."""
-
-    def __init__(self, windows: list[bytes], shingle: int) -> None:
-        self.windows = [w.split(b" ") for w in windows]
-        self.numbers: dict[bytes, int] = {}
-        for words in self.windows:
-            for w in words:
-                self.numbers.setdefault(w, len(self.numbers) + 1)
-        self.base = len(self.numbers) + 1
-        self.shingle = shingle
-        self.of: list[list[tuple[int, int]]] = []  # of each window: shingle's code and place
-        codes: dict[int, set[int]] = defaultdict(set)
-        for words in self.windows:
-            k = min(shingle, len(words))
-            own = self.coded(np.array([self.numbers[w] for w in words], np.int64), k)
-            self.of.append([(int(c), p) for p, c in enumerate(own)])
-            codes[k].update(c for c, _ in self.of[-1])
-        self.codes = {k: np.array(sorted(v), np.int64) for k, v in codes.items()}
-
-    def coded(self, numbers: np.ndarray, k: int) -> np.ndarray:
-        """A code of each k neighbours; 0 or less if one of them is no word of the windows."""
-        n = len(numbers) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(k):
-            part = numbers[i : i + n]
-            out = out * self.base + part
-            known &= part > 0
-        return np.where(known, out, -1)
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
-
-
-def _found(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``values`` has one of the sorted ``codes``, and which."""
-    at = np.searchsorted(codes, values)
-    hit = np.flatnonzero(codes[np.minimum(at, len(codes) - 1)] == values)
-    return hit, at[hit]
-
-
-def _rarity(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
-    """How often all documents hold each shingle (length, code) of the index."""
+class Scan:
+    """The words of a slice of texts, and the hashed shingles of some lengths with their places (in the slice) and texts."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, lengths: list[int]) -> None:
+        self.data = data
+        self.starts, self.ends, self.first = word_bounds(data, at, _TABLE)
+        words = word_hashes(data, self.starts, self.ends, _TABLE)
+        codes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in lengths:
+            grams = mixed(sequence_hashes(words, k) + np.uint64(k)).view(np.int64)
+            last = np.repeat(self.first[1:], np.diff(self.first))[: len(grams)]
+            where = np.flatnonzero(np.arange(len(grams)) + k <= last)  # in one text
+            codes.append(grams[where])
+            places.append(where)
+        self.codes, self.places = np.concatenate(codes), np.concatenate(places)
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, side="right") - 1
+
+    def around(self, place: int, text: int, window: int) -> tuple[int, str]:
+        """The words that a window over ``place`` can have, and which word of the text is the first of them."""
+        begin, end = max(self.first[text], place - window + 1), min(self.first[text + 1], place + window)
+        words = words_of(self.data[self.starts[begin] : self.ends[end - 1]].tobytes())
+        return int(begin - self.first[text]), b" ".join(words).decode()
+
+
+def _found(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which of ``codes`` are known."""
+    if not len(sorted_codes):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(sorted_codes[np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)] == codes)
+
+
+def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
+    """From (words): (words, length, code, offset) for each shingle of each window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, at in slices(batch, "words"):
+                for k in range(1, shingle + 1):
+                    scan = Scan(data, at, [k])
+                    sizes = np.diff(scan.first)
+                    text = scan.text_of(scan.places)
+                    own = np.flatnonzero(np.minimum(sizes, shingle)[text] == k) if len(text) else text
+                    text, place = text[own], scan.places[own]
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(sizes[text].astype(np.int32)), pa.array(scan.codes[own]), pa.array((place - scan.first[text]).astype(np.int32))], ["words", "length", "code", "offset"])
+
+    return windows.select("words").mapInArrow(cut, "words string, length int, code long, offset int")
+
+
+def _index(codes: DataFrame, most: int):
+    """The distinct codes as a sorted array on all executors, or None if there are more than ``most``."""
+    codes = checkpoint(codes.distinct())
+    if codes.count() > most:
+        return None
+    return codes.sparkSession.sparkContext.broadcast(np.sort(codes.toArrow().column("code").to_numpy()))
+
+
+def _rarity(docs: DataFrame, index, lengths: list[int]) -> DataFrame:
+    """(code, n): how often all documents hold each shingle (of the index, if there is one)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Shingles = shared.value
-        totals = {k: np.zeros(len(codes), np.int64) for k, codes in index.codes.items()}
+        known = index.value if index is not None else None
+        totals = np.zeros(len(known) if known is not None else 0, np.int64)
         for batch in batches:
-            for rows, data, at in slices(batch):
-                for i in range(rows.num_rows):
-                    numbers = index.numbered(words_of(data[at[i] : at[i + 1]].tobytes()))
-                    for k, codes in index.codes.items():
-                        _, which = _found(codes, index.coded(numbers, k))
-                        np.add.at(totals[k], which, 1)
-        for k, codes in index.codes.items():
-            there = np.flatnonzero(totals[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), k, np.int32)), pa.array(codes[there]), pa.array(totals[k][there])], ["k", "code", "n"])
+            for _, data, at in slices(batch):
+                codes = Scan(data, at, lengths).codes
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(codes, return_counts=True)], ["code", "n"])
+                else:
+                    totals += np.bincount(np.searchsorted(known, codes[_found(known, codes)]), minlength=len(known))
+        if known is not None:
+            there = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(known[there]), pa.array(totals[there])], ["code", "n"])
 
-    rows = docs.mapInArrow(count, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).collect()  # one for each shingle of the index at most
-    return {(r["k"], r["code"]): r["n"] for r in rows}
+    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _candidates(docs: DataFrame, shared, prefixes) -> DataFrame:
-    """Per row of (id, text, row columns): n_words and the candidate windows with where they begin."""
+_HITS = "array<struct<code: bigint, pos: int, begin: int, around: string>>"
+
+
+def _hits(docs: DataFrame, index, lengths: list[int], window: int) -> DataFrame:
+    """Per row of (id, text, text_key, at): n_words and the hits with the words around them. Hits are those of the index, or, without one, those
+    of the column ``at`` (code, pos)."""
     kind = docs.schema["id"].dataType.simpleString()
+    kind_of = pa.list_(pa.struct([("code", pa.int64()), ("pos", pa.int32()), ("begin", pa.int32()), ("around", pa.string())]))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Shingles = shared.value
         for batch in batches:
             for rows, data, at in slices(batch):
-                n_words, found = [], []
-                for i in range(rows.num_rows):
-                    words = words_of(data[at[i] : at[i + 1]].tobytes())
-                    numbers = index.numbered(words)
-                    begins: dict[bytes, set[int]] = defaultdict(set)
-                    for k, (codes, places) in prefixes.value.items():
-                        hit, which = _found(codes, index.coded(numbers, k))
-                        for p, c in zip(hit.tolist(), which.tolist(), strict=True):
-                            for offset, length in places[c]:
-                                if 0 <= p - offset and p - offset + length <= len(words):
-                                    begins[b" ".join(words[p - offset : p - offset + length])].add(p - offset)
-                    n_words.append(len(words))
-                    found.append([{"words": w.decode(), "length": w.count(b" ") + 1, "begins": sorted(b)} for w, b in begins.items()])
-                kind_of = pa.list_(pa.struct([("words", pa.string()), ("length", pa.int32()), ("begins", pa.list_(pa.int32()))]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n_words, pa.int64()), pa.array(found, kind_of)], ["id", "text_key", "n_words", "found"])
-
-    return docs.mapInArrow(probe, f"id {kind}, text_key long, n_words long, found array<struct<words string, length int, begins array<int>>>")
+                scan = Scan(data, at, lengths if index is not None else [])
+                found: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+                if index is not None:
+                    own = _found(index.value, scan.codes)
+                    places, codes = scan.places[own], scan.codes[own]
+                    hits = zip(codes.tolist(), places.tolist(), scan.text_of(places).tolist(), strict=True)
+                else:
+                    given = rows.column(3).to_pylist()
+                    hits = ((h["code"], int(scan.first[i]) + h["pos"], i) for i, one in enumerate(given) for h in one or ())
+                for code, place, text in hits:
+                    begin, around = scan.around(place, text, window)
+                    found[text].append({"code": code, "pos": place - int(scan.first[text]), "begin": begin, "around": around})
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(scan.first), pa.int64()), pa.array(found, kind_of)], ["id", "text_key", "n_words", "hits"])
+
+    return docs.select("id", "text", "text_key", *(["at"] if index is None else [])).mapInArrow(probe, f"id {kind}, text_key long, n_words long, hits {_HITS}")
+
+
+def _places(docs: DataFrame, prefixes: DataFrame, lengths: list[int]) -> DataFrame:
+    """``docs`` with ``at``, where they hold a shingle of the prefixes, by a join of all their shingles."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, at in slices(batch):
+                scan = Scan(data, at, lengths)
+                text = scan.text_of(scan.places)
+                by = pa.array(text)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(by), rows.column(2).take(by), pa.array(scan.codes), pa.array((scan.places - scan.first[text]).astype(np.int32))], ["id", "text_key", "code", "pos"])
+
+    every = docs.mapInArrow(give, f"id {kind}, text_key long, code long, pos int").join(prefixes.select("code").distinct(), "code", "left_semi")
+    return _left(docs, every.groupBy("id", "text_key").agg(F.collect_set(F.struct("code", "pos")).alias("at")))
 
 
 def _left(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -153,55 +187,45 @@ def _left(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(more, F.expr("text_key = m_text_key AND id <=> m_id"), "left").drop("m_id", "m_text_key")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, index_shingles: int = INDEX_SHINGLES) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_hit, item_ids (sorted as strings), hit_spans and text_key (xxhash64 of the text).
 
     hit_spans are the words [s0, e0, s1, e1, ..) that an occurrence of a window covers.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
-    windows = item_windows(items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")), window)
-    distinct = windows.select("words").distinct()
-    blocks = max(1, -(-distinct.count() // INDEX_WINDOWS))
-    parts = []
-    for block in range(blocks):
-        chosen = distinct.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).toArrow().column("words").to_pylist()  # about INDEX_WINDOWS
-        index = Shingles([w.encode() for w in sorted(chosen)], shingle)
-        shared = spark.sparkContext.broadcast(index)
-        seen = _rarity(own, shared) if chosen else {}
-        places: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for words, codes in zip(index.windows, index.of, strict=True):
-            k = min(shingle, len(words))
-            code, at = min(codes, key=lambda c: (seen.get((k, c[0]), 0), c[0]))
-            places[k][code].add((at, len(words)))
-        prefixes = spark.sparkContext.broadcast({k: (np.array(sorted(v), np.int64), [sorted(v[c]) for c in sorted(v)]) for k, v in places.items()})
-        parts.append(checkpoint(_candidates(own, shared, prefixes)))
-    base, found = parts[0], parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-
-    hits = found.where(F.size("found") > 0).select("id", "text_key", "n_words", F.explode("found").alias("f")).select("id", "text_key", "n_words", "f.*").distinct()
-    verified = hits.join(distinct, "words")
+    windows = checkpoint(item_windows(items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")), window))
+    shingles = checkpoint(window_shingles(windows.select("words").distinct(), shingle))
+    lengths = sorted(r[0] for r in shingles.select(F.least("length", F.lit(shingle))).distinct().collect())  # ``shingle`` at most
+    rarity = _rarity(own, _index(shingles.select("code"), index_shingles), lengths)
+    order = F.struct(F.coalesce("n", F.lit(0)), "code", "offset")
+    prefixes = checkpoint(shingles.join(rarity, "code", "left").groupBy("words").agg(F.min_by(F.struct("code", "offset", "length"), order).alias("p")).select("words", "p.*"))
+    index = _index(prefixes.select("code"), index_shingles)
+    scanned = checkpoint(_hits(own if index is not None else _places(own, prefixes, lengths), index, lengths, window))
+
+    hits = scanned.where(F.size("hits") > 0).select("id", "text_key", "n_words", F.explode("hits").alias("h")).select("id", "text_key", "n_words", "h.*")
+    candidates = hits.join(F.broadcast(prefixes) if prefixes.count() <= BROADCAST_ROWS else prefixes, "code").withColumn("start", F.col("pos") - F.col("offset"))
+    inside = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
+    same = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("begin") + 1, F.col("length")), " ") == F.col("words")
+    verified = checkpoint(inside.where(same).select("id", "text_key", "n_words", "words", "start", "length").distinct())
     item_of = windows.select("words", F.col("item_id").cast("string").alias("item_id"))
-    named = verified.select("id", "text_key", "words").join(item_of, "words").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    whole = verified.groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("begins", "length")).alias("hits"))
+    named = verified.select("id", "text_key", "words").distinct().join(item_of, "words").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    whole = verified.groupBy("id", "text_key", "n_words").agg(F.collect_set(F.struct("start", "length")).alias("hits"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit, out = [], []
-            for n, hits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            n_hit, spans = [], []
+            for n, hits in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                start, length = (f.to_numpy().astype(np.int64) for f in hits.values.flatten())
                 edges = np.zeros(n + 2, np.int64)
-                for h in hits:
-                    begins = np.array(h["begins"])
-                    np.add.at(edges, begins + 1, 1)
-                    np.add.at(edges, begins + 1 + h["length"], -1)
+                np.add.at(edges, start + 1, 1)
+                np.add.at(edges, start + length + 1, -1)
                 inside = np.cumsum(edges) > 0
                 n_hit.append(int(inside.sum()))
-                out.append(np.flatnonzero(np.diff(inside.astype(np.int8))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_hit, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["id", "text_key", "n_hit", "hit_spans"])
+                spans.append(np.flatnonzero(np.diff(inside.astype(np.int8))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["id", "text_key", "n_hit", "hit_spans"])
 
     covered = whole.mapInArrow(cover, f"id {kind}, text_key long, n_hit long, hit_spans array<int>")
-    joined = _left(_left(base.select("id", "text_key", "n_words"), covered), named)
+    joined = _left(_left(scanned.select("id", "text_key", "n_words"), covered), named)
     empty = F.array().cast("array<string>")
     return joined.select(F.col("id").alias(id_col), "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("hit_spans", empty.cast("array<int>")).alias("hit_spans"))

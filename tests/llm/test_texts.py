@@ -67,7 +67,7 @@ def fold(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def test_decontamination(spark, monkeypatch):
+def test_decontamination(spark):
     rnd = random.Random(3)
     make = lambda n: [f"v{rnd.randrange(300)}" for _ in range(n)]
     items = [(i, " ".join(make(rnd.choice([1, 2, 3, 9, 10, 11, 40]) if i else 30))) for i in range(20)] + [(50, None), (51, " !! "), (52, None)]
@@ -99,9 +99,8 @@ def test_decontamination(spark, monkeypatch):
     want = sorted((repr(i), *judge(t)) for i, t in rows)
     docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, n_hit string, words string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for bound in (300_000, 40):  # one block of the index, and several
-        monkeypatch.setattr(decontamination, "INDEX_WINDOWS", bound)
-        got = decontamination.contaminated(docs, bench).collect()
+    for bound in (decontamination.INDEX_SHINGLES, 40):  # shingles looked up in the scan, and joined
+        got = decontamination.contaminated(docs, bench, index_shingles=bound).collect()
         assert sorted((repr(r.doc_id), r.n_words, r.n_hit, list(r.item_ids)) for r in got) == want
     assert all(r.n_hit == 0 for r in decontamination.contaminated(docs, bench.limit(0)).collect())
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
