@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgbeacon.llm.shared import checkpoint
+from orgbeacon.llm.shared import checkpoint, prefix_sums
 
 CAPACITY = 4096
 END_ID = 1
 CELL = 128
-#: Words of which a Python worker keeps the ids.
-CACHE_WORDS = 150_000
+#: Words, and pieces of words, of which a Python worker keeps the ids; some 150 MB.
+CACHE_WORDS, CACHE_PIECES = 300_000, 700_000
 _CONTROL = {chr(c) for c in range(0x1C, 0x20)}
 
 
@@ -67,7 +67,7 @@ class Encoder(dict):
 
     def _piece(self, piece: str) -> bytes:
         ids = np.array([t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
-        if len(self.pieces) < CACHE_WORDS:
+        if len(self.pieces) < CACHE_PIECES:
             self.pieces[piece] = ids
         return ids
 
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     salts = pieces.groupBy("length").agg(F.ceil(F.count("*") / CELL).alias("salts"))
     dealt = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), "salts")).drop("salts")
     cells = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = cells.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    before = prefix_sums(cells, "length", [], "salt", "n", "before").drop("n")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1).join(before, ["length", "salt"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 

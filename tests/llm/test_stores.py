@@ -1,6 +1,7 @@
 """Packing, sharding, transport streams, url filters and the pipeline: exact round trips and brute force."""
 
 import hashlib
+import os
 import posixpath
 import random
 import re
@@ -27,6 +28,16 @@ def test_ids_are_the_tokenizers(spark):
         assert own.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_ids_of_all_given_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist():
+        assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once(seed):
     rnd = random.Random(seed)
