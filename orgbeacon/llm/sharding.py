@@ -22,6 +22,7 @@ from orgbeacon.llm.shared import checkpoint, prefix_sums
 SHARDS = 40
 OVERHEAD = 16
 CELL = 250
+FILE_BYTES = 64 << 20
 
 
 def min_cost_flow(old: list[int], new: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -101,22 +102,25 @@ def reshard(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Write the shards that gain or lose a document under ``folder``/shard=N, by slots, the others stay as they are; the shards written.
 
     ``docs`` must not be read from ``folder``. Rows meet their places by the id, null or not, and the text; rows alike in both
     have their places in turn, so that each row is written once. The folder of a shard that has lost all its rows goes.
-    Texts are shuffled once, to their places; each task then writes a file of every shard that it has rows of.
+    Texts are shuffled to their places and then to their files, so a shard has a file for about each ``FILE_BYTES`` at any number of tasks.
     """
     spark = docs.sparkSession
-    left = placed.where("old_shard != shard")
-    affected = checkpoint(left.select("shard").union(left.select(F.col("old_shard").alias("shard"))).distinct())
+    flows = placed.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes")).collect()  # pairs of shards
+    affected = sorted({s for row in flows if row["old_shard"] != row["shard"] for s in (row["old_shard"], row["shard"])})
+    files = {s: -(-sum(row["bytes"] for row in flows if row["shard"] == s) // FILE_BYTES) for s in affected}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = lambda size, crc: F.xxhash64(id_col, size, crc)
     turn = lambda *by: F.row_number().over(Window.partitionBy("row_key").orderBy(*by))
     places = placed.select(key("size", "text_crc32").alias("row_key"), "shard", "slot").withColumn("turn", turn("shard", "slot"))
     own = docs.drop("shard", "slot").withColumn("row_key", key((F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(text.cast("binary"))))
-    rows = own.withColumn("turn", turn("row_key")).join(places, ["row_key", "turn"]).drop("row_key", "turn").join(F.broadcast(affected), "shard", "left_semi")
+    rows = own.withColumn("turn", turn("row_key")).join(places, ["row_key", "turn"]).drop("row_key", "turn").where(F.col("shard").isin(affected))
+    number = F.get(F.array(*(F.lit(files.get(s, 1) or 1) for s in range(max(affected, default=0) + 1))), F.col("shard"))
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("slot"), number)).repartition("shard", "file").drop("file")
     one_key = "spark.sql.requireAllClusterKeysForCoPartition"  # turns are joined where the windows made them
     before = spark.conf.get(one_key)
     spark.conf.set(one_key, "false")
@@ -124,8 +128,8 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: st
         rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     finally:
         spark.conf.set(one_key, before)
-    for row in affected.join(placed.select("shard").distinct(), "shard", "left_anti").collect():  # shards
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={row['shard']}")
+    for shard in (s for s in affected if not files[s]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return affected
 
@@ -133,7 +137,7 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: st
 def reshard_files(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """``reshard`` with the affected shards rewritten in the shared folder; their rows are those of the files read back."""
     spark = docs.sparkSession
-    placed = reshard(docs, old_shard, id_col, text_col, shards)
+    placed = checkpoint(reshard(docs, old_shard, id_col, text_col, shards))
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), old_shard.cast("int").alias("old_shard"))
     folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
     affected = rewrite_affected(own, placed, folder, id_col, text_col)
@@ -141,4 +145,4 @@ def reshard_files(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = [id_col, "size", "text_crc32", "old_shard", "shard", "slot"]
     read = spark.read.schema(schema).parquet(folder).withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
-    return read.select(columns).union(placed.join(F.broadcast(affected), "shard", "left_anti").select(columns))
+    return read.select(columns).union(placed.where(~F.col("shard").isin(affected)).select(columns))
