@@ -102,33 +102,56 @@ def reshard(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+def _blocks(rows: DataFrame, cuts: DataFrame, block: int) -> DataFrame:
+    """``rows`` (old, class, id_hash) with ``block``, the number of the ``block`` bytes of their old shard in which they lie, as near as their cell tells."""
+    share = F.pmod("id_hash", "salts") / F.col("salts")
+    found = rows.join(F.broadcast(cuts), ["old", "class"], "left")  # shards x size classes
+    return found.withColumn("block", F.floor((F.col("start") + share * F.col("bytes")) / block)).drop("class", "id_hash", "salts", "start", "bytes").repartition("old", "block")
+
+
+def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None) -> list[int]:
     """Write the shards that gain or lose a document under ``folder``/shard=N, by slots, the others stay as they are; the shards written.
 
     ``docs`` must not be read from ``folder``. Rows meet their places by the id, null or not, and the text; rows alike in both
     have their places in turn, so that each row is written once. The folder of a shard that has lost all its rows goes.
-    Texts are shuffled to their places and then to their files, so a shard has a file for about each ``FILE_BYTES`` at any number of tasks.
+    Texts are shuffled once, by the blocks of their old shard (``old_shard``, if ``docs`` tells it): most of a block stays
+    together, so a task writes few files, of ``FILE_BYTES`` each where the data are large.
     """
     spark = docs.sparkSession
-    flows = placed.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes")).collect()  # pairs of shards
+    old = F.lit(0) if old_shard is None else old_shard.cast("int")
+    klass = -F.floor(F.log2("size")).cast("int")
+    known = placed.withColumns({"old": F.lit(0) if old_shard is None else F.col("old_shard"), "class": klass})
+    flows = known.groupBy("old", "class", "old_shard", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # pairs of shards x size classes
     affected = sorted({s for row in flows if row["old_shard"] != row["shard"] for s in (row["old_shard"], row["shard"])})
-    files = {s: -(-sum(row["bytes"] for row in flows if row["shard"] == s) // FILE_BYTES) for s in affected}
+    sums: dict[tuple[int, int], list[int]] = {}
+    for row in flows:
+        one = sums.setdefault((row["old"], row["class"]), [0, 0])
+        one[0] += row["bytes"]
+        one[1] += row["n"]
+    cuts, start = [], {}
+    for (shard, size_class), (size, n) in sorted(sums.items()):
+        cuts.append((shard, size_class, -(-n // CELL), start.get(shard, 0), size))
+        start[shard] = start.get(shard, 0) + size
+    cuts = spark.createDataFrame(cuts, "old int, class int, salts long, start long, bytes long")
+    block = min(FILE_BYTES, sum(start.values()) // 200 + 1)
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = lambda size, crc: F.xxhash64(id_col, size, crc)
-    turn = lambda *by: F.row_number().over(Window.partitionBy("row_key").orderBy(*by))
-    places = placed.select(key("size", "text_crc32").alias("row_key"), "shard", "slot").withColumn("turn", turn("shard", "slot"))
-    own = docs.drop("shard", "slot").withColumn("row_key", key((F.octet_length(text) + OVERHEAD).cast("long"), F.crc32(text.cast("binary"))))
-    rows = own.withColumn("turn", turn("row_key")).join(places, ["row_key", "turn"]).drop("row_key", "turn").where(F.col("shard").isin(affected))
-    number = F.get(F.array(*(F.lit(files.get(s, 1) or 1) for s in range(max(affected, default=0) + 1))), F.col("shard"))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("slot"), number)).repartition("shard", "file").drop("file")
-    one_key = "spark.sql.requireAllClusterKeysForCoPartition"  # turns are joined where the windows made them
+    facts = lambda size, crc: {"size": size, "id_hash": F.xxhash64(id_col, crc), "row_key": F.xxhash64(id_col, size, crc)}
+    turn = lambda *by: F.row_number().over(Window.partitionBy("old", "block", "row_key").orderBy(*by))
+    places = known.withColumns(facts(F.col("size"), F.col("text_crc32"))).select("old", "class", "id_hash", "row_key", "shard", "slot")
+    places = _blocks(places, cuts, block).withColumn("turn", turn("shard", "slot"))
+    own = docs.select(F.struct(*(c for c in docs.columns if c not in ("shard", "slot"))).alias("own"), F.col(id_col), old.alias("old"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    own = own.withColumn("class", klass).withColumns(facts(F.col("size"), F.col("crc"))).select("old", "class", "id_hash", "row_key", "own")
+    own = _blocks(own, cuts, block).withColumn("turn", turn("row_key"))
+    rows = own.join(places, ["old", "block", "row_key", "turn"]).where(F.col("shard").isin(affected)).select("own.*", "slot", "shard")
+    one_key = "spark.sql.requireAllClusterKeysForCoPartition"  # rows are joined where the blocks put them
     before = spark.conf.get(one_key)
     spark.conf.set(one_key, "false")
     try:
         rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     finally:
         spark.conf.set(one_key, before)
-    for shard in (s for s in affected if not files[s]):
+    for shard in set(affected) - {row["shard"] for row in flows}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return affected
@@ -140,7 +163,7 @@ def reshard_files(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", te
     placed = checkpoint(reshard(docs, old_shard, id_col, text_col, shards))
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), old_shard.cast("int").alias("old_shard"))
     folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
-    affected = rewrite_affected(own, placed, folder, id_col, text_col)
+    affected = rewrite_affected(own, placed, folder, id_col, text_col, F.col("old_shard"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", slot long, shard int"
     text = F.coalesce(F.col(text_col), F.lit(""))
     columns = [id_col, "size", "text_crc32", "old_shard", "shard", "slot"]
