@@ -303,8 +303,8 @@ def repair(rows: DataFrame, ids: DataFrame | None = None, conv_col: str = "conv_
             after = tuple(min(c + a for c, a in zip(flat[4 * i : 4 * i + 4], after, strict=True)) for i in range(4))
         return pa.table([table.column("part"), table.column("conv"), pa.array(out, pa.list_(pa.int64()))], names=["part", "conv", "after"])
 
-    crossing = parts.withColumn("key", F.xxhash64("conv"))
-    several = checkpoint(crossing.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key"))
+    crossing = checkpoint(parts.withColumn("key", F.xxhash64("conv")))  # two rows a partition at most
+    several = crossing.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
     tails = crossing.join(several, "key", "left_semi").drop("key").groupBy("conv").applyInArrow(suffixes, StructType([StructField("part", LongType()), StructField("conv", kind), *StructType.fromDDL("after array<bigint>").fields]))
     tails = checkpoint(tails)  # a row for each partition that a conversation crosses into
     marks = tails.select(F.col("part").alias("t_part"), F.col("conv").alias("t_conv"), "after")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgbeacon.llm import conversations, decontamination, language_id, lm_scoring, media_columns, near_dedup, packing, periodic_runs, quality, sharding, substring_dedup, url_filters
+from orgbeacon.llm import conversations, decontamination, language_id, lm_scoring, media_columns, near_dedup, packing, periodic_runs, quality, quality_rules, sharding, substring_dedup, url_filters
 from orgbeacon.llm.shared import id_remainder
 
 
@@ -121,6 +121,21 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows, F.pmod(F.crc32(name.cast("binary")), F.lit(20))), rows)
 
 
+def rated(labels: DataFrame) -> DataFrame:
+    """Classes from the labels."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", kind.alias("class"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.train(docs, rated(table(spark, sf_dir, "labels")))
+    out = quality_rules.judge(docs, rules, keep=["doc_id"])
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    kept = ~failed & F.coalesce(F.col("verdict") == "good", F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "verdict")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents of one id in ten, by its checksum, repeat a stretch of words up to their end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -154,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversations": op11_conversations,
+    "op12_quality_rules": op12_quality_rules,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
