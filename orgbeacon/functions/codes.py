@@ -110,15 +110,22 @@ def looks_parked(text: Column | str) -> Column:
 
 
 def windows_near(text: Column | str, inn: Column | str, radius: int = 220) -> Column:
-    """The text around every place of the number, in order; windows may overlap."""
+    """The text around every place of the number, in order; windows may overlap.
+
+    A window is built of the parts between places: the last ``radius`` characters before its place and the first ``radius`` after
+    it. Only as many parts are looked at as a radius can hold, so the work is in proportion to the places.
+    """
     whole, wanted = or_empty(text), not_empty(inn)
-    parts = F.split(whole, _alone(wanted))
-    size = F.length(wanted)
 
-    def window(i: Column) -> Column:
-        at = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + (i - 1) * size
-        begin = F.greatest(at - radius, F.lit(0))
-        return F.substr(whole, begin + 1, at + size + radius - begin)
+    def windows(parts: Column) -> Column:
+        def window(i: Column) -> Column:
+            few = F.least(F.lit(radius) / (F.length(wanted) + 1) + 2, F.lit(radius)).cast("int")  # a part has a character at least, beside the number
+            low = F.greatest(i - few, F.lit(0))
+            before = F.call_function("array_join", F.slice(parts, low + 1, i - low + 1), wanted)
+            after = F.call_function("array_join", F.slice(parts, i + 2, few + 1), wanted)
+            return F.concat(F.right(before, F.lit(radius)), wanted, F.left(after, F.lit(radius)))
+
+        found = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.size(parts) - 2), window))
+        return F.coalesce(found, F.array().cast("array<string>"))
 
-    found = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), window))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return let(F.split(whole, _alone(wanted)), windows)

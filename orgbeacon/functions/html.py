@@ -20,11 +20,11 @@ LINK_WORDS = (
     "юридическ", "info",
 )
 NO_LINK = ("#", "mailto:", "tel:", "javascript:")
-MOST_HTML, MOST_TITLE, MOST_LINKS, MOST_PAGES = 400_000, 200, 6, 5
+MOST_HTML, MOST_TITLE, MOST_LINKS, MOST_PAGES, MOST_ERROR = 400_000, 200, 6, 5, 200
 
 
 _CODE = StructType([StructField("code", StringType()), StructField("excerpt", StringType())])
-_PAGE = StructType([StructField("text", StringType()), StructField("title", StringType()), StructField("links", ArrayType(StringType())), StructField("codes", ArrayType(_CODE))])
+_PAGE = StructType([StructField("text", StringType()), StructField("title", StringType()), StructField("links", ArrayType(StringType())), StructField("codes", ArrayType(_CODE)), StructField("parse_error", StringType())])
 _RUN = re.compile("[0-9]+")
 
 
@@ -113,18 +113,21 @@ def codes_with_excerpts(text: str, width: int = 160) -> list[dict]:
 
 
 def _parsed(html: str | None, base: str | None) -> dict:
-    page = _Page()
+    page, error = _Page(), None
     if html:
-        page.feed(html)
-        page.done()
+        try:
+            page.feed(html)
+            page.done()
+        except Exception as failed:  # a page that can't be parsed must not end the job: it is reported beside the others
+            page, error = _Page(), f"page: {type(failed).__name__}: {failed}"[:MOST_ERROR]
     text = " ".join(" ".join(page.pieces).split())
-    return {"text": text, "title": (page.title or "").strip()[:MOST_TITLE], "links": ranked_links(page.links, base), "codes": codes_with_excerpts(text)}
+    return {"text": text, "title": (page.title or "").strip()[:MOST_TITLE], "links": ranked_links(page.links, base), "codes": codes_with_excerpts(text), "parse_error": error}
 
 
 @F.pandas_udf(_PAGE)
 def parse_page(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """Text, title, interesting links and codes of each page."""
-    return pd.DataFrame([_parsed(h, b) for h, b in zip(html, base, strict=True)], columns=["text", "title", "links", "codes"])
+    """Text, title, interesting links and codes of each page, and why it can't be parsed, if it can't."""
+    return pd.DataFrame([_parsed(h, b) for h, b in zip(html, base, strict=True)], columns=["text", "title", "links", "codes", "parse_error"])
 
 
 def crawl_targets(domain: Column, home_url: Column, final_url: Column, links: Column) -> Column:
@@ -141,9 +144,9 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def page_facts(parsed: DataFrame) -> DataFrame:
     """What verification needs of parsed pages, short beside their text: url, final_url, status, has_html, title, links, codes, the two
-    least numbers published (one of them is foreign to any organisation, if there is one), parked and how the text begins."""
+    least numbers published (one of them is foreign to any organisation, if there is one), parked, how the text begins, and parse_error."""
     published = F.slice(F.array_sort(published_inns("text")), 1, 2)
-    return parsed.select("url", F.coalesce("final_url", "url").alias("final_url"), "status", "has_html", "title", "links", "codes", published.alias("published"), looks_parked("text").alias("parked"), F.substring("text", 1, 200).alias("head"))
+    return parsed.select("url", F.coalesce("final_url", "url").alias("final_url"), "status", "has_html", "title", "links", "codes", published.alias("published"), looks_parked("text").alias("parked"), F.substring("text", 1, 200).alias("head"), "parse_error")
 
 
 def page_view(pages: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from orgbeacon.functions.codes import not_empty
 from orgbeacon.functions.suffixes import registrable
@@ -50,15 +50,27 @@ def json_object(reply: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(StringType())
-def extract_json(reply: pd.Series) -> pd.Series:
+def _json_or_error(reply: str | None) -> tuple[str | None, str | None]:
+    try:
+        return json_object(reply), None
+    except RecursionError as error:  # too many brackets in one another
+        return None, f"reply: {type(error).__name__}"
+
+
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def read_reply(reply: pd.Series) -> pd.DataFrame:
+    """The JSON object in a model's reply, and why it couldn't be looked for, where that failed."""
+    return pd.DataFrame([_json_or_error(r) for r in reply], columns=["json", "error"])
+
+
+def extract_json(reply: Column | str) -> Column:
     """The JSON object in a model's reply: that of a fenced block, else the first one; null if there is none."""
-    return reply.map(json_object)
+    return read_reply(reply)["json"]
 
 
 def parse_decisions(replies: DataFrame) -> DataFrame:
-    """From (inn, attempt, raw_reply): with is_valid, domain, confidence, reason."""
-    rows = replies.withColumn("__j", extract_json("raw_reply"))
+    """From (inn, attempt, raw_reply): with is_valid, domain, confidence, reason, and error where a reply couldn't be read at all."""
+    rows = replies.withColumn("__r", read_reply("raw_reply")).withColumn("__j", F.col("__r.json"))
     at = lambda key: F.get_json_object("__j", f"$.{key}")
     kinds = F.from_json("__j", "map<string, string>")
     raw = F.try_parse_json("__j")
@@ -66,7 +78,7 @@ def parse_decisions(replies: DataFrame) -> DataFrame:
     confidence = F.when(F.map_contains_key(kinds, "confidence"), at("confidence")).otherwise("low")
     good = F.col("__j").isNotNull() & text("domain").isin("STRING", "VOID") & F.coalesce(confidence.isin(*CONFIDENCES), F.lit(False)) & (~F.map_contains_key(kinds, "reason") | (text("reason") == "STRING"))
     valid = F.coalesce(good, F.lit(False))
-    return rows.select(*replies.columns, valid.alias("is_valid"), F.when(valid, at("domain")).alias("domain"), F.when(valid, confidence).alias("confidence"), F.when(valid, F.coalesce(at("reason"), F.lit(""))).alias("reason"))
+    return rows.select(*replies.columns, valid.alias("is_valid"), F.when(valid, at("domain")).alias("domain"), F.when(valid, confidence).alias("confidence"), F.when(valid, F.coalesce(at("reason"), F.lit(""))).alias("reason"), F.col("__r.error").alias("error"))
 
 
 def first_valid(parsed: DataFrame, attempts: int = 2) -> DataFrame:
@@ -76,6 +88,14 @@ def first_valid(parsed: DataFrame, attempts: int = 2) -> DataFrame:
     return rows.select("inn", "decided", *(F.when(F.col("decided"), F.col(f"d.{c}")).alias(n) for c, n in (("domain", "raw_domain"), ("confidence", "model_confidence"), ("reason", "model_reason"))))
 
 
+def reply_errors(parsed: DataFrame, attempts: int = 2) -> DataFrame:
+    """(inn, reason): numbers of which a reply before the first valid one couldn't be read at all."""
+    tried = F.col("attempt") <= attempts
+    failed = F.when(tried & F.col("error").isNotNull(), F.col("attempt"))
+    rows = parsed.groupBy("inn").agg(F.min(failed).alias("at"), F.min_by("error", failed).alias("reason"), F.min(F.when(tried & F.col("is_valid"), F.col("attempt"))).alias("valid"))
+    return rows.where(F.col("at").isNotNull() & (F.col("valid").isNull() | (F.col("at") < F.col("valid")))).select("inn", "reason")
+
+
 def answer_value(raw: Column, none: tuple[str, ...] = NO_ANSWER) -> Column:
     """What a model named, stripped and lower-cased; null where it named nothing."""
     value = F.lower(F.regexp_replace(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), r'^"+|"+$', ""))

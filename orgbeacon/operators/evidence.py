@@ -10,6 +10,7 @@ from orgbeacon.functions.codes import is_entrepreneur, not_empty, or_empty
 from orgbeacon.functions.domains import is_blocked
 from orgbeacon.functions.html import crawl_targets
 from orgbeacon.functions.suffixes import registrable
+from orgbeacon.joins import dealt_join, one_each
 from orgbeacon.operators.cards import display_name
 from orgbeacon.stored import stored
 
@@ -27,7 +28,8 @@ def site_homes(domains: DataFrame, facts: DataFrame) -> DataFrame:
     roles = F.array(*(F.struct(F.lit(r).alias("role"), F.concat(F.lit(f"{r}://"), "domain", F.lit("/")).alias("url")) for r in ("https", "http")))
     asked = domains.select("domain", F.explode(roles).alias("r")).select("domain", "r.role", "r.url")
     page = F.when(F.col("has_html").isNotNull(), F.struct(*(c for c in facts.columns if c != "url")))
-    of = lambda role: F.first(F.when(F.col("role") == role, page), ignorenulls=True).alias(role)
+    order = F.struct(F.col("status").isNotNull(), "has_html", F.xxhash64(F.to_json(page)))  # of a url that the facts hold twice, the better one
+    of = lambda role: F.max_by(F.when(F.col("role") == role, page), F.when((F.col("role") == role) & page.isNotNull(), order)).alias(role)
     both = asked.join(facts, "url", "left").groupBy("domain").agg(of("https"), of("http"))
     secure = F.coalesce(F.col("https.has_html"), F.lit(False)) | F.col("https.status").isNotNull()
     url = F.concat(F.when(secure | F.col("http").isNull(), "https://").otherwise("http://"), "domain", F.lit("/"))
@@ -41,32 +43,53 @@ def home_pages(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return candidates.join(site_homes(candidates.select("domain").distinct(), facts), "domain", "left")
 
 
+def site_pages(homes: DataFrame, facts: DataFrame) -> DataFrame:
+    """(domain, pos, url, status, title, published, codes, parse_error): further pages of domains whose home page is reachable, in the order in which to look at them."""
+    targets = F.when(F.col("reachable"), crawl_targets(F.col("domain"), F.concat(F.lit("https://"), "domain", F.lit("/")), F.col("final_url"), F.col("home.links")))
+    asked = homes.select("domain", F.posexplode(targets).alias("pos", "page_url"))
+    seen = facts.where("has_html").select(F.col("url").alias("page_url"), F.col("final_url").alias("url"), "status", "title", "published", "codes", "parse_error")
+    return one_each(asked.join(seen, "page_url").drop("page_url"), "domain", "pos", best=(F.col("status").isNotNull(),))
+
+
+def with_sites(candidates: DataFrame, sites: DataFrame, each: int = 2000) -> DataFrame:
+    """Candidates with what is known of their domain's pages. A domain that very many numbers name is dealt over tasks."""
+    sizes = stored(candidates.groupBy("domain").agg(F.count("*").alias("__size")))
+    rows = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    return dealt_join(candidates, sites.join(sizes, "domain"), "domain", "__size", rows, each)
+
+
+_PAGE_TYPE = "struct<pos:int,url:string,status:int,title:string,published:array<string>,parse_error:string>"
+
+
 def verify_pages(candidates: DataFrame, cards: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates with what their pages prove.
 
     ``facts`` (functions.html.page_facts) are short; no text is moved. Each domain's home page and, if that is reachable, its
     further pages are found once, by url, for all organisations; which of them publish a code of the organisation is a join on
-    (domain, code). Further pages, in the order of the targets, count up to the first one with the organisation's number.
+    (domain, code), so codes don't travel with candidates. Further pages, in the order of the targets, count up to the first one
+    with the organisation's number. A url or a number that is there twice counts once (of cards that differ always the same one).
+    page_error: why one of the pages that count couldn't be parsed.
     """
     homes = stored(site_homes(candidates.select("domain").distinct(), facts))
-    targets = F.when(F.col("reachable"), crawl_targets(F.col("domain"), F.concat(F.lit("https://"), "domain", F.lit("/")), F.col("final_url"), F.col("home.links")))
-    asked = homes.select("domain", F.posexplode(targets).alias("pos", "url"))
-    more = stored(asked.join(facts.where("has_html"), "url").select("domain", "pos", F.col("final_url").alias("url"), "status", "title", "published", "codes"))
+    more = stored(site_pages(homes, facts))
     printed = homes.where("home IS NOT NULL").select("domain", F.lit(-1).alias("pos"), F.explode("home.codes").alias("c")).union(more.select("domain", "pos", F.explode("codes").alias("c")))
-    own = cards.select("inn", "ogrn", "name_short", "name_full")
+    own = one_each(cards.select("inn", "ogrn", "name_short", "name_full"), "inn")
     codes = F.array(F.struct(F.lit("inn").alias("kind"), F.col("inn").alias("code")), F.struct(F.lit("ogrn").alias("kind"), F.col("ogrn").alias("code")))
-    wanted = candidates.select("inn", "domain").join(own, "inn").select("inn", "domain", F.explode(codes).alias("w")).select("inn", "domain", "w.kind", "w.code")
-    at = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "excerpt")))).alias(f"{kind}_at")
-    found = wanted.join(printed.select("domain", "pos", "c.code", "c.excerpt"), ["domain", "code"]).groupBy("inn", "domain").agg(at("inn"), at("ogrn"))
-    site = more.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("pos", "url", "status", "title", "published"))).alias("site"))  # five pages at most
-
-    rows = candidates.join(homes, "domain", "left").join(site, "domain", "left").join(found, ["inn", "domain"], "left").join(own, "inn")
+    wanted = candidates.select("inn", "domain").join(own, "inn").select("inn", "domain", F.explode(codes).alias("w")).select("inn", "domain", "w.kind", "w.code").distinct()
+    places = wanted.join(printed.select("domain", "pos", "c.code", "c.excerpt"), ["domain", "code"]).groupBy("inn", "domain", "kind", "pos").agg(F.min("excerpt").alias("excerpt"))
+    at = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "excerpt")))).alias(f"{kind}_at")  # noqa: E731  six pages at most
+    found = places.groupBy("inn", "domain").agg(at("inn"), at("ogrn"))
+    site = more.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("pos", "url", "status", "title", "published", "parse_error"))).alias("site"))  # five pages at most
+    home = F.when(F.col("home").isNotNull(), F.struct(*(F.col(f"home.{c}").alias(c) for c in ("status", "title", "head", "published", "parked", "parse_error"))))
+    sites = homes.select("domain", "final_url", "reachable", home.alias("home")).join(site, "domain", "left")
+
+    rows = with_sites(candidates, sites).join(found, ["inn", "domain"], "left").join(own, "inn")
     no_map, no_texts = F.create_map().cast("map<int, string>"), F.array().cast("array<string>")
     rows = rows.withColumns({"inn_at": F.coalesce("inn_at", no_map), "ogrn_at": F.coalesce("ogrn_at", no_map)})
     has = lambda kind, pos: F.map_contains_key(F.col(f"{kind}_at"), pos)
     rows = rows.withColumn("stop", F.array_min(F.filter(F.map_keys("inn_at"), lambda p: p >= 0)))
     scanned = F.when(F.col("reachable") & ~has("inn", F.lit(-1)), F.filter("site", lambda s: F.col("stop").isNull() | (s["pos"] <= F.col("stop"))))
-    rows = rows.withColumn("scanned", F.coalesce(scanned, F.array().cast("array<struct<pos:int,url:string,status:int,title:string,published:array<string>>>")))
+    rows = rows.withColumn("scanned", F.coalesce(scanned, F.array().cast(f"array<{_PAGE_TYPE}>")))
 
     def entry(pos: Column, url: Column, status: Column, title: Column, excerpt: Column) -> Column:
         return F.struct(pos.alias("pos"), url.alias("url"), status.alias("status"), has("inn", pos).alias("inn_found"), has("ogrn", pos).alias("ogrn_found"), title.alias("title"), excerpt.alias("excerpt"))
@@ -78,13 +101,14 @@ def verify_pages(candidates: DataFrame, cards: DataFrame, facts: DataFrame) -> D
     proving = F.filter("scanned", lambda s: has("inn", s["pos"]) | has("ogrn", s["pos"]))
     rows = rows.withColumn("pages", F.concat(home_page, F.transform(proving, lambda s: entry(s["pos"], s["url"], s["status"], s["title"], excerpt(s["pos"])))))
     published = F.concat(F.coalesce("home.published", no_texts), F.flatten(F.transform("scanned", lambda s: s["published"])))
+    errors = F.array_compact(F.concat(F.array(F.when(F.col("reachable"), F.col("home.parse_error"))), F.transform("scanned", lambda s: s["parse_error"])))
     rows = rows.withColumns({"redirected": registrable("final_url"), "home_title": not_empty("home.title")})
     return rows.select(
         *(F.when(F.col("home_title").isNotNull(), F.concat(F.array("home_title"), "titles")).otherwise(F.col("titles")).alias("titles") if c == "titles" else F.col(c) for c in candidates.columns),
         (F.col("reachable") & ~F.coalesce("home.parked", F.lit(False))).alias("reachable"), F.when(F.col("home").isNotNull(), F.col("final_url")).alias("final_url"),
         F.when(F.col("redirected") != F.col("domain"), F.col("redirected")).alias("redirects_to"), F.exists("pages", lambda p: p["inn_found"]).alias("inn_on_site"),
         F.exists("pages", lambda p: p["ogrn_found"]).alias("ogrn_on_site"), F.array_min(F.array_except(published, F.array("inn"))).alias("foreign_inn"), "pages",
-        name_similarity(F.col("domain"), F.array(or_empty("name_short"), or_empty("name_full"))).alias("name_similarity"),
+        name_similarity(F.col("domain"), F.array(or_empty("name_short"), or_empty("name_full"))).alias("name_similarity"), F.get(errors, F.lit(0)).alias("page_error"),
     )
 
 
@@ -214,7 +238,7 @@ def check_pairs(pairs: DataFrame, cards: DataFrame, facts: DataFrame) -> DataFra
         "inn", "domain", none.alias("titles"), none.alias("snippets"), F.lit(0).alias("mention_count"), F.lit(99).alias("best_rank"), F.lit(0).alias("site_field_hits"), F.lit(0).alias("email_hits"),
         F.lit(0).alias("snippet_hits"), F.lit(False).alias("mentioned_by_registry"), is_blocked(F.col("domain")).alias("requires_proof"), F.struct(F.lit(0).alias("hit_no"), F.lit(0).alias("sub_no")).alias("first_seen"), F.lit(1).alias("item_no"),
     )
-    seen = verify_pages(rows, cards, facts).join(cards.select("inn", "ogrn"), "inn")
+    seen = verify_pages(rows, cards, facts).join(one_each(cards.select("inn", "ogrn", "name_short", "name_full"), "inn").select("inn", "ogrn"), "inn")
     yes = lambda c: F.when(F.col(c), "True").otherwise("False")
     with_codes = F.array_join(F.transform(F.filter("pages", lambda p: p["inn_found"] | p["ogrn_found"]), lambda p: p["url"]), ", ")
     title = F.coalesce(not_empty(F.substring(F.get("titles", F.lit(0)), 1, 120)), F.lit("-"))

@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from orgbeacon.functions.codes import not_empty
 from orgbeacon.functions.suffixes import registrable
-from orgbeacon.operators.decisions import NO_ANSWER_AGENT, extract_json
+from orgbeacon.operators.decisions import NO_ANSWER_AGENT, json_object
 
 MOST_STEPS, MOST_INVALID, MOST_OBSERVATION = 10, 3, 1400
 
 
+_FIELDS = ["action", "args", "args_in_order", "domain"]
+
+
+def _dumped(value: object, in_order: bool = False) -> str:
+    text = json.dumps(value, sort_keys=in_order, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()  # half of a surrogate pair is no text
+
+
+def step_of(reply: str | None) -> dict | None:
+    """The action a reply asks for, with its arguments as they were written and with the keys of all objects in order; null if it asks for none."""
+    try:
+        found = json.loads(json_object(reply) or "{}")
+    except RecursionError:
+        return None
+    if not isinstance(found.get("action"), str):
+        return None
+    args = found.get("args") if isinstance(found.get("args"), dict) else {}
+    domain = args.get("domain")
+    return {"action": _plain(found["action"].strip()), "args": _dumped(args), "args_in_order": _dumped(args, in_order=True), "domain": _plain(domain) if isinstance(domain, str) else None}
+
+
+def _plain(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
+
+
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in _FIELDS]))
+def read_step(reply: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([step_of(r) or dict.fromkeys(_FIELDS) for r in reply], columns=_FIELDS)
+
+
 def parse_steps(steps: DataFrame) -> DataFrame:
-    """From (session, index, raw): with action, args (map) and invalid."""
-    rows = steps.withColumn("__j", extract_json("raw"))
-    raw = F.try_parse_json("__j")
-    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(raw, path, "variant")), F.lit("VOID"))
-    good = F.coalesce(kind("$.action") == "STRING", F.lit(False))
-    args = F.when(kind("$.args").startswith("OBJECT"), F.from_json(F.get_json_object("__j", "$.args"), "map<string, string>"))
-    none = F.from_json(F.lit("{}"), "map<string, string>")
-    return rows.select(*steps.columns, F.when(good, F.regexp_replace(F.get_json_object("__j", "$.action"), r"(?U)^\s+|\s+$", "")).alias("action"), F.when(good, F.coalesce(args, none)).alias("args"), (~good).alias("invalid"))
+    """From (session, index, raw): with action, args (a JSON object with the types it was written with), args_in_order (the same, the keys of
+    all its objects in order), named (its ``domain``, if that is a string) and invalid.
+    """
+    rows = steps.withColumn("__s", read_step("raw"))
+    return rows.select(*steps.columns, "__s.action", "__s.args", "__s.args_in_order", F.col("__s.domain").alias("named"), F.col("__s.action").isNull().alias("invalid"))
 
 
 def signature() -> Column:
-    entries = F.array_sort(F.map_entries("args"))
-    return F.concat("action", F.lit(":"), F.to_json(entries))
+    """An action with its arguments; numbers, booleans and strings differ, the order of keys doesn't."""
+    return F.concat("action", F.lit(":"), "args_in_order")
 
 
 def flag_repeats(steps: DataFrame) -> DataFrame:
@@ -48,8 +79,8 @@ def cut_sessions(steps: DataFrame) -> DataFrame:
 
 
 def raw_answers(steps: DataFrame) -> DataFrame:
-    """(session, answer): what the finish of each session names, as a registrable domain where it has one."""
-    value = F.lower(F.regexp_replace(F.col("args")["domain"], r"(?U)^\s+|\s+$", ""))
+    """(session, answer): what the first finish of each session names, as a registrable domain where it has one; only a string names something."""
+    value = F.lower(F.regexp_replace("named", r"(?U)^\s+|\s+$", ""))
     finished = F.coalesce(~F.col("invalid") & (F.col("action") == "finish"), F.lit(False))
     rows = steps.groupBy("session").agg(F.min_by(value, F.when(finished, F.col("index"))).alias("v"), F.bool_or(finished).alias("finished"))
     named = F.when(F.col("finished") & ~F.col("v").isin(*NO_ANSWER_AGENT), F.col("v"))
@@ -73,17 +104,11 @@ TRANSCRIPT = {
 }
 
 
-def _json_args() -> Column:
-    """The arguments as a JSON object, a space after each comma and colon."""
-    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))), ", "), F.lit("}"))
-
-
 def transcripts(steps: DataFrame, cards: DataFrame, most: int = MOST_STEPS) -> DataFrame:
     """(session, transcript) for each of cards: the card, a line or two for each step, and how many steps are left."""
     say = TRANSCRIPT
     seen = F.coalesce("observation", F.lit(""))
-    line = F.when(F.col("invalid"), F.format_string(say["invalid"], "index", seen)).otherwise(F.format_string(say["step"], "index", "action", _json_args(), F.substring(seen, 1, MOST_OBSERVATION)))
+    line = F.when(F.col("invalid"), F.format_string(say["invalid"], "index", seen)).otherwise(F.format_string(say["step"], "index", "action", "args", F.substring(seen, 1, MOST_OBSERVATION)))
     rows = steps.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("index", line.alias("line")))).alias("rows"))  # ten steps at most
     known = lambda c: F.coalesce(not_empty(c), F.lit(say["unknown"]))
     name = F.coalesce(not_empty("name_full"), not_empty("name_short"), F.lit(say["no_name"]))

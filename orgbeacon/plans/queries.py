@@ -299,12 +299,24 @@ def _build(v):
 # ---- pages
 
 
-@_query("h1_html_to_text")
+def _entities(sql: str) -> str:
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        sql = f"replace({sql}, '&{name};', '{sign}')"
+    return sql
+
+
+# the given pages are well formed: what is hidden and tags go, entities are read
+_TITLE_SQL = f"substr(trim({_entities("regexp_extract(html, '<title>([^<]*)</title>', 1)")}), 1, 200)"
+_HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>|<svg.*?</svg>|<title>.*?</title>|<!--.*?-->|<![^>]*>|<[^>]+>"
+_TEXT_SQL = f"trim(regexp_replace({_entities(f"regexp_replace(html, '{_HIDDEN}', ' ', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+@_query("h1_html_to_text", f"SELECT page_id AS k, sha256({_TEXT_SQL}) AS text_sha256, length({_TEXT_SQL}) AS size FROM pages")
 def _build(v):
-    return v("SELECT page_id AS k, url, url AS final_url, html FROM pages").select("k", html.parse_page("html", "url").alias("p")).select("k", F.sha2("p.text", 256).alias("text_sha256"), F.length("p.text").alias("size"))
+    return v("SELECT page_id AS k, url, url AS final_url, html FROM pages").select("k", html.parse_page("html", "url").alias("p")).select("k", F.sha2("p.text", 256).alias("text_sha256"), F.length("p.text").cast("long").alias("size"))
 
 
-@_query("h2_html_title", "SELECT page_id AS k, substr(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), 1, 200) AS title FROM pages")
+@_query("h2_html_title", f"SELECT page_id AS k, {_TITLE_SQL} AS title FROM pages")
 def _build(v):
     return v("SELECT page_id AS k, url, html FROM pages").select("k", html.parse_page("html", "url").alias("p")).select("k", "p.title")
 
@@ -338,7 +350,7 @@ def _build(v):
     return rows.select("k", F.when(F.col("r") != F.col("domain"), F.col("r")).alias("redirects_to"))
 
 
-@_query("h7_page_view", """SELECT 'https://' || p.domain || '/contacts' AS url, CASE WHEN p.k % 10 = 9 THEN 'page not readable (status=None, error=None)' ELSE 'title: ' || chr(10) || 'text: ' || CASE WHEN p.k % 4 = 1 THEN 'ИНН ' || p.inn ELSE 'ОГРН ' || p.ogrn END END AS view FROM org p""")
+@_query("h7_page_view", f"""SELECT 'https://' || p.domain || '/contacts' AS url, CASE WHEN p.k % 10 = 9 THEN 'page not readable (status=None, error=None)' ELSE 'title: ' || {_TITLE_SQL} || chr(10) || 'text: ' || substr(CASE WHEN p.k % 4 = 1 THEN 'ИНН ' || p.inn ELSE 'ОГРН ' || p.ogrn END || ' ' || {_TEXT_SQL}, 1, 1400) END AS view FROM org p""")
 def _build(v):
     return html.page_view(html.page_text(v("SELECT url, final_url, status, error, html FROM snapshot")), v("SELECT 'https://' || domain || '/contacts' AS url FROM org"))
 
@@ -504,7 +516,7 @@ def _build(v):
     return _scored(v).select("k", F.col("blacklisted_without_proof").alias("blocked"), F.round(F.col("score") * 100).cast("long").alias("hundredths"))
 
 
-_SIBLINGS = "SELECT page_id AS k, CAST((page_id - page_id % 3) / 3 AS INT) % 50 AS inn, 'b' || CAST(page_id % 4 AS STRING) || CASE page_id % 3 WHEN 0 THEN '.ru' WHEN 1 THEN '.com' ELSE '.su' END AS domain, CAST(page_id % 20 AS DOUBLE) AS score FROM pages"
+_SIBLINGS = "SELECT page_id AS k, CAST((page_id - page_id % 15) / 15 AS INT) AS inn, 'b' || CAST(page_id % 4 AS STRING) || CASE page_id % 3 WHEN 0 THEN '.ru' WHEN 1 THEN '.com' ELSE '.su' END AS domain, CAST(page_id % 20 AS DOUBLE) AS score FROM pages"
 
 
 @_query("k10_ru_siblings", f"SELECT k, CASE WHEN n >= 2 AND domain LIKE '%.ru' THEN score + 15 ELSE score END AS score FROM (SELECT *, count(*) OVER (PARTITION BY inn, regexp_extract(domain, '^([^.]+)', 1)) AS n FROM ({_SIBLINGS}) s) x")
@@ -630,11 +642,18 @@ def _build(v):
 _ASKED = "SELECT 'r' || CAST(k AS STRING) AS request_id, raw AS source FROM raw UNION ALL SELECT 'o' || CAST(k AS STRING), inn FROM org UNION ALL SELECT 'd' || CAST(k AS STRING), ' ' || inn FROM org"
 
 
+# a number's cards that differ, a page that can't be parsed and a reply that can't be read fail that number; cards and pages that repeat don't
+_DEEP = "'{\"a\": ' || repeat('[', 20000) || repeat(']', 20000) || '}'"
+_BROKEN_PAGES = """SELECT url, final_url, status, error, CASE WHEN k % 23 = 7 AND url NOT LIKE '%/contacts' THEN '<![bad[ x]]>' || html ELSE html END AS html FROM snapshot
+  UNION ALL SELECT url, final_url, status, error, CASE WHEN k % 23 = 7 AND url NOT LIKE '%/contacts' THEN '<![bad[ x]]>' || html ELSE html END FROM snapshot WHERE k % 7 = 2"""
+
+
 def _resolved(v):
     requests = readers.requests_from_lines(v(_ASKED).select("request_id", F.col("source").alias("value")))
-    chosen = v("SELECT inn, 1 AS attempt, '{\"domain\": \"1\", \"confidence\": \"high\", \"reason\": \"r\"}' AS raw_reply FROM org WHERE k % 3 <> 0")
-    named = v("SELECT inn, ogrn, CAST(NULL AS STRING) AS name_full, CASE WHEN k % 17 = 3 THEN '' ELSE 'ООО «' || label || '»' END AS name_short, 'Москва' AS city FROM org")
-    return whole.resolve(requests, v("SELECT * FROM hits WHERE k % 19 <> 4"), named, v("SELECT url, final_url, status, error, html FROM snapshot"), chosen)
+    chosen = v("SELECT inn, 1 AS attempt, CASE WHEN k % 29 = 4 THEN " + _DEEP + " ELSE '{\"domain\": \"1\", \"confidence\": \"high\", \"reason\": \"r\"}' END AS raw_reply FROM org WHERE k % 3 <> 0")
+    named = v("SELECT inn, ogrn, CAST(NULL AS STRING) AS name_full, CASE WHEN k % 17 = 3 THEN '' ELSE 'ООО «' || label || '»' END AS name_short, 'Москва' AS city FROM org"
+              " UNION ALL SELECT inn, ogrn, NULL, 'ООО «' || label || CASE WHEN k % 31 = 5 THEN ' другая' ELSE '' END || '»', 'Москва' FROM org WHERE k % 31 IN (5, 6) AND k % 17 <> 3")
+    return whole.resolve(requests, v("SELECT * FROM hits WHERE k % 19 <> 4"), named, v(_BROKEN_PAGES), chosen)
 
 
 # reachable sites publish a code; the others are refused, or not chosen where there is no reply
@@ -642,19 +661,23 @@ _RESOLVED = f"""
 , asked AS (SELECT request_id, trim(source) AS source, regexp_replace(source, '[^0-9]', '', 'g') AS d FROM ({_ASKED}) a),
 checked AS (SELECT *, {_valid_sql()} AS is_valid FROM asked),
 joined AS (SELECT c.*, o.k, o.domain, o.k % 10 <> 9 AND o.k % 11 <> 0 AS reachable FROM checked c LEFT JOIN org o ON c.is_valid AND c.d = o.inn),
-verdicts AS (SELECT *, CASE WHEN NOT is_valid THEN 'invalid' WHEN k IS NULL OR k % 17 = 3 THEN 'no_name' WHEN k % 19 = 4 THEN 'no_candidates' WHEN reachable THEN 'accepted' WHEN k % 3 <> 0 THEN 'unreachable' ELSE 'none' END AS verdict FROM joined)
+broken AS (SELECT *, CASE WHEN NOT is_valid OR k IS NULL OR k % 17 = 3 THEN NULL WHEN k % 31 = 5 THEN 'card: several that differ' WHEN k % 19 = 4 THEN NULL WHEN k % 23 = 7 AND reachable THEN 'page: AssertionError' WHEN k % 29 = 4 AND k % 3 <> 0 THEN 'reply: RecursionError' END AS reason FROM joined),
+verdicts AS (SELECT *, CASE WHEN NOT is_valid THEN 'invalid' WHEN k IS NULL OR k % 17 = 3 THEN 'no_name' WHEN reason IS NOT NULL THEN 'failed' WHEN k % 19 = 4 THEN 'no_candidates' WHEN reachable THEN 'accepted' WHEN k % 3 <> 0 THEN 'unreachable' ELSE 'none' END AS verdict FROM broken)
 """
 
 
-@_query("r9_early_exits", _RESOLVED + "SELECT request_id, verdict FROM verdicts WHERE verdict IN ('invalid', 'no_name', 'no_candidates')")
+_KIND = F.substring_index("reason", ":", 2).alias("reason")  # what an error says may differ between versions
+
+
+@_query("r9_early_exits", _RESOLVED + "SELECT request_id, verdict, reason FROM verdicts WHERE verdict IN ('invalid', 'no_name', 'no_candidates', 'failed')")
 def _build(v):
-    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates')").select("request_id", "verdict")
+    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates', 'failed')").select("request_id", "verdict", _KIND)
 
 
 @_query("r10_resolve", _RESOLVED + """SELECT request_id, source, d AS inn, CASE WHEN verdict = 'accepted' THEN domain END AS domain, CAST(CASE WHEN verdict <> 'accepted' THEN 0.0 WHEN k % 4 IN (0, 1) THEN 0.97 ELSE 0.93 END AS DOUBLE) AS confidence,
-  CASE WHEN verdict <> 'accepted' THEN NULL WHEN k % 4 IN (0, 1) THEN 'inn_on_site' ELSE 'ogrn_on_site' END AS proof, verdict FROM verdicts""")
+  CASE WHEN verdict <> 'accepted' THEN NULL WHEN k % 4 IN (0, 1) THEN 'inn_on_site' ELSE 'ogrn_on_site' END AS proof, verdict, reason FROM verdicts""")
 def _build(v):
-    return _resolved(v)
+    return _resolved(v).withColumn("reason", _KIND)
 
 
 _CALLS = "SELECT o.inn, c.failed, c.repaired, c.completion_tokens FROM calls c JOIN org o ON o.k = CAST(floor(c.event_id / 4) AS BIGINT)"
@@ -677,12 +700,19 @@ def _build(v):
 _STEPS = "SELECT session, index, raw, observation FROM step_rows"
 
 
-@_query("a1_parse_steps", """SELECT session, index, form = 1 AS invalid, CASE form WHEN 0 THEN 'check' WHEN 2 THEN 'check' WHEN 3 THEN 'search' WHEN 4 THEN 'finish' END AS action, CASE form WHEN 0 THEN 'a=1|b=2' WHEN 2 THEN 'a=1|b=2' WHEN 3 THEN 'q=' || CAST(index - 1 AS STRING) WHEN 4 THEN 'domain=https://WWW.site' || CAST(session AS STRING) || '.com/x' END AS arguments FROM step_rows""")
+_CHECK = """'{"a": 1, "b": {"x": 2.5, "y": [true, null]}}'"""
+_ARGS = f"""CASE form WHEN 0 THEN '{{"a": 1, "b": {{"y": [true, null], "x": 2.5}}}}' WHEN 2 THEN '{{"b": {{"x": 2.5, "y": [true, null]}}, "a": 1}}' WHEN 3 THEN '{{"q": ' || CAST(index - 1 AS STRING) || '}}'
+  WHEN 4 THEN '{{"domain": "https://WWW.site' || CAST(session AS STRING) || '.com/x"}}' WHEN 5 THEN '{{"a": "1", "b": {{"x": 2.5, "y": [true, null]}}}}' WHEN 6 THEN '{{"domain": 5}}' WHEN 7 THEN '{{}}' END"""
+_ACTION = "CASE WHEN form IN (0, 2, 5) THEN 'check' WHEN form IN (3, 7) THEN 'search' WHEN form IN (4, 6) THEN 'finish' END"
+
+
+@_query("a1_parse_steps", f"""SELECT session, index, form IN (1, 8) AS invalid, {_ACTION} AS action, {_ARGS} AS args, CASE WHEN form IN (0, 2) THEN {_CHECK} ELSE {_ARGS} END AS args_in_order,
+  CASE WHEN form = 4 THEN 'https://WWW.site' || CAST(session AS STRING) || '.com/x' END AS named FROM step_rows""")
 def _build(v):
-    return steps.parse_steps(v(_STEPS)).select("session", "index", "invalid", "action", F.array_join(F.array_sort(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("arguments"))
+    return steps.parse_steps(v(_STEPS)).select("session", "index", "invalid", "action", "args", "args_in_order", "named")
 
 
-_SIGNED = "SELECT *, CASE form WHEN 0 THEN 'c' WHEN 2 THEN 'c' WHEN 3 THEN 's' || CAST(index AS STRING) END AS sig FROM step_rows"
+_SIGNED = "SELECT *, CASE WHEN form IN (0, 2) THEN 'c' WHEN form = 5 THEN 'typed' WHEN form = 3 THEN 's' || CAST(index AS STRING) WHEN form = 7 THEN 's' END AS sig FROM step_rows"
 
 
 @_query("a2_flag_repeats", f"SELECT session, index, sig IS NOT NULL AND row_number() OVER (PARTITION BY session, sig ORDER BY index) > 1 AS repeated FROM ({_SIGNED}) s")
@@ -691,15 +721,15 @@ def _build(v):
 
 
 @_query("a3_cut_session", """
-, grouped AS (SELECT *, sum(CASE WHEN form = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY index) AS g, row_number() OVER (PARTITION BY session ORDER BY index) AS n FROM step_rows),
-runs AS (SELECT *, sum(CASE WHEN form = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session, g ORDER BY index) AS r FROM grouped),
-stops AS (SELECT session, min(CASE WHEN form = 4 OR r >= 3 OR n >= 10 THEN n END) AS stop FROM runs GROUP BY session)
+, grouped AS (SELECT *, sum(CASE WHEN form IN (1, 8) THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY index) AS g, row_number() OVER (PARTITION BY session ORDER BY index) AS n FROM step_rows),
+runs AS (SELECT *, sum(CASE WHEN form IN (1, 8) THEN 1 ELSE 0 END) OVER (PARTITION BY session, g ORDER BY index) AS r FROM grouped),
+stops AS (SELECT session, min(CASE WHEN form IN (4, 6) OR r >= 3 OR n >= 10 THEN n END) AS stop FROM runs GROUP BY session)
 SELECT x.session, x.index FROM runs x JOIN stops s ON x.session = s.session WHERE s.stop IS NULL OR x.n <= s.stop""")
 def _build(v):
     return steps.cut_sessions(steps.parse_steps(v(_STEPS))).select("session", "index")
 
 
-@_query("a4_raw_answer", "SELECT session, CASE WHEN sum(CASE WHEN form = 4 THEN 1 ELSE 0 END) > 0 THEN 'site' || CAST(session AS STRING) || '.com' END AS answer FROM step_rows GROUP BY session")
+@_query("a4_raw_answer", "SELECT session, CASE WHEN min(CASE WHEN form IN (4, 6) THEN index END) = min(CASE WHEN form = 4 THEN index END) THEN 'site' || CAST(session AS STRING) || '.com' END AS answer FROM step_rows GROUP BY session")
 def _build(v):
     return steps.raw_answers(steps.parse_steps(v(_STEPS)))
 
@@ -708,8 +738,7 @@ _HEAD = "'Company to find the website for:' || chr(10) || '- INN: ' || CAST(sess
 
 
 @_query("a5_transcript", f"""
-, lines AS (SELECT session, index, CASE WHEN form = 1 THEN printf('[step %d] INVALID OUTPUT -- ', index) || observation ELSE printf('[step %d] action=', index) || CASE form WHEN 3 THEN 'search' WHEN 4 THEN 'finish' ELSE 'check' END || ' args='
-  || CASE form WHEN 0 THEN '{{"a": "1", "b": "2"}}' WHEN 2 THEN '{{"b": "2", "a": "1"}}' WHEN 3 THEN '{{"q": "' || CAST(index - 1 AS STRING) || '"}}' ELSE '{{"domain": "https://WWW.site' || CAST(session AS STRING) || '.com/x"}}' END || chr(10) || 'observation: ' || observation END AS line FROM step_rows),
+, lines AS (SELECT session, index, CASE WHEN form IN (1, 8) THEN printf('[step %d] INVALID OUTPUT -- ', index) || observation ELSE printf('[step %d] action=', index) || {_ACTION} || ' args=' || {_ARGS} || chr(10) || 'observation: ' || observation END AS line FROM step_rows),
 told AS (SELECT session, string_agg(line, chr(10) ORDER BY index) AS lines, 10 - count(*) AS remaining FROM lines GROUP BY session)
 SELECT session, {_HEAD} || chr(10) || chr(10) || 'What you did so far:' || chr(10) || lines || chr(10) || chr(10) || printf('You have %d step(s) left. Output the next action as one JSON object.', remaining) || CASE WHEN remaining <= 1 THEN ' This is your LAST step: you must use finish.' ELSE '' END AS transcript FROM told
 UNION ALL SELECT session, {_HEAD} || chr(10) || 'You have 10 steps. Output your first action as one JSON object.' FROM (SELECT DISTINCT -1 - session AS session FROM step_rows) n""")

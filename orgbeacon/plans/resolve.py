@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orgbeacon.functions.codes import not_empty
 from orgbeacon.functions.html import page_facts, page_text
+from orgbeacon.joins import one_each
 from orgbeacon.operators import candidates as C
 from orgbeacon.operators import decisions as R
 from orgbeacon.operators import evidence as E
@@ -28,23 +29,42 @@ def judged_candidates(hits: DataFrame, cards: DataFrame, facts: DataFrame) -> tu
     return scored, C.shortlist(scored.drop("item_no"), "score", C.JUDGED)
 
 
+def one_card_each(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cards with a name, one a number, and (inn, reason) of numbers whose cards differ."""
+    named = cards.where(F.coalesce(not_empty("name_short"), not_empty("name_full")).isNotNull())
+    facts = [c for c in named.columns if c not in ("inn", "source")]
+    rows = one_each(named, "inn")
+    kinds = named.groupBy("inn").agg(F.min(F.to_json(F.struct(*facts))).alias("low"), F.max(F.to_json(F.struct(*facts))).alias("high")).where("low != high")
+    return rows, kinds.select("inn", F.lit("card: several that differ").alias("reason"))
+
+
 def resolve(requests: DataFrame, hits: DataFrame, cards: DataFrame, pages: DataFrame, replies: DataFrame) -> DataFrame:
-    """Per request: request_id, source, inn, domain, confidence, proof, verdict.
+    """Per request: request_id, source, inn, domain, confidence, proof, verdict, reason.
 
-    verdict: accepted, or why there is no answer (invalid, no_name, no_candidates, none, blocked, unreachable, foreign).
+    verdict: accepted, or why there is no answer (invalid, no_name, no_candidates, none, blocked, unreachable, foreign), or failed: a
+    card, page or reply of this number couldn't be used, for the reason given; all others are answered. Rows of cards, pages and replies
+    that repeat count once.
     """
     requests = stored(requests)
     asked = requests.where("is_valid").select("inn").distinct()
-    named = stored(cards.join(asked, "inn", "left_semi").where(F.coalesce(not_empty("name_short"), not_empty("name_full")).isNotNull()))
-    _, judged = judged_candidates(hits.join(named.select("inn"), "inn", "left_semi"), named, stored(page_facts(page_text(pages))))
-    chosen = R.choose(judged, R.first_valid(R.parse_decisions(replies)))
+    named, differing = one_card_each(cards.join(asked, "inn", "left_semi"))
+    named, differing = stored(named), stored(differing)
+    clear = named.join(differing, "inn", "left_anti")
+    scored, judged = judged_candidates(hits.join(clear.select("inn"), "inn", "left_semi"), clear, stored(page_facts(page_text(pages))))
+    parsed = stored(R.parse_decisions(replies.join(asked, "inn", "left_semi")))
+    chosen = R.choose(judged, R.first_valid(parsed))
     answers = R.guards(chosen.select("inn", "c.domain", *(f"c.{c}" for c in ("inn_on_site", "ogrn_on_site", "site_field_hits", "email_hits", "reachable", "foreign_inn", "blacklisted_without_proof"))))
-    answers = answers.select("inn", "answer", "confidence", "proof", "verdict")
-    known = named.select("inn").join(answers, "inn", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no_candidates")))
+    unread = scored.where("page_error IS NOT NULL").groupBy("inn").agg(F.min("page_error").alias("reason"))
+    asked_of = scored.select("inn").distinct()  # a reply is asked for only where there are candidates
+    failed = differing.select("inn", "reason", F.lit(0).alias("step")).union(unread.select("inn", "reason", F.lit(1))).union(R.reply_errors(parsed).join(asked_of, "inn").select("inn", "reason", F.lit(2)))
+    failed = failed.groupBy("inn").agg(F.min_by("reason", "step").alias("reason"))
+    known = named.select("inn").join(answers.select("inn", "answer", "confidence", "proof", "verdict"), "inn", "left").join(failed, "inn", "left")
+    broken = F.col("reason").isNotNull()
+    known = known.select("inn", "reason", *(F.when(~broken, F.col(c)).alias(c) for c in ("answer", "confidence", "proof")), F.when(broken, "failed").otherwise(F.coalesce("verdict", F.lit("no_candidates"))).alias("verdict"))
     key = F.when(F.col("is_valid"), F.col("inn")).otherwise(F.concat(F.lit("-"), F.xxhash64("request_id", "source").cast("string")))  # rows that are not valid share no key
     rows = requests.withColumn("__key", key).join(known.withColumnRenamed("inn", "__key"), "__key", "left")
     verdict = F.when(~F.col("is_valid"), "invalid").otherwise(F.coalesce("verdict", F.lit("no_name")))
-    return rows.select("request_id", "source", "inn", F.col("answer").alias("domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "proof", verdict.alias("verdict"))
+    return rows.select("request_id", "source", "inn", F.col("answer").alias("domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "proof", verdict.alias("verdict"), "reason")
 
 
 def traces(results: DataFrame, scored: DataFrame, calls: DataFrame) -> DataFrame:

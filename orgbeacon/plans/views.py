@@ -1,7 +1,7 @@
 """Inputs of the queries, derived from the given tables by SQL that Spark and DuckDB both run.
 
 Every view has a row or a few for each row of a table, so the queries' work grows with the tables; each page gives an
-organisation with a domain of its own. The SQL keeps to what the
+organisation with a domain of its own, and its html, with codes planted in front, is what that site shows. The SQL keeps to what the
 two dialects share; ``[.]`` stands for an escaped dot.
 """
 
@@ -71,11 +71,11 @@ cards AS (SELECT inn, ogrn, CAST(NULL AS STRING) AS name_full, name AS name_shor
 snapshot AS (
   SELECT k, 'https://' || domain || '/' AS url, CASE WHEN k % 13 = 5 THEN 'https://www.' || label || '.net/' ELSE 'https://' || domain || '/' END AS final_url,
     CASE WHEN k % 11 = 0 THEN 404 ELSE 200 END AS status, CAST(NULL AS STRING) AS error,
-    '<html><head><title>' || label || '</title></head><body><script>x</script><p>' ||
-    CASE k % 4 WHEN 0 THEN 'ИНН ' || inn WHEN 2 THEN 'ИНН 7725861463' ELSE 'О нас' END || '</p><a href="/contacts">Контакты</a><a href="/x">x</a></body></html>' AS html FROM org WHERE k % 10 <> 9
+    '<body><script>x</script><p>' ||
+    CASE k % 4 WHEN 0 THEN 'ИНН ' || inn WHEN 2 THEN 'ИНН 7725861463' ELSE 'О нас' END || '</p><a href="/contacts">Контакты</a><a href="/x">x</a></body>' || html AS html FROM org WHERE k % 10 <> 9
   UNION ALL
   SELECT k, 'https://' || domain || '/contacts', 'https://' || domain || '/contacts', 200, CAST(NULL AS STRING),
-    '<body><p>' || CASE WHEN k % 4 = 1 THEN 'ИНН ' || inn ELSE 'ОГРН ' || ogrn END || '</p></body>' FROM org WHERE k % 10 <> 9),
+    '<body><p>' || CASE WHEN k % 4 = 1 THEN 'ИНН ' || inn ELSE 'ОГРН ' || ogrn END || '</p></body>' || html FROM org WHERE k % 10 <> 9),
 verified AS (
   SELECT k, inn, CASE WHEN k % 9 = 4 THEN 'ozon.ru' ELSE domain END AS domain, label, k % 6 AS mention_count, CASE WHEN k % 5 = 0 THEN 99 ELSE k % 14 END AS best_rank, k % 3 AS site_field_hits,
     k % 2 AS email_hits, k % 5 AS snippet_hits, k % 4 = 1 AS mentioned_by_registry, k % 9 = 4 AS requires_proof, k % 8 = 1 AS inn_on_site, k % 8 = 2 AS ogrn_on_site,
@@ -87,9 +87,11 @@ replies AS (
       WHEN 1 THEN '{{"domain": null, "confidence": "medium", "reason": "нет"}} конец'
       WHEN 2 THEN 'просто текст' WHEN 3 THEN '{{"domain": "b.com", "confidence": "sure"}}' WHEN 4 THEN '{{"domain": "2"}}' ELSE '{{"domain": 5, "reason": "z"}}' END AS raw_reply FROM conversations),
 step_rows AS (
-  SELECT conv_id AS session, CAST(turn + 1 AS INT) AS index, (conv_id * 3 + turn) % 5 AS form,
-    CASE (conv_id * 3 + turn) % 5 WHEN 0 THEN '{{"action": "check", "args": {{"a": "1", "b": "2"}}}}' WHEN 1 THEN 'nothing' WHEN 2 THEN '{{"action": " check ", "args": {{"b": "2", "a": "1"}}}}'
-      WHEN 3 THEN '{{"action": "search", "args": {{"q": "' || CAST(turn AS STRING) || '"}}}}' ELSE '{{"action": "finish", "args": {{"domain": "https://WWW.site' || CAST(conv_id AS STRING) || '.com/x"}}}}' END AS raw,
+  SELECT conv_id AS session, CAST(turn + 1 AS INT) AS index, (conv_id * 3 + turn) % 9 AS form,
+    CASE (conv_id * 3 + turn) % 9 WHEN 0 THEN '{{"action": "check", "args": {{"a": 1, "b": {{"y": [true, null], "x": 2.50}}}}}}' WHEN 1 THEN 'nothing'
+      WHEN 2 THEN 'so: {{"action": " check ", "args": {{"b": {{"x": 2.5, "y": [true, null]}}, "a": 1}}}}' WHEN 3 THEN '{{"action": "search", "args": {{"q": ' || CAST(turn AS STRING) || '}}}}'
+      WHEN 4 THEN '{{"action": "finish", "args": {{"domain": "https://WWW.site' || CAST(conv_id AS STRING) || '.com/x"}}}}' WHEN 5 THEN '{{"action": "check", "args": {{"a": "1", "b": {{"x": 2.5, "y": [true, null]}}}}}}'
+      WHEN 6 THEN '{{"action": "finish", "args": {{"domain": 5}}}}' WHEN 7 THEN '{{"action": "search", "args": ["q"]}}' ELSE '{{"action": 7}}' END AS raw,
     'saw ' || CAST(turn AS STRING) AS observation FROM conversations),
 lab AS (
   SELECT CAST(d.doc_id AS STRING) AS inn, l.doc_id IS NOT NULL AS is_labelled, CASE WHEN l.quality = 1 THEN 'd' || CAST(d.doc_id % 7 AS STRING) || '.ru' END AS expected, d.source AS tag, d.doc_id AS k
