@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgbeacon.joins import dealt_join as dealt_join
 from orgbeacon.stored import stored
 
 SLICE_BYTES = 2 << 20
@@ -27,22 +28,6 @@ _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 checkpoint = stored
 
 
-def dealt_join(many: DataFrame, one: DataFrame, key: str, size: str, rows: int, each: int = 2000) -> DataFrame:
-    """``many`` joined with ``one`` on ``key``; a key of very many rows is dealt over several tasks.
-
-    ``one`` has a row for each key; its column ``size`` says about how many rows of ``many`` have it, ``rows`` how many these
-    are in all. Keys of more than ``each`` rows, and of more than a 50,000th of all (so these are 50,000 keys at most and are
-    broadcast), have their row of ``one`` repeated once for each share.
-    """
-    each = max(each, rows // 50_000)
-    crowds = F.broadcast(one.where(F.col(size) > each).select(key, F.ceil(F.col(size) / each).alias("__shares")))
-    share = F.coalesce(F.pmod(F.xxhash64(*(c for c in many.columns)), F.col("__shares")), F.lit(0))
-    dealt = many.join(crowds, key, "left").withColumn("__share", share).drop("__shares")
-    shares = F.when(F.col(size) > each, F.ceil(F.col(size) / each)).otherwise(1)
-    repeated = one.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), shares.cast("long") - 1)))
-    return dealt.join(repeated.drop(size), [key, "__share"]).drop("__share")
-
-
 def prefix_sums(cells: DataFrame, group: str, order: list[str], number: str, value: str, out: str, chunk: int = 1000) -> DataFrame:
     """``cells`` with ``out``: the sum of ``value`` over the cells before it in its group, by ``order`` and then ``number`` (from 0).
 
@@ -170,6 +155,22 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def range_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each range; ``begin`` is in order."""
+    out, w = np.empty(len(begin), np.uint64), 0
+    while w < len(begin):
+        stop = max(w + 1, int(np.searchsorted(begin, begin[w] + _PIECE)))
+        low = begin[w]
+        piece = words[low : end[w:stop].max()]
+        up, down = _tables(_WORD_BASE, len(piece))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[: len(piece)], out=sums[1:])
+        a, b = begin[w:stop] - low, end[w:stop] - low
+        out[w:stop] = (sums[b] - sums[a]) * down[a]
+        w = stop
+    return mixed(out)
+
+
 def packed(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the length of each list."""
     at = np.zeros(len(lengths) + 1, np.int32)

@@ -1,14 +1,16 @@
 """Substring dedup: seed and extend, and keep the maximal repeats of at least ``window`` words.
 
 1. Seeds: winnowed anchors, the least hash of ``seed`` words among ``window - seed + 1`` neighbours. Two documents that share
-   ``window`` words share an anchor in them. A shuffle finds the anchors of more than one document.
-2. Extend: around each shared anchor, to the left and right, every window that holds it is hashed; a second shuffle finds
-   the smallest id in which each such window starts. Grouping by content extends a match against all documents at once, so a
-   passage of a million documents costs a million rows, not pairs. The windows that start in a smaller id are joined back.
-3. Neighbouring windows of a document are merged to maximal spans and its words outside them are kept.
+   ``window`` words share an anchor in them, at the same place in these words. Occurrences of anchors are joined, by a shuffle, with
+   the anchors that more than one document has.
+2. Extend: an occurrence is extended to both sides as far as a window that holds its anchor can reach (``window - seed`` words
+   each way, or to the end of the text), and compared there by hash with all occurrences of the anchor at once: those alike are a class, with
+   the smallest id in it. A later member of a class repeats its whole extent. A class's first document can share
+   a part of its extent only, with the first of another class; there windows decide, by the smallest id in which each starts.
+   So a passage of a million documents costs a million rows, not pairs, and windows are worked out at the edges of repeats only.
+3. Extents and windows of a document are merged to maximal spans and its words outside them are kept.
 
-The shared anchors reach the second scan as a Bloom filter of at most ``FILTER_WORDS`` 64-bit words: its false positives
-only add windows that prove to be unshared. Windows are told apart by 96 bits of hash.
+Extents are told apart by 128 bits of hash, windows by 96.
 
 Null and empty texts have no words. A row's windows are compared with rows of smaller ids only, so exact copies lose their
 words where a smaller id has them (if they are long enough) and rows that repeat an id don't affect each other. A row with a
@@ -25,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from orgbeacon.llm.shared import PLAIN, checkpoint, mixed, sequence_hashes, slices, word_bounds, word_hashes
+from orgbeacon.llm.shared import PLAIN, checkpoint, mixed, range_hashes, sequence_hashes, slices, word_bounds, word_hashes
 
-#: Spans of at most so many rows and numbers are broadcast; more are joined by a shuffle.
+#: Spans, or the places of occurrences, of at most so many rows and numbers are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 2_000_000
-FILTER_WORDS = 1 << 22
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -57,7 +58,7 @@ def anchors(grams: np.ndarray, gram_first: np.ndarray, gram_last: np.ndarray, wi
 
 
 class Scan:
-    """What both scans see of a slice: word hashes, where documents begin, and anchors."""
+    """What the scans see of a slice: word hashes, where documents begin, and anchors with their extents."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, window: int, seed: int) -> None:
         starts, ends, self.first = word_bounds(data, at, PLAIN)
@@ -67,85 +68,88 @@ class Scan:
         self.at = anchors(grams, self.first[:-1], np.maximum(self.first[:-1], self.first[1:] - seed + 1), window - seed + 1)
         self.anchors = grams[self.at]
         self.doc = np.searchsorted(self.first, self.at, side="right") - 1
+        reach = window - seed
+        self.begin = np.maximum(self.first[self.doc], self.at - reach)
+        self.end = np.minimum(self.first[self.doc + 1], self.at + seed + reach)
 
-
-def _bits(hashes: np.ndarray, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two places (word, bit) of each hash."""
-    again = mixed(hashes)
-    return [((h % np.uint64(words)).astype(np.int64), h >> np.uint64(58)) for h in (again, mixed(again ^ np.uint64(0x5BD1E995)))]
+    def extents(self) -> np.ndarray:
+        """A hash of the words of each anchor's extent and of the anchor's place in it."""
+        return mixed(range_hashes(self.words, self.begin, self.end) + (self.at - self.begin).astype(np.uint64))
 
 
 def _ids(rows: pa.RecordBatch, doc: np.ndarray) -> pa.Array:
     return rows.column(0).take(pa.array(doc))
 
 
+def _few(df: DataFrame, numbers: str) -> DataFrame:
+    """``df``, as a broadcast if its rows, and the numbers in its lists, are few enough."""
+    rows, n = df.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and n <= BROADCAST_NUMBERS else df
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFrame:
     """From (id, text): (id, text_key, spans), the words [s0, e0, s1, e1, ..) of each text that repeat a smaller id's."""
-    spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
-    docs = docs.where(F.col("id").isNotNull())
+    kind = docs.schema["id"].dataType.simpleString()
+    docs = docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("text").alias("text_key"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in slices(batch):
                 s = Scan(data, at, window, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchors.view(np.int64)), _ids(rows, s.doc)], ["anchor", "id"])
-
-    found = docs.select("id", "text").mapInArrow(seeds, f"anchor long, id {kind}").groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = checkpoint(found.where("low < high").select("anchor"))
-    words = min(FILTER_WORDS, 1 << max(10, (shared.count() * 12 // 64).bit_length()))
-
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for word, bit in _bits(hashes, words):
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
-
-    bits = shared.mapInArrow(set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(words, np.uint64)
-    table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    bloom = spark.sparkContext.broadcast(table)  # 32 MB at most
+                place = (s.begin - s.first[s.doc]) << 8 | (s.end - s.begin)  # an extent has 75 words at most
+                yield pa.RecordBatch.from_arrays([pa.array(s.anchors.view(np.int64)), pa.array(s.extents().view(np.int64)), _ids(rows, s.doc), rows.column(2).take(pa.array(s.doc)), pa.array(place)], ["anchor", "extent", "id", "text_key", "place"])
+
+    found = docs.mapInArrow(seeds, f"anchor long, extent long, id {kind}, text_key long, place long")
+    anchors_of = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("extent").alias("e_low"), F.max("extent").alias("e_high"))
+    shared = checkpoint(anchors_of.where("low < high").select("anchor", F.when(F.col("e_low") == F.col("e_high"), F.col("low")).alias("low"), (F.col("e_low") != F.col("e_high")).alias("several")))
+    met = checkpoint(found.join(shared, "anchor").where("several OR id > low"))  # of an anchor with one class its first document repeats nothing
+    classes = met.where("several").groupBy("anchor", "extent").agg(F.min("id").alias("first"))
+    of_several = checkpoint(met.where("several").join(classes, ["anchor", "extent"]).select("id", "text_key", "place", (F.col("id") > F.col("first")).alias("later")))
+    extents = met.where("NOT several").select("id", "text_key", "place").union(of_several.where("later").select("id", "text_key", "place"))
+    edges = checkpoint(of_several.where("NOT later").select("id", "text_key", "place").distinct().groupBy("id", "text_key").agg(F.collect_list("place").alias("places")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in slices(batch):
-                s = Scan(data, at, window, seed)
-                hit = np.ones(len(s.at), bool)
-                for word, bit in _bits(s.anchors, words):
-                    hit &= (bloom.value[word] >> bit & np.uint64(1)) != 0
-                where, doc = s.at[hit], s.doc[hit]
-                if not len(where):
-                    continue
-                begin = np.maximum(s.first[doc], where + seed - window)
-                end = np.minimum(where, s.first[doc + 1] - window) + 1
-                edges = np.zeros(len(s.words) + 1, np.int32)
+                starts, ends, first = word_bounds(data, at, PLAIN)
+                words = word_hashes(data, starts, ends, PLAIN)
+                lists = rows.column(3)
+                places = lists.flatten().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+                begin = first[doc] + (places >> 8)
+                end = begin + (places & 255) - window + 1
+                marks = np.zeros(len(words) + 1, np.int32)
                 good = begin < end
-                np.add.at(edges, begin[good], 1)
-                np.add.at(edges, end[good], -1)
-                chosen = np.flatnonzero(np.cumsum(edges))
-                first_hash = sequence_hashes(s.words, window)[chosen]
-                second = sequence_hashes(s.words ^ np.uint64(0xA5A5A5A55A5A5A5A), window)[chosen]
-                doc = np.searchsorted(s.first, chosen, side="right") - 1
-                key = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                place = key[doc] << 32 | (chosen - s.first[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(first_hash.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), _ids(rows, doc), pa.array(place)], ["h", "c", "id", "place"])
-
-    rows = docs.select("id", "text", F.hash("text").alias("text_key")).mapInArrow(windows, f"h long, c int, id {kind}, place long")
+                np.add.at(marks, begin[good], 1)
+                np.add.at(marks, end[good], -1)
+                chosen = np.flatnonzero(np.cumsum(marks))
+                if not len(chosen):
+                    continue
+                first_hash = sequence_hashes(words, window)[chosen]
+                second = sequence_hashes(words ^ np.uint64(0xA5A5A5A55A5A5A5A), window)[chosen]
+                doc = np.searchsorted(first, chosen, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(first_hash.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), _ids(rows, doc), rows.column(2).take(pa.array(doc)), pa.array((chosen - first[doc]).astype(np.int32))], ["h", "c", "id", "text_key", "start"])
+
+    at_edges = docs.join(_few(edges, "places"), ["id", "text_key"]).select("id", "text", "text_key", "places")
+    rows = at_edges.mapInArrow(windows, f"h long, c int, id {kind}, text_key long, start int")
     # written, so that the join reads both sides from a shuffle and a very common window can be split over tasks
     lows = checkpoint(rows.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"))
-    later = rows.join(lows, ["h", "c"]).where("id > low").select("id", F.shiftright("place", 32).cast("int").alias("text_key"), F.expr("cast(place & 4294967295 AS int)").alias("start"))
-    starts = later.groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"))
+    again = rows.join(lows, ["h", "c"]).where("id > low").select("id", "text_key", F.col("start").cast("long").alias("begin"), (F.col("start") + window).cast("long").alias("end"))
+    begin = F.shiftright("place", 8)
+    repeated = again.union(extents.select("id", "text_key", begin.alias("begin"), (begin + F.col("place").bitwiseAND(255)).alias("end")).where(F.col("end") - F.col("begin") >= window))
+    by_text = repeated.distinct().groupBy("id", "text_key").agg(F.collect_list(F.shiftleft("begin", 32) + F.col("end")).alias("ranges"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
             for one in batch.column(2):
-                at = np.unique(one.values.to_numpy())
-                new = np.flatnonzero(np.diff(at) > window) + 1
-                begin, end = at[np.append(0, new)], at[np.append(new - 1, len(at) - 1)] + window
-                spans.append(np.stack([begin, end], axis=1).ravel())
+                both = np.sort(one.values.to_numpy())
+                begin, end = both >> 32, np.maximum.accumulate(both & 0xFFFFFFFF)
+                new = np.flatnonzero(begin[1:] > end[:-1]) + 1
+                spans.append(np.stack([begin[np.append(0, new)], end[np.append(new - 1, len(end) - 1)]], axis=1).ravel().astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["id", "text_key", "spans"])
 
-    return starts.mapInArrow(merge, f"id {kind}, text_key int, spans array<int>")
+    return by_text.mapInArrow(merge, f"id {kind}, text_key long, spans array<int>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 25, keep: list[str] | None = None, unchanged_as_is: bool = False) -> DataFrame:
@@ -157,11 +161,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", ArrayType(IntegerType())), StructField("kept_text", StringType())]
     names = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in added}]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = checkpoint(repeated_spans(own, window, seed))
-    rows, numbers = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
-        spans = F.broadcast(spans)
-    whole = docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"), F.struct(*names).alias("kept"))
+    spans = _few(checkpoint(repeated_spans(own, window, seed)), "spans")
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"), F.struct(*names).alias("kept"))
     joined = whole.join(spans, ["id", "text_key"], "left").select("text", "spans", "kept")
     schema = StructType([*(docs.schema[c] for c in names), *added])
 

@@ -92,21 +92,89 @@ def test_components_of_links(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_repeats(spark):
-    rows = corpus()
-    first = {}
+def near_pairs(n, low, high, seed):
+    """(id, text) of ``n`` pairs of texts of which the shingles are alike by ``low`` to ``high``, and the pairs' exact likeness."""
+    rnd, rows, likes = random.Random(seed), [], []
+    while len(likes) < n:
+        size = rnd.randrange(60, 160)
+        one = [f"{seed}_{len(likes)}_{k}" for k in range(size)]
+        two = list(one)
+        for at in rnd.sample(range(size), rnd.randrange(1, 5)):
+            two[at] += "x"
+        a, b = ({tuple(t[i : i + 5]) for i in range(size - 4)} for t in (one, two))
+        like = len(a & b) / len(a | b)
+        if low <= like < high:
+            rows += [(2 * len(likes), " ".join(one)), (2 * len(likes) + 1, " ".join(two))]
+            likes.append(like)
+    return rows
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.85, 0.9), (0.9, 0.95)])
+def test_recall(spark, low, high):
+    """Of 3000 planted pairs of each band at least 0.999 are found."""
+    rows = spark.createDataFrame(near_pairs(3000, low, high, int(100 * low)), "doc_id long, text string").repartition(8)
+    found = near_dedup.near_duplicates(rows).where("doc_id % 2 = 1 AND component_id = doc_id - 1").count()
+    assert found >= 0.999 * 3000
+
+
+def test_rows_do_not_depend_on_the_block(spark):
+    """Chains of texts, each near the next: which links are looked for is the same in blobs of any size."""
+    rnd, rows = random.Random(8), []
+    for chain in range(5):
+        text = [f"c{chain}_{k}" for k in range(90)]
+        for step in range(20):
+            for at in rnd.sample(range(90), 2):
+                text[at] = f"s{chain}_{step}_{at}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [sorted(map(tuple, near_dedup.near_duplicates(docs, percent=70, block=b).select("doc_id", "component_id").collect())) for b in (near_dedup.BLOCK, 600)]
+    assert got[0] == got[1]
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+    want = sorted(map(tuple, near_dedup.near_duplicates(rows).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, near_dedup.near_duplicates(rows).select("doc_id", "component_id").collect())) == want
+
+
+def removed(rows, window=50):
+    """(n_words, n_removed, hash of what is left) of each id, window by window."""
+    first, out = {}, {}
     docs = {i: words(t) for i, t, *_ in rows}
     for i in sorted(docs):
-        for a in range(len(docs[i]) - 49):
-            first.setdefault(tuple(docs[i][a : a + 50]), i)
-    want = {}
+        for a in range(len(docs[i]) - window + 1):
+            first.setdefault(tuple(docs[i][a : a + window]), i)
     for i, w in docs.items():
-        cover = {x for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for x in range(a, a + 50)}
+        cover = {x for a in range(len(w) - window + 1) if first[tuple(w[a : a + window])] < i for x in range(a, a + window)}
         left = " ".join(x for a, x in enumerate(w) if a not in cover)
-        want[i] = (len(w), len(cover), hashlib.sha256(left.encode()).hexdigest())
-    for big in (True, False):
-        substring_dedup.BROADCAST_ROWS = 200_000 if big else 0
-        out = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3))
-        got = out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("h")).collect()
-        assert len(got) == len(rows) and {r.doc_id: (r.n_words, r.n_removed, r.h) for r in got} == want
-    substring_dedup.BROADCAST_ROWS = 200_000
+        out[i] = (len(w), len(cover), hashlib.sha256(left.encode()).hexdigest())
+    return out
+
+
+def as_removed(out):
+    return {r.doc_id: (r.n_words, r.n_removed, r.h) for r in out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("h")).collect()}
+
+
+@pytest.mark.parametrize("big", [True, False])
+def test_repeats(spark, monkeypatch, big):
+    rows = corpus()
+    if not big:
+        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert out.count() == len(rows) and as_removed(out) == removed(rows)
+
+
+def test_pieces_of_one_passage(spark):
+    """Documents that share different parts of a passage, between words of their own or at the text's ends."""
+    rnd = random.Random(11)
+    passage = [f"p{k}" for k in range(300)]
+    rows = []
+    for i in range(150):
+        a = rnd.randrange(0, 250)
+        part = passage[a : a + rnd.randrange(40, 130)]
+        before, after = ([f"own{i}_{side}_{k}" for k in range(rnd.choice([0, 0, 3, 30]))] for side in "ab")
+        rows.append((i, " ".join(before + part + after + (part if i % 9 == 0 else []))))
+    rows += [(500 + i, " ".join(["tick", "tock"] * rnd.randrange(20, 80))) for i in range(20)]
+    rnd.shuffle(rows)
+    assert as_removed(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == removed(rows)
