@@ -239,6 +239,7 @@ def _markers(sample: DataFrame, classes: list[str]) -> list[list[str]]:
     rows = sample.select("class", words.alias("w")).select("class", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.get("w", i - 1).alias("before")))).alias("p"))
     places = rows.groupBy("p").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     by_class = places.groupBy("p.word").agg(F.count("*").alias("n"), *(F.count_if((F.col("low") == c) & (F.col("high") == c)).alias(f"n{i}") for i, c in enumerate(classes)))
+    by_class = checkpoint(by_class.where(" OR ".join([f"n{i} > 0.9 * n" for i in range(len(classes))] or ["false"])))  # words of a bounded sample
     out, total = [], sum(sizes.values())
     for i, c in enumerate(classes):
         share = sizes.get(c, 0) / max(1, total)
@@ -262,7 +263,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     bound = 2 * rows_per_class * len(sizes)
     drawn = rated.where(F.pmod(F.xxhash64(F.lit("rules sample"), F.col("id")), F.lit(1_000_000)) < share * 1_000_000).limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    sample = checkpoint(texts.join(F.broadcast(drawn), "id").limit(bound))
+    sample = checkpoint(texts.join(F.broadcast(drawn), "id").limit(bound).repartition("id"))
     common = max(sizes, key=lambda c: (sizes[c], c))
     markers = _markers(sample, sorted(c for c in sizes if c != common))
     columns = shares(len(markers))
