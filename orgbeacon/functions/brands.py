@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,17 +98,32 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[p] if p in known else known.setdefault(p, _ratio(*p)) for p in zip(a, b, strict=True)], dtype="float64")
 
 
+def most_alike(label: str, forms: list[str], known: dict[tuple, float]) -> float:
+    """The best ratio of a label with several forms; ``known`` gets the ratios that were worked out block by block.
+
+    A ratio is at most that of the letters two strings have in common, and at most that of their lengths; forms are tried in the order
+    of the first bound and left out once it is no better than the best ratio so far.
+    """
+    own, n = Counter(label.lower()), len(label)
+    bounds = []
+    for form in dict.fromkeys(f for f in forms if f):
+        if n and (label, form) not in known:
+            common = (own & Counter(form.lower())).total()
+            bounds.append((2.0 * common / (len(label.lower()) + len(form.lower())), form))
+    best = max((known[label, f] for f in forms if (label, f) in known), default=0.0)
+    for bound, form in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        ratio = known[label, form] = _ratio(label, form)
+        best = max(best, ratio)
+    return best
+
+
 @F.pandas_udf(DoubleType())
 def best_similarity(label: pd.Series, forms: pd.Series) -> pd.Series:
     known: dict[tuple, float] = {}
-    out = []
-    for one, row in zip(label, forms, strict=True):
-        pairs = [(one, f) for f in (row if row is not None else ())]
-        for p in pairs:
-            if p not in known:
-                known[p] = _ratio(*p)
-        out.append(max((known[p] for p in pairs), default=0.0))
-    return pd.Series(out, dtype="float64")
+    rows = zip(label, forms, strict=True)
+    return pd.Series([most_alike(one, list(row), known) if one and row is not None else 0.0 for one, row in rows], dtype="float64")
 
 
 def name_similarity(domain: Column, names: Column) -> Column:

@@ -20,21 +20,32 @@ def marks(labels: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("inn", "config", F.when(~F.col("is_labelled"), "?").when(is_correct(), "OK").otherwise("BAD").alias("mark"))
 
 
-def summarize(labels: DataFrame, results: DataFrame, calls: DataFrame, steps: DataFrame) -> DataFrame:
-    """A row for each configuration. Calls and steps are summed before they are joined, so that nothing is counted twice.
+def counts(labels: DataFrame, results: DataFrame) -> DataFrame:
+    """(tag, config, n, labelled, correct, ..): the counts of each configuration, with tag null, and of each of its tags.
 
-    results: (config, inn, domain, proof, raw_answer, elapsed_s); calls: (config, inn, json_ok_first_try, repaired, failed,
-    completion_tokens); steps: (config, inn, invalid, repeated).
+    A result counts once under null and once under each tag, so results are read, joined and shuffled once for all.
+    results: (config, inn, domain, proof, raw_answer, elapsed_s).
     """
     rows = results.join(labels, "inn").withColumn("__ok", is_correct())
+    tags = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tags", F.array().cast("array<string>")))
     yes, lab, pos = F.count_if, F.col("is_labelled"), F.col("expected").isNotNull()
     answered = F.col("domain").isNotNull()
-    base = rows.groupBy("config").agg(
+    return rows.withColumn("tag", F.explode(tags)).groupBy("tag", "config").agg(
         F.count("*").alias("n"), yes(lab).alias("labelled"), yes(lab & F.col("__ok")).alias("correct"), yes(lab & pos & answered & ~F.col("__ok")).alias("wrong"),
         yes(lab & pos & ~answered).alias("missed"), yes(lab & pos).alias("positives"), yes(lab & ~pos).alias("negatives"), yes(lab & ~pos & answered).alias("false_positives"),
         yes(answered).alias("answered"), yes(F.col("proof").isin("inn_on_site", "ogrn_on_site")).alias("proven"),
         yes(lab & F.coalesce(F.col("raw_answer") == F.col("expected"), F.lit(False))).alias("raw_llm_correct"), F.round(F.avg("elapsed_s"), 6).alias("time_avg"),
     )
+
+
+def summarize(labels: DataFrame, results: DataFrame, calls: DataFrame, steps: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """A row for each configuration. Calls and steps are summed before they are joined, so that nothing is counted twice.
+
+    results: as in ``counts``; calls: (config, inn, json_ok_first_try, repaired, failed, completion_tokens); steps: (config, inn, invalid,
+    repeated). ``counted``: what ``counts`` gave, where that is stored for the tags too.
+    """
+    yes = F.count_if
+    base = (counts(labels.withColumn("tags", F.lit(None).cast("array<string>")), results) if counted is None else counted).where("tag IS NULL").drop("tag")
     called = calls.groupBy("config").agg(F.count("*").alias("llm_calls"), yes("failed").alias("llm_failed"), yes("repaired").alias("json_repairs"), F.round(F.avg(F.col("json_ok_first_try").cast("int")), 6).alias("json_first_try"), F.sum("completion_tokens").alias("out_tokens"))
     walked = steps.groupBy("config").agg(F.round(F.count("*") / F.count_distinct("inn"), 6).alias("agent_steps_avg"), yes("invalid").alias("agent_invalid"), yes("repeated").alias("agent_repeated"))
     joined = base.join(called, "config", "left").join(walked, "config", "left").fillna(0, ["llm_calls", "llm_failed", "json_repairs", "out_tokens", "agent_invalid", "agent_repeated"])
@@ -45,10 +56,10 @@ def summarize(labels: DataFrame, results: DataFrame, calls: DataFrame, steps: Da
     })
 
 
-def by_tag(labels: DataFrame, results: DataFrame) -> DataFrame:
-    """(tag, config, ok, total) over labelled rows."""
-    rows = labels.where("is_labelled").join(results, "inn")
-    return rows.select(F.explode("tags").alias("tag"), "config", is_correct().alias("ok")).groupBy("tag", "config").agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
+def by_tag(labels: DataFrame, results: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """(tag, config, ok, total) over labelled rows; ``counted``: as in ``summarize``."""
+    rows = counts(labels, results) if counted is None else counted
+    return rows.where("tag IS NOT NULL AND labelled > 0").select("tag", "config", F.col("correct").alias("ok"), F.col("labelled").alias("total"))
 
 
 def promotable(labels: DataFrame, results: DataFrame) -> DataFrame:

@@ -56,10 +56,16 @@ def _valid_sql() -> str:
     return _VALID.format(c10=safe(W10), c11=safe(W11), c12=safe(W12))
 
 
+# a file in three, a block a row, and line breaks of several kinds within a row
+_PARTS = f"SELECT 'file' || CAST(request_id % 3 AS STRING) AS file, request_id AS block, value || CASE request_id % 4 WHEN 1 THEN chr(11) || value WHEN 2 THEN chr(8232) || '#' || chr(28) || chr(133) || value ELSE '' END AS value FROM ({_LINES}) l"
+_SPLIT = f"""SELECT request_id, value FROM (SELECT file, block, pos, value, row_number() OVER (ORDER BY file, block, pos) - 1 AS request_id FROM (
+  SELECT file, block, unnest(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || chr(8232) || ']')) AS value, generate_subscripts(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || chr(8232) || ']'), 1) AS pos FROM ({_PARTS}) p) l) n"""
+
+
 @_query("s1_read_requests", f"""SELECT request_id, source, d AS inn, {_valid_sql()} AS is_valid, CASE WHEN length(d) = 12 THEN 'entrepreneur' ELSE 'legal' END AS kind
-  FROM (SELECT request_id, trim(value) AS source, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_LINES}) l WHERE value NOT LIKE '#%' AND trim(value) <> '') x""")
+  FROM (SELECT request_id, trim(value) AS source, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_SPLIT}) l WHERE value NOT LIKE '#%' AND trim(value) <> '') x""")
 def _build(v):
-    return readers.requests_from_lines(v(_LINES))
+    return readers.requests_from_lines(readers.numbered_lines(v(_PARTS)))
 
 
 _REPLY = """SELECT inn, 0 AS query_no, 'q' AS query, '{"results": [{"title": "' || label || '", "url": "https://' || domain || '/", "text": "body ' || CAST(k AS STRING) || '", "highlights": ["one", "two"]}, {"url": "http://x.com"}]}' AS reply FROM org"""
@@ -97,8 +103,8 @@ def _build(v):
 
 @_query("s6_pending", """SELECT DISTINCT key, substr(sha256(key), 1, 32) AS cache_key FROM (SELECT url AS key FROM hits) n WHERE key NOT IN (SELECT 'https://' || domain || '/' FROM org WHERE k % 2 = 0) AND key NOT IN (SELECT 'https://www.' || domain || '/about' FROM org WHERE k % 2 = 1)""")
 def _build(v):
-    stored = v("SELECT 'https://' || domain || '/' AS key, k % 2 = 0 AS good FROM org UNION ALL SELECT 'https://www.' || domain || '/about', k % 2 = 1 FROM org")
-    return readers.pending(v("SELECT url AS key FROM hits"), stored, F.col("good"))
+    known = v("SELECT 'https://' || domain || '/' AS key, k % 2 = 0 AS good FROM org UNION ALL SELECT 'https://www.' || domain || '/about', k % 2 = 1 FROM org")
+    return readers.pending(v("SELECT url AS key FROM hits"), known, F.col("good"))
 
 
 _RESULTS = "SELECT k AS request_id, raw AS source, CASE WHEN k % 3 = 0 THEN 'a' || CAST(k AS STRING) || '.ru' END AS domain, CASE WHEN k % 6 = 0 THEN 'inn_on_site' END AS proof FROM raw"
@@ -789,6 +795,15 @@ def _build(v):
     return evaluate.by_tag(_labels(v), v("res"))
 
 
+_COUNTED = """SELECT {tag} AS tag, config, count(*) AS n, count(*) FILTER (is_labelled) AS labelled, count(*) FILTER (is_labelled AND ok) AS correct, count(*) FILTER (is_labelled AND expected IS NOT NULL AND domain IS NOT NULL AND NOT ok) AS wrong,
+  count(*) FILTER (domain IS NOT NULL) AS answered FROM marked GROUP BY ALL"""
+
+
+@_query("e3b_counts_by_tag", _LABELS_AND_RESULTS + " UNION ALL ".join(_COUNTED.format(tag=t) for t in ("CAST(NULL AS STRING)", "tag", "'all'")))
+def _build(v):
+    return evaluate.counts(_labels(v), v("res")).select("tag", "config", "n", "labelled", "correct", "wrong", "answered")
+
+
 @_query("e4_promotable", "SELECT inn, domain FROM (SELECT r.inn, r.domain, row_number() OVER (PARTITION BY r.inn ORDER BY r.config_no DESC) AS n FROM res r JOIN lab l ON r.inn = l.inn WHERE NOT l.is_labelled AND r.proof = 'inn_on_site' AND r.domain IS NOT NULL) x WHERE n = 1")
 def _build(v):
     return evaluate.promotable(_labels(v), v("res"))

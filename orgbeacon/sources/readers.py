@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orgbeacon.functions.codes import is_valid_inn, kind, normalize_inn, or_empty
 from orgbeacon.functions.html import MOST_HTML
+from orgbeacon.stored import stored
 
 _TRIM = r"(?U)^\s+|\s+$"
 MOST_SNIPPET = 1200
@@ -19,10 +20,28 @@ def requests_from_lines(lines: DataFrame) -> DataFrame:
     return rows.select("request_id", "source", normalize_inn("source").alias("inn"), is_valid_inn("source").alias("is_valid"), kind("source").alias("kind"))
 
 
+#: What ends a line, beside the line feed and the carriage return that the text source knows.
+LINE_BREAKS = "[\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
+def numbered_lines(parts: DataFrame) -> DataFrame:
+    """From (file, block, value), the rows of a text source in their order: (request_id, value), a row for each line, numbered from 0 over all files.
+
+    Values are split at the other line breaks. Lines are counted by block and blocks by file, so ids don't depend on how files were split.
+    """
+    lines = stored(parts.select("file", "block", F.explode(F.split("value", LINE_BREAKS, -1)).alias("value")).withColumn("__i", F.monotonically_increasing_id()))
+    blocks = lines.groupBy("file", "block").agg(F.min("__i").alias("__low"), F.count("*").alias("__n"))
+    files = blocks.groupBy("file").agg(F.sum("__n").alias("__in_file"))
+    files = files.select("file", (F.sum("__in_file").over(Window.orderBy("file")) - F.col("__in_file")).alias("__files_before"))  # a row a file
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("block")) - F.col("__n")
+    offsets = blocks.select("file", "block", "__low", before.alias("__before")).join(files, "file")
+    return lines.join(offsets, ["file", "block"]).select((F.col("__files_before") + F.col("__before") + F.col("__i") - F.col("__low")).alias("request_id"), "value")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests of a text file; their ids are in the order of the lines."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    return requests_from_lines(lines.select("value", F.struct("f", "b", "i").alias("request_id")))
+    """Requests of text files; their ids are the numbers of the lines, files in the order of their names."""
+    parts = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return requests_from_lines(numbered_lines(parts))
 
 
 def shape_hits(raw: DataFrame) -> DataFrame:
@@ -64,6 +83,6 @@ def cache_key(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 32)
 
 
-def pending(needed: DataFrame, stored: DataFrame, good: Column) -> DataFrame:
-    """Distinct keys of needed (key) without a good entry in stored (key, ..): what is still to be acquired."""
-    return needed.select("key").distinct().join(stored.where(F.coalesce(good, F.lit(False))).select("key"), "key", "left_anti").select("key", cache_key(F.col("key")).alias("cache_key"))
+def pending(needed: DataFrame, known: DataFrame, good: Column) -> DataFrame:
+    """Distinct keys of needed (key) without a good entry in known (key, ..): what is still to be acquired."""
+    return needed.select("key").distinct().join(known.where(F.coalesce(good, F.lit(False))).select("key"), "key", "left_anti").select("key", cache_key(F.col("key")).alias("cache_key"))
