@@ -103,7 +103,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFra
     anchors_of = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("extent").alias("e_low"), F.max("extent").alias("e_high"))
     shared = checkpoint(anchors_of.where("low < high").select("anchor", F.when(F.col("e_low") == F.col("e_high"), F.col("low")).alias("low"), (F.col("e_low") != F.col("e_high")).alias("several")))
     met = checkpoint(found.join(shared, "anchor").where("several OR id > low"))  # of an anchor with one class its first document repeats nothing
-    classes = met.where("several").groupBy("anchor", "extent").agg(F.min("id").alias("first"))
+    # written, as lows below, so that the joins read both sides from a shuffle and a very common extent or window can be split over tasks
+    classes = checkpoint(met.where("several").groupBy("anchor", "extent").agg(F.min("id").alias("first")))
     of_several = checkpoint(met.where("several").join(classes, ["anchor", "extent"]).select("id", "text_key", "place", (F.col("id") > F.col("first")).alias("later")))
     extents = met.where("NOT several").select("id", "text_key", "place").union(of_several.where("later").select("id", "text_key", "place"))
     edges = checkpoint(of_several.where("NOT later").select("id", "text_key", "place").distinct().groupBy("id", "text_key").agg(F.collect_list("place").alias("places")))
@@ -132,7 +133,6 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFra
 
     at_edges = docs.join(_few(edges, "places"), ["id", "text_key"]).select("id", "text", "text_key", "places")
     rows = at_edges.mapInArrow(windows, f"h long, c int, id {kind}, text_key long, start int")
-    # written, so that the join reads both sides from a shuffle and a very common window can be split over tasks
     lows = checkpoint(rows.groupBy("h", "c").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"))
     again = rows.join(lows, ["h", "c"]).where("id > low").select("id", "text_key", F.col("start").cast("long").alias("begin"), (F.col("start") + window).cast("long").alias("end"))
     begin = F.shiftright("place", 8)

@@ -111,23 +111,23 @@ def near_pairs(n, low, high, seed):
 
 @pytest.mark.parametrize(("low", "high"), [(0.85, 0.9), (0.9, 0.95)])
 def test_recall(spark, low, high):
-    """Of 3000 planted pairs of each band at least 0.999 are found."""
-    rows = spark.createDataFrame(near_pairs(3000, low, high, int(100 * low)), "doc_id long, text string").repartition(8)
+    """Of 1000 planted pairs of each band at least 999 are found."""
+    rows = spark.createDataFrame(near_pairs(1000, low, high, int(100 * low)), "doc_id long, text string").repartition(8)
     found = near_dedup.near_duplicates(rows).where("doc_id % 2 = 1 AND component_id = doc_id - 1").count()
-    assert found >= 0.999 * 3000
+    assert found >= 999
 
 
 def test_rows_do_not_depend_on_the_block(spark):
     """Chains of texts, each near the next: which links are looked for is the same in blobs of any size."""
     rnd, rows = random.Random(8), []
-    for chain in range(5):
+    for chain in range(2):
         text = [f"c{chain}_{k}" for k in range(90)]
-        for step in range(20):
+        for step in range(80):
             for at in rnd.sample(range(90), 2):
                 text[at] = f"s{chain}_{step}_{at}"
             rows.append((len(rows), " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = [sorted(map(tuple, near_dedup.near_duplicates(docs, percent=70, block=b).select("doc_id", "component_id").collect())) for b in (near_dedup.BLOCK, 600)]
+    got = [sorted(map(tuple, near_dedup.near_duplicates(docs, percent=70, block=b).select("doc_id", "component_id").collect())) for b in (near_dedup.BLOCK, 5000)]
     assert got[0] == got[1]
 
 
