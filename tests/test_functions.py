@@ -96,7 +96,7 @@ def test_similarity_is_difflibs(pairs):
 def test_pages():
     page = html._parsed('<html><head><title> T &amp; x </title><style>p{}</style></head><body><script>z</script><p>a&nbsp;b c</p><svg><text>no</text></svg><a href="/contacts#1">Контакты</a><a href="mailto:x@y.ru">info</a><a href="/contacts">x</a></body></html>', "https://d.ru/q/")
     assert page["title"] == "T & x" and page["text"] == "a b c Контакты info x" and page["links"] == ["https://d.ru/contacts"]
-    assert html._parsed(None, None) == {"text": "", "title": "", "links": [], "codes": []}
+    assert html._parsed(None, None) == {"text": "", "title": "", "links": [], "codes": [], "parse_error": None}
     assert html._parsed("<p>unclosed <b>x", "u")["text"] == "unclosed x"
 
 
