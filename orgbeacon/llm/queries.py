@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(id_remainder("doc_id", 5) != 0))
     out = language_id.predict(docs, model, keep=["doc_id"])
-    return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lm_scoring.score(docs, id_remainder("doc_id", 10) != 0)
-    return out.select("doc_id", (id_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", F.coalesce(id_remainder("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
