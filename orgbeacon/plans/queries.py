@@ -57,9 +57,10 @@ def _valid_sql() -> str:
 
 
 # a file in three, a block a row, and line breaks of several kinds within a row
-_PARTS = f"SELECT 'file' || CAST(request_id % 3 AS STRING) AS file, request_id AS block, value || CASE request_id % 4 WHEN 1 THEN chr(11) || value WHEN 2 THEN chr(8232) || '#' || chr(28) || chr(133) || value ELSE '' END AS value FROM ({_LINES}) l"
+_LINE = "\u2028"
+_PARTS = f"SELECT 'file' || CAST(request_id % 3 AS STRING) AS file, request_id AS block, value || CASE request_id % 4 WHEN 1 THEN chr(11) || value WHEN 2 THEN '{_LINE}' || '#' || chr(28) || chr(133) || value ELSE '' END AS value FROM ({_LINES}) l"
 _SPLIT = f"""SELECT request_id, value FROM (SELECT file, block, pos, value, row_number() OVER (ORDER BY file, block, pos) - 1 AS request_id FROM (
-  SELECT file, block, unnest(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || chr(8232) || ']')) AS value, generate_subscripts(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || chr(8232) || ']'), 1) AS pos FROM ({_PARTS}) p) l) n"""
+  SELECT file, block, unnest(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || '{_LINE}' || ']')) AS value, generate_subscripts(string_split_regex(value, '[' || chr(11) || chr(28) || chr(133) || '{_LINE}' || ']'), 1) AS pos FROM ({_PARTS}) p) l) n"""
 
 
 @_query("s1_read_requests", f"""SELECT request_id, source, d AS inn, {_valid_sql()} AS is_valid, CASE WHEN length(d) = 12 THEN 'entrepreneur' ELSE 'legal' END AS kind
