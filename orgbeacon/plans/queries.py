@@ -673,18 +673,19 @@ verdicts AS (SELECT *, CASE WHEN NOT is_valid THEN 'invalid' WHEN k IS NULL OR k
 """
 
 
-_KIND = F.substring_index("reason", ":", 2).alias("reason")  # what an error says may differ between versions
+def _kind_of_reason():
+    return F.substring_index("reason", ":", 2).alias("reason")  # what an error says may differ between versions
 
 
 @_query("r9_early_exits", _RESOLVED + "SELECT request_id, verdict, reason FROM verdicts WHERE verdict IN ('invalid', 'no_name', 'no_candidates', 'failed')")
 def _build(v):
-    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates', 'failed')").select("request_id", "verdict", _KIND)
+    return _resolved(v).where("verdict IN ('invalid', 'no_name', 'no_candidates', 'failed')").select("request_id", "verdict", _kind_of_reason())
 
 
 @_query("r10_resolve", _RESOLVED + """SELECT request_id, source, d AS inn, CASE WHEN verdict = 'accepted' THEN domain END AS domain, CAST(CASE WHEN verdict <> 'accepted' THEN 0.0 WHEN k % 4 IN (0, 1) THEN 0.97 ELSE 0.93 END AS DOUBLE) AS confidence,
   CASE WHEN verdict <> 'accepted' THEN NULL WHEN k % 4 IN (0, 1) THEN 'inn_on_site' ELSE 'ogrn_on_site' END AS proof, verdict, reason FROM verdicts""")
 def _build(v):
-    return _resolved(v).withColumn("reason", _KIND)
+    return _resolved(v).withColumn("reason", _kind_of_reason())
 
 
 _CALLS = "SELECT o.inn, c.failed, c.repaired, c.completion_tokens FROM calls c JOIN org o ON o.k = CAST(floor(c.event_id / 4) AS BIGINT)"
