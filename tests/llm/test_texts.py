@@ -152,7 +152,6 @@ def test_ppm_by_hand():
 
 def test_ppm_is_as_deep_at_any_size(spark, monkeypatch):
     """The scores are those of contexts of five bytes, however few leaves or hot sequences are allowed."""
-    monkeypatch.setattr(lm_scoring, "MAX_LEAVES", 50, raising=False)
     rnd = random.Random(11)
     rows = [(i, prose("en", rnd.randrange(0, 40), rnd)) for i in range(80)] + [(3, "Other TEXT"), (None, "né"), (200, None), (201, "qqq zzz 123")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
