@@ -43,10 +43,21 @@ def home_pages(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return candidates.join(site_homes(candidates.select("domain").distinct(), facts), "domain", "left")
 
 
-def site_pages(homes: DataFrame, facts: DataFrame) -> DataFrame:
-    """(domain, pos, url, status, title, published, codes, parse_error): further pages of domains whose home page is reachable, in the order in which to look at them."""
+def site_targets(homes: DataFrame) -> DataFrame:
+    """(domain, pos, page_url): the further pages of domains whose home page is reachable, in the order in which to look at them."""
     targets = F.when(F.col("reachable"), crawl_targets(F.col("domain"), F.concat(F.lit("https://"), "domain", F.lit("/")), F.col("final_url"), F.col("home.links")))
-    asked = homes.select("domain", F.posexplode(targets).alias("pos", "page_url"))
+    return homes.select("domain", F.posexplode(targets).alias("pos", "page_url"))
+
+
+def looked_up(domains: DataFrame, facts: DataFrame) -> DataFrame:
+    """(domain, url), the urls on whose pages the evidence of distinct domains rests, whether or not there are such pages."""
+    homes = F.explode(F.array(*(F.concat(F.lit(f"{r}://"), "domain", F.lit("/")) for r in ("https", "http"))))
+    return domains.select("domain", homes.alias("url")).union(site_targets(site_homes(domains, facts)).select("domain", "page_url")).distinct()
+
+
+def site_pages(homes: DataFrame, facts: DataFrame) -> DataFrame:
+    """(domain, pos, url, status, title, published, codes, parse_error): the pages of ``site_targets`` that there are."""
+    asked = site_targets(homes)
     seen = facts.where("has_html").select(F.col("url").alias("page_url"), F.col("final_url").alias("url"), "status", "title", "published", "codes", "parse_error")
     return one_each(asked.join(seen, "page_url").drop("page_url"), "domain", "pos", best=(F.col("status").isNotNull(),))
 

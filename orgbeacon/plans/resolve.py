@@ -38,19 +38,12 @@ def one_card_each(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, kinds.select("inn", F.lit("card: several that differ").alias("reason"))
 
 
-def resolve(requests: DataFrame, hits: DataFrame, cards: DataFrame, pages: DataFrame, replies: DataFrame) -> DataFrame:
-    """Per request: request_id, source, inn, domain, confidence, proof, verdict, reason.
-
-    verdict: accepted, or why there is no answer (invalid, no_name, no_candidates, none, blocked, unreachable, foreign), or failed: a
-    card, page or reply of this number couldn't be used, for the reason given; all others are answered. Rows of cards, pages and replies
-    that repeat count once.
-    """
-    requests = stored(requests)
-    asked = requests.where("is_valid").select("inn").distinct()
+def answers_of(asked: DataFrame, hits: DataFrame, cards: DataFrame, facts: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of distinct valid numbers (inn) with a card: (inn, reason, answer, confidence, proof, verdict); and all their scored candidates."""
     named, differing = one_card_each(cards.join(asked, "inn", "left_semi"))
     named, differing = stored(named), stored(differing)
     clear = named.join(differing, "inn", "left_anti")
-    scored, judged = judged_candidates(hits.join(clear.select("inn"), "inn", "left_semi"), clear, stored(page_facts(page_text(pages))))
+    scored, judged = judged_candidates(hits.join(clear.select("inn"), "inn", "left_semi"), clear, facts)
     parsed = stored(R.parse_decisions(replies.join(asked, "inn", "left_semi")))
     chosen = R.choose(judged, R.first_valid(parsed))
     answers = R.guards(chosen.select("inn", "c.domain", *(f"c.{c}" for c in ("inn_on_site", "ogrn_on_site", "site_field_hits", "email_hits", "reachable", "foreign_inn", "blacklisted_without_proof"))))
@@ -61,10 +54,29 @@ def resolve(requests: DataFrame, hits: DataFrame, cards: DataFrame, pages: DataF
     known = named.select("inn").join(answers.select("inn", "answer", "confidence", "proof", "verdict"), "inn", "left").join(failed, "inn", "left")
     broken = F.col("reason").isNotNull()
     known = known.select("inn", "reason", *(F.when(~broken, F.col(c)).alias(c) for c in ("answer", "confidence", "proof")), F.when(broken, "failed").otherwise(F.coalesce("verdict", F.lit("no_candidates"))).alias("verdict"))
+    return known, scored
+
+
+def for_requests(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """The answers of numbers given to the requests that ask for them, with all other columns of ``known``."""
     key = F.when(F.col("is_valid"), F.col("inn")).otherwise(F.concat(F.lit("-"), F.xxhash64("request_id", "source").cast("string")))  # rows that are not valid share no key
     rows = requests.withColumn("__key", key).join(known.withColumnRenamed("inn", "__key"), "__key", "left")
     verdict = F.when(~F.col("is_valid"), "invalid").otherwise(F.coalesce("verdict", F.lit("no_name")))
-    return rows.select("request_id", "source", "inn", F.col("answer").alias("domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "proof", verdict.alias("verdict"), "reason")
+    more = [c for c in known.columns if c not in ("inn", "reason", "answer", "confidence", "proof", "verdict")]
+    return rows.select("request_id", "source", "inn", F.col("answer").alias("domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "proof", verdict.alias("verdict"), "reason", *more)
+
+
+def resolve(requests: DataFrame, hits: DataFrame, cards: DataFrame, pages: DataFrame, replies: DataFrame) -> DataFrame:
+    """Per request: request_id, source, inn, domain, confidence, proof, verdict, reason.
+
+    verdict: accepted, or why there is no answer (invalid, no_name, no_candidates, none, blocked, unreachable, foreign), or failed: a
+    card, page or reply of this number couldn't be used, for the reason given; all others are answered. Rows of cards, pages and replies
+    that repeat count once.
+    """
+    requests = stored(requests)
+    asked = requests.where("is_valid").select("inn").distinct()
+    known, _ = answers_of(asked, hits, cards, stored(page_facts(page_text(pages))), replies)
+    return for_requests(requests, known)
 
 
 def traces(results: DataFrame, scored: DataFrame, calls: DataFrame) -> DataFrame:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
     Where that is unset, a local master gets a folder of its own; on a cluster it is an error, as executors share no temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,4 +20,10 @@ def stored(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
