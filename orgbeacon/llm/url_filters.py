@@ -94,31 +94,45 @@ def listed_entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
     return own.unionByName(urls.select(F.concat(F.lit("u "), "url_key").alias("key"), F.lit("").alias("r_host"), F.lit("").alias("r_path"), F.lit("block").alias("r_verdict"), F.lit(False).alias("is_rule")))
 
 
-def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
-    """``urls`` with host, path, rule (the longest that fits, host and path together) and verdict (allow or block)."""
-    entries = listed_entries(rules, listed)
-    n_keys = entries.count()
-    bloom, blocks = blocked_bloom(entries.select("key"), n_keys)
-    pages = with_host_and_path(urls.drop("host", "path", "rule", "verdict"), url_col).withColumn("__url", canonical(F.col(url_col)))
+def looked_up(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """From distinct (host, path, __url): a row for each listed url that is hit (size -1) and for each beginning of a path, of ``size``
+    characters, that a rule of its host and directory may have: host, path, __url, suffix, size.
+
+    A directory passes the Bloom filter and an exact join once for all its rules; a page then asks for as many beginnings as its
+    directories' rules have distinct lengths, however many rules these are.
+    """
+    of_key = entries.groupBy("key").agg(F.sort_array(F.collect_set(F.when(F.col("is_rule"), F.length("r_path")))).alias("sizes"))  # as many as a path has characters at most
+    n_keys = of_key.count()
+    bloom, blocks = blocked_bloom(of_key.select("key"), n_keys)
 
     # how many labels and directories rules have; a few numbers, as hosts have few labels
     shapes = entries.where("is_rule").select(F.size(F.split("r_host", r"\.")).alias("labels"), (F.size(F.split("r_path", "/")) - 1).alias("depth")).distinct().collect()
     labels, most = F.split("host", r"\."), max((r["depth"] for r in shapes), default=0)
     slashes = F.split("path", "/", most + 2)  # of a path of very many directories the rest is left whole
-    asked = [F.concat(F.lit("u "), "__url")]
+    asked = [F.when(F.col("__url").isNotNull(), F.struct(F.concat(F.lit("u "), "__url").alias("key"), F.lit("").alias("suffix")))]
     for labels_of_rule, depth in sorted((r["labels"], r["depth"]) for r in shapes):
         suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - labels_of_rule + 1, F.lit(1)), F.lit(labels_of_rule)), ".")
         directory = F.concat(F.array_join(F.slice(slashes, 1, depth), "/"), F.lit("/" if depth else ""))
-        asked.append(F.when((F.size(labels) >= labels_of_rule) & (F.size(slashes) > depth), F.concat(F.lit("d "), suffix, directory)))
-    distinct = pages.select("host", "path", "__url").distinct()
-    asking = distinct.select("host", "path", "__url", F.explode(F.array_compact(F.array(*asked))).alias("key"))
+        asked.append(F.when((F.size(labels) >= labels_of_rule) & (F.size(slashes) > depth), F.struct(F.concat(F.lit("d "), suffix, directory).alias("key"), suffix.alias("suffix"))))
+    asking = pages.select("host", "path", "__url", F.explode(F.array_compact(F.array(*asked))).alias("a")).select("host", "path", "__url", "a.key", "a.suffix")
     probes = asking.select("key").distinct().withColumn("h", _hash(F.col("key"))).withColumn("block", F.pmod("h", F.lit(blocks)))
     possible = probes.join(_small(bloom, blocks), "block")
     for i in range(_WORDS):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(_bit("h", i)) != 0)
-    found = possible.select("key").join(_small(entries, n_keys), "key")
-    hits = asking.join(_small(found, n_keys), "key").where(~F.col("is_rule") | F.startswith("path", "r_path"))
-    best = hits.groupBy("host", "path", "__url").agg(F.max(F.struct("is_rule", (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), "r_verdict", F.concat("r_host", "r_path").alias("rule"))).alias("best"))
+    found = possible.select("key").join(_small(of_key, n_keys), "key")
+    sizes = F.when(F.startswith("key", F.lit("u ")), F.array(F.lit(-1))).otherwise(F.filter("sizes", lambda n: n <= F.length("path")))
+    return asking.join(_small(found, n_keys), "key").select("host", "path", "__url", "suffix", F.explode(sizes).alias("size"))
+
+
+def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
+    """``urls`` with host, path, rule (the longest that fits, host and path together) and verdict (allow or block)."""
+    entries = listed_entries(rules, listed)
+    own = entries.where("is_rule").select("r_host", "r_path", "r_verdict")
+    pages = with_host_and_path(urls.drop("host", "path", "rule", "verdict"), url_col).withColumn("__url", canonical(F.col(url_col)))
+    asked = looked_up(pages.select("host", "path", "__url").distinct(), entries)
+    asked = asked.withColumn("beginning", F.when(F.col("size") >= 0, F.expr("substring(path, 1, size)")))
+    hits = asked.join(_small(own, own.count()), F.expr("suffix = r_host AND beginning = r_path"), "left").where("size < 0 OR r_host IS NOT NULL")
+    best = hits.groupBy("host", "path", "__url").agg(F.max(F.struct((F.col("size") >= 0).alias("is_rule"), (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), F.coalesce("r_verdict", F.lit("block")).alias("r_verdict"), F.concat("r_host", "r_path").alias("rule"))).alias("best"))
     best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("__url").alias("b_url"), F.when(F.col("best.is_rule"), F.col("best.rule")).alias("rule"), F.col("best.r_verdict").alias("verdict"))
     out = pages.join(best, F.expr("host = b_host AND path = b_path AND __url <=> b_url"), "left").drop("b_host", "b_path", "b_url", "__url")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))

@@ -247,6 +247,28 @@ def test_urls(spark):
     assert url_filters.judge(pages.limit(0), rules, listed).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_rules_on_files_of_one_directory(spark, monkeypatch, small):
+    """Very many rules of one directory: a page asks for as many beginnings as their paths have lengths, whatever the rules' number."""
+    monkeypatch.setattr(url_filters, "BROADCAST_ROWS", 1_000_000 if small else 0)
+    rnd = random.Random(3)
+    files = ["".join(rnd.choices("ab", k=rnd.randint(0, 11))) for _ in range(3000)]
+    rules = sorted({("h.org", f"/d/{f}", rnd.choice(["allow", "block"])) for f in files[:1500]} | {("org", "/d/a", "block"), ("h.org", "/", "allow"), ("h.org", "", "block")})
+    rules = list({r[:2]: r for r in rules}.values())
+    urls = [(i, f"http://{'w.' if i % 3 else ''}h.org/d/{f}{'/x' if i % 5 == 0 else ''}") for i, f in enumerate(files)] + [(9000, "http://h.org"), (9001, "http://h.org?a"), (9002, None)]
+    pages, frame = spark.createDataFrame(urls, "page_id int, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    none = spark.createDataFrame([], "url_key string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, frame, none).collect()}
+    for i, url in urls:
+        host, path = ("", "") if url is None else (url[7:].split("/")[0].split("?")[0], ("/" + url[7:].split("/", 1)[1]) if "/" in url[7:] else "")
+        fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[2], max(fits)[3]) if fits else (None, "allow")), url
+    asked = url_filters.with_host_and_path(pages, "url").withColumn("__url", F.lit(None).cast("string")).select("host", "path", "__url").distinct()
+    lengths = len({len(p) for _, p, _ in rules}) + 1
+    n = url_filters.looked_up(asked, url_filters.listed_entries(frame, none)).count()
+    assert 0 < n <= lengths * len(urls) < 3000 * 20
+
+
 def test_no_key_is_lost_by_the_filter(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     bloom, blocks = url_filters.blocked_bloom(keys, 5000)
