@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgbeacon.functions.brands import brand_in_domain
-from orgbeacon.functions.codes import not_empty, or_empty
-from orgbeacon.functions.suffixes import host_of, registrable_each, registrable_of, rules_broadcast
+from orgbeacon.functions.codes import let, not_empty, or_empty
+from orgbeacon.functions.suffixes import registrable_each
 
 # Directories of registry data.
 AGGREGATORS = (
@@ -77,33 +76,27 @@ def domains_in_text(text: Column) -> Column:
 
 def mine_domains(text: Column) -> Column:
     """Array of (domain, kind): each domain once, by its strongest kind, in the order of website fields, e-mails, mentions."""
-    shared = rules_broadcast()
-    never, mail = frozenset(AGGREGATORS + PLATFORMS), frozenset(FREE_MAIL)
+    answer = lambda d: d.isNotNull() & ~is_blocked(d)
+    pair = lambda domains, kind: F.transform(domains, lambda d: F.struct(d.alias("domain"), F.lit(kind).alias("kind")))
 
-    @F.pandas_udf("array<struct<domain: string, kind: string>>")
-    def strongest(sites: pd.Series, mails: pd.Series, named: pd.Series) -> pd.Series:
-        known: dict[str, str | None] = {}
+    def strongest(found: Column, domains: Column) -> Column:
+        sites, mails = F.size(found["sites"]), F.size(found["mails"])
+        by_site = F.array_distinct(F.filter(F.slice(domains, F.lit(1), sites), answer))
+        by_mail = F.array_distinct(F.filter(F.slice(domains, sites + 1, mails), lambda d: answer(d) & ~is_free_mail(d)))
+        named = F.array_distinct(F.filter(F.slice(domains, sites + mails + 1, F.size(found["named"])), answer))
+        whole = F.struct(by_site.alias("site"), by_mail.alias("mail"), named.alias("named"))
+        return let(whole, lambda w: F.concat(
+            pair(w["site"], "site_field"), pair(F.array_except(w["mail"], w["site"]), "email"), pair(F.array_except(w["named"], F.concat(w["site"], w["mail"])), "mention")
+        ))
 
-        def of(row: tuple) -> list[dict]:
-            found: dict[str, str] = {}
-            for kind, hosts in zip(("site_field", "email", "mention"), row, strict=True):
-                for host in hosts:
-                    if host not in known:
-                        known[host] = registrable_of(host, shared.value)
-                    domain = known[host]
-                    if domain and domain not in never and not (kind == "email" and domain in mail):
-                        found.setdefault(domain, kind)
-            return [{"domain": d, "kind": k} for d, k in found.items()]
-
-        return pd.Series([of(row) for row in zip(sites, mails, named, strict=True)])
-
-    return strongest(*(F.transform(_matches(text, p), host_of) for p in (SITE_FIELD, EMAIL, TEXT_DOMAIN)))
+    found = F.struct(*(_matches(text, p).alias(n) for n, p in (("sites", SITE_FIELD), ("mails", EMAIL), ("named", TEXT_DOMAIN))))
+    return let(found, lambda f: let(registrable_each(F.concat(f["sites"], f["mails"], f["named"])), lambda d: strongest(f, d)))
 
 
 def mined(df: DataFrame, text: Column) -> DataFrame:
     """A row for each mined domain: the columns of df, pos (from 1), domain, kind."""
-    rows = df.withColumn("__found", mine_domains(text))
-    return rows.select(*df.columns, F.posexplode("__found").alias("pos", "found")).select(*df.columns, (F.col("pos") + 1).alias("pos"), "found.domain", "found.kind")
+    rows = df.select("*", F.posexplode_outer(mine_domains(text)).alias("pos", "found")).where("pos IS NOT NULL")  # outer: else mining would also be done in a filter before
+    return rows.select(*df.columns, (F.col("pos") + 1).alias("pos"), "found.domain", "found.kind")
 
 
 def looks_like_registry_hit(url: Column, title: Column, inn: Column, ogrn: Column, variants: Column, domain: Column) -> Column:

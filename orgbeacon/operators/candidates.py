@@ -52,7 +52,7 @@ def collect_candidates(hits: DataFrame, cards: DataFrame) -> DataFrame:
     itself = F.array(F.struct(F.col("hit_domain").alias("domain"), F.lit("url").alias("kind"), F.lit(0).alias("sub_no")))
     named = F.transform("__found", lambda f, i: F.struct(f["domain"].alias("domain"), f["kind"].alias("kind"), (i + 1).alias("sub_no")))
     own = F.col("f.kind") == "url"
-    every = rows.select("*", F.explode(F.concat(itself, named)).alias("f")).where(F.col("f.domain").isNotNull() & (own | ~F.col("f.domain").eqNullSafe(F.col("hit_domain")))).select(
+    every = rows.select("*", F.explode_outer(F.concat(itself, named)).alias("f")).where(F.col("f.domain").isNotNull() & (own | ~F.col("f.domain").eqNullSafe(F.col("hit_domain")))).select(
         "inn", "f.domain", F.struct("hit_no", "f.sub_no").alias("seen"), "f.kind", F.when(own, not_empty("title")).alias("title"), not_empty("snippet").alias("snippet"), F.when(own, F.col("rank")).alias("rank"),
         (own & (F.col("is_registry") | is_blocked(F.col("hit_domain")))).alias("requires_proof"), (~own & F.coalesce("is_registry", F.lit(False))).alias("by_registry"),
     )
