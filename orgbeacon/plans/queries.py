@@ -16,7 +16,7 @@ from orgbeacon.operators import candidates, cards, decisions, evaluate, evidence
 from orgbeacon.plans import refresh as again
 from orgbeacon.plans import resolve as whole
 from orgbeacon.plans.views import CTE, view
-from orgbeacon.sources import readers, snapshot, writers
+from orgbeacon.sources import providers, readers, snapshot, writers
 from orgbeacon.stored import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,20 @@ def _build(v):
     return readers.shape_hits(v(_REPLY))
 
 
+def _recorded(rows: DataFrame, source: type) -> DataFrame:
+    """``rows`` as a provider's recorded lines, read back through its data source."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/{source.name()}-{uuid.uuid4().hex}"
+    providers.write_recorded(rows, folder, source.key, 8)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).load(folder)
+
+
+@_query("s2_provider_replies", ORACLES["s2_shape_hits"].removeprefix(CTE))
+def _build(v):
+    return readers.shape_hits(_recorded(v(_REPLY), providers.ProviderReplies))
+
+
 @_query("s3_union_hits", "SELECT inn, query_no, rank, url, CAST(row_number() OVER (PARTITION BY inn ORDER BY query_no, rank) AS INT) AS hit_no FROM hit_rows")
 def _build(v):
     parts = [v(f"SELECT * FROM hit_rows WHERE query_no = {n}") for n in range(3)]
@@ -96,6 +110,12 @@ def _build(v):
     return readers.good_pages(v(_FETCHES)).select("url", "final_url", "status", F.length("html").cast("long").alias("size"))
 
 
+@_query("s4_provider_fetches", ORACLES["s4_page_gate"].removeprefix(CTE))
+def _build(v):
+    pages = readers.good_pages(_recorded(v(_FETCHES), providers.ProviderFetches))
+    return pages.select("url", "final_url", "status", F.length("html").cast("long").alias("size"))
+
+
 _LABEL_LINES = """SELECT '{"inn": "' || inn || '"' || CASE WHEN NOT is_labelled THEN '' WHEN expected IS NULL THEN ', "expected": null' ELSE ', "expected": "' || expected || '"' END || ', "tags": ["' || tag || '", "all"]}' AS value FROM lab"""
 
 
