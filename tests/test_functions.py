@@ -190,3 +190,12 @@ def test_codes_with_excerpts():
     text = "x" * 200 + " 7721581040 y 7721581040 123 5077746329876" + "z" * 200
     got = html.codes_with_excerpts(text)
     assert [c["code"] for c in got] == ["7721581040", "5077746329876"] and got[0]["excerpt"] == text[121:291].strip()
+
+
+def test_pages_are_held_a_few_at_a_time():
+    import pyarrow as pa
+
+    pages = [f"<title>t{i} &amp</title><p>ИНН {7721581040 + i}</p><a href='/contacts'>к</a>" if i % 7 else None for i in range(2 * html.PAGES_AT_ONCE + 5)]
+    got = list(html.parse_page.func(iter([(pa.array(pages, pa.string()), pa.array(["https://d.ru/"] * len(pages)))])))
+    assert [len(part) for part in got] == [html.PAGES_AT_ONCE, html.PAGES_AT_ONCE, 5]
+    assert [row for part in got for row in part.to_pylist()] == [html._parsed(page, "https://d.ru/") for page in pages]
