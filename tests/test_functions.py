@@ -199,3 +199,14 @@ def test_pages_are_held_a_few_at_a_time():
     got = list(html.parse_page.func(iter([(pa.array(pages, pa.string()), pa.array(["https://d.ru/"] * len(pages)))])))
     assert [len(part) for part in got] == [html.PAGES_AT_ONCE, html.PAGES_AT_ONCE, 5]
     assert [row for part in got for row in part.to_pylist()] == [html._parsed(page, "https://d.ru/") for page in pages]
+
+
+def test_likeness_is_worked_out_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    n = brands.ROWS_AT_ONCE
+    labels = [f"label{i % 50}" if i % 9 else None for i in range(n + 7)]
+    forms = [[f"labe{i % 60}", "лейбл", None] if i % 11 else None for i in range(n + 7)]
+    got = list(brands.best_similarity.func(iter([(pa.array(labels, pa.string()), pa.array(forms, pa.list_(pa.string())))])))
+    assert [len(part) for part in got] == [n, 7]
+    assert [x for part in got for x in part.to_pylist()] == [brands.most_alike(a, b, {}) if a and b is not None else 0.0 for a, b in zip(labels, forms, strict=True)]
