@@ -33,9 +33,12 @@ _TYPES = {"string": pa.string(), "int": pa.int32()}
 
 
 def write_recorded(rows: DataFrame, folder: str, key: str, buckets: int) -> None:
-    """``rows`` as JSON lines under ``folder``, in folders by a hash of ``key``; ``buckets``: so many that one holds what is worth opening for a key."""
+    """``rows`` as JSON lines under ``folder``, in folders by a hash of ``key``; ``buckets``: so many that one holds what is worth opening for a key.
+
+    A bucket of more than a partition's size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) is written by several tasks, a file each.
+    """
     bucket = F.pmod(F.crc32(F.coalesce(F.col(key), F.lit("")).cast("binary")), F.lit(buckets))
-    rows.withColumns({"of": F.lit(buckets), "bucket": bucket}).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("of", "bucket").json(folder)
+    rows.withColumns({"of": F.lit(buckets), "bucket": bucket}).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("of", "bucket").json(folder)
 
 
 @dataclass

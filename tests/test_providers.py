@@ -57,3 +57,16 @@ def test_sources_feed_hits_and_pages(spark, sources, tmp_path):
     write_recorded(spark.createDataFrame(fetches, "url string, final_url string, status int, content_type string, html string, error string, fetch_no int"), str(tmp_path / "p"), "url", 2)
     pages = readers.good_pages(spark.read.format("provider_fetches").load(str(tmp_path / "p")))
     assert sorted((p.url, p.status, p.html) for p in pages.collect()) == [("u", 200, "<b>1</b>"), ("w", None, "")]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, sources, tmp_path):
+    rows = spark.range(0, 20_000, 1, 20).selectExpr("CAST(id AS STRING) AS inn", "0 AS query_no", "sha2(CAST(id AS STRING), 512) AS query", "'{}' AS reply")
+    folder = str(tmp_path / "f")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        write_recorded(rows, folder, "inn", 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in (tmp_path / "f").rglob("*.json") if f.stat().st_size]
+    assert len(files) > 8 and max(f.stat().st_size for f in files) < sum(f.stat().st_size for f in files) / 4
+    assert sorted(map(tuple, sources.load(folder).collect())) == sorted(map(tuple, rows.collect()))
