@@ -210,3 +210,8 @@ def test_likeness_is_worked_out_a_few_rows_at_a_time():
     got = list(brands.best_similarity.func(iter([(pa.array(labels, pa.string()), pa.array(forms, pa.list_(pa.string())))])))
     assert [len(part) for part in got] == [n, 7]
     assert [x for part in got for x in part.to_pylist()] == [brands.most_alike(a, b, {}) if a and b is not None else 0.0 for a, b in zip(labels, forms, strict=True)]
+
+
+def test_references_without_a_semicolon_are_read_as_browsers_do():
+    page = html._parsed("<title>a &amp;&amp</title><h1>b &amp</h1><p>c &am</p>", "u")
+    assert (page["title"], page["text"]) == ("a &&", "b & c &am")
