@@ -215,3 +215,15 @@ def test_likeness_is_worked_out_a_few_rows_at_a_time():
 def test_references_without_a_semicolon_are_read_as_browsers_do():
     page = html._parsed("<title>a &amp;&amp</title><h1>b &amp</h1><p>c &am</p>", "u")
     assert (page["title"], page["text"]) == ("a &&", "b & c &am")
+
+
+def test_plain_tags_end_texts_and_hidden_ones_hide():
+    page = html._parsed('<p>a<b>b</b>c<br>d</p><script>"</p>x"</script><P>e</P ><style>f</b></style><svg><p>g</p></svg><p class="x">h<li>i 12345678901 1234567890', "u")
+    assert (page["text"], [c["code"] for c in page["codes"]]) == ("a b c d e h i 12345678901 1234567890", ["1234567890"])
+
+
+def test_ratios_are_those_of_difflib():
+    import difflib
+
+    pairs = [("Ромашка", "romashka"), ("АБВ", "абв"), ("abcabd", "abdabc"), ("ab" * 130, "ab" * 130), ("abc" * 90, "bca" * 80), ("a", ""), ("x", "y")]
+    assert [brands._ratio(a, b) for a, b in pairs] == [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0 for a, b in pairs]
