@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -57,10 +58,18 @@ def _json_or_error(reply: str | None) -> tuple[str | None, str | None]:
         return None, f"reply: {type(error).__name__}"
 
 
-@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
-def read_reply(reply: pd.Series) -> pd.DataFrame:
+#: Replies that a worker holds as Python objects at a time.
+REPLIES_AT_ONCE = 100
+
+
+@F.arrow_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def read_reply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The JSON object in a model's reply, and why it couldn't be looked for, where that failed."""
-    return pd.DataFrame([_json_or_error(r) for r in reply], columns=["json", "error"])
+    kind = pa.struct([("json", pa.string()), ("error", pa.string())])
+    for reply in batches:
+        for at in range(0, len(reply), REPLIES_AT_ONCE):
+            few = (_json_or_error(r.as_py()) for r in reply.slice(at, REPLIES_AT_ONCE))
+            yield pa.array([{"json": found, "error": error} for found, error in few], kind)
 
 
 def extract_json(reply: Column | str) -> Column:

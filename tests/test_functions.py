@@ -227,3 +227,15 @@ def test_ratios_are_those_of_difflib():
 
     pairs = [("Ромашка", "romashka"), ("АБВ", "абв"), ("abcabd", "abdabc"), ("ab" * 130, "ab" * 130), ("abc" * 90, "bca" * 80), ("a", ""), ("x", "y")]
     assert [brands._ratio(a, b) for a, b in pairs] == [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0 for a, b in pairs]
+
+
+def test_replies_are_held_a_few_at_a_time():
+    import pyarrow as pa
+
+    from orgbeacon.operators import decisions
+
+    n = decisions.REPLIES_AT_ONCE
+    replies = [None if i % 3 == 0 else f'x {{"a": {i}}}' if i % 3 == 1 else "none" for i in range(n + 3)]
+    got = list(decisions.read_reply.func(iter([pa.array(replies, pa.string())])))
+    assert [len(part) for part in got] == [n, 3]
+    assert [(r["json"], r["error"]) for part in got for r in part.to_pylist()] == [decisions._json_or_error(r) for r in replies]
