@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from orgbeacon.joins import perhaps
 from orgbeacon.llm import near_dedup, substring_dedup
 from orgbeacon.llm.graph import connected_components
 
@@ -131,6 +132,26 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(rows).select("doc_id", "component_id").collect())) == want
 
 
+def test_many_members_are_not_broadcast(spark, monkeypatch):
+    """The driver holds a map of bits, whatever the number of members."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or broadcast(df))
+    word = lambda i: F.concat(F.lit("w"), (F.col("id") * 40 + i).cast("string"))
+    texts = spark.range(11_000).select("id", *(F.concat_ws(" ", F.lit(first), *(word(i) for i in range(19))).alias(first) for first in ("a", "b")))
+    rows = texts.select(F.explode(F.array(F.struct((2 * F.col("id")).alias("doc_id"), F.col("a").alias("text")), F.struct((2 * F.col("id") + 1).alias("doc_id"), F.col("b").alias("text")))).alias("r")).select("r.*")
+    got = near_dedup.near_duplicates(rows, shingle=1)
+    assert got.where("component_id = doc_id - doc_id % 2").count() >= 21_990 and got.count() == 22_000
+    assert ["__word", "__bits"] in sent and not [c for c in sent if "weight" in c]
+
+
+def test_a_map_of_bits_loses_no_key(spark):
+    keys = spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("k"))
+    found = perhaps(spark.range(30_000), F.xxhash64("id"), keys, F.col("k"))
+    assert found.columns == ["id", "__perhaps"] and found.count() == 30_000
+    assert found.where("__perhaps AND id % 3 = 0").count() == 10_000 and found.where("__perhaps AND id % 3 > 0").count() < 200
+    assert found.where("__perhaps IS NULL").isEmpty() and perhaps(spark.range(3), F.xxhash64("id"), keys.limit(0), F.col("k")).where("__perhaps").isEmpty()
+
+
 def removed(rows, window=50):
     """(n_words, n_removed, hash of what is left) of each id, window by window."""
     first, out = {}, {}

@@ -340,3 +340,30 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert stages["packing"](spark, docs, str(tmp_path)).count() == len(texts)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_many_ids_to_remove_are_not_broadcast(spark, monkeypatch):
+    """The driver holds a map of bits, whatever the number of ids; null ids and repeated rows are met as ever."""
+    import corpus_pipeline
+
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or broadcast(df))
+    text = F.concat(F.lit("t"), (F.col("id") % 70_000).cast("string")).alias("text")
+    docs = spark.range(140_000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("doc_id"), text)
+    gone = docs.where("doc_id < 70000 OR doc_id IS NULL AND text < 't5'").select("doc_id", F.xxhash64("text").alias("text_key"))
+    left = corpus_pipeline.without(docs, gone)
+    assert left.columns == docs.columns
+    assert sorted(left.groupBy(F.col("doc_id").isNull()).count().collect()) == sorted(docs.where("doc_id >= 70000 OR doc_id IS NULL AND text >= 't5'").groupBy(F.col("doc_id").isNull()).count().collect())
+    assert sent == [["__word", "__bits"]]
+
+
+def test_near_dedup_by_shuffles_gives_the_same(spark, monkeypatch):
+    import corpus_pipeline
+
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    texts = [(1, one), (1, one), (2, one + " x"), (None, one), (3, two), (3, one), (4, two + " y"), (None, "alone"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").repartition(3)
+    kept = lambda: Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect())
+    want = kept()
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", -1)
+    assert kept() == want and want[(1, one)] == 1 and want[(7, None)] == 1
